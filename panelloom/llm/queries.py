@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import ngram_join, quality_rules
+from panelloom.llm import ngram_join, pii, quality_rules
 from panelloom.llm.common import table
 
 
@@ -13,11 +13,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("pii")
+    base = F.filter(spans, lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(q[c].alias(c) for c in counts))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_pii, op7_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
