@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import ngram_join, pii, quality_rules
+from panelloom.llm import bpe, mixing, ngram_join, pii, quality_rules
 from panelloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("pii")
     base = F.filter(spans, lambda s: s["base"])
@@ -30,5 +34,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(q[c].alias(c) for c in counts))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_pii, op7_quality_rules)}
+def vocabulary() -> str:
+    """The byte-level vocabulary's place on the machine that runs the tasks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_to_targets, op4_pii, op7_quality_rules, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
