@@ -22,16 +22,23 @@ from panelloom.llm.common import let, stored, words
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 BUCKETS = 4096
-#: A long text's words aren't independent: its evidence counts as that of so many words at most.
+#: A bucket counts if some domain has it so many standard deviations more or less often than chance.
+TELLING = 6.0
+#: A text's words aren't independent: together they count as so many at most.
 EVIDENCE = 60
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Log prior of each domain, and the log odds of each word bucket against the mean domain."""
+    """Log prior of each domain, and log odds of word buckets against the mean domain.
+
+    ``weights``: of each word, for the text's make-up; ``telling``: of a bucket's presence, 0 for all but
+    those that are far from chance, for single words that mark a domain.
+    """
 
     prior: tuple[float, ...]
     weights: tuple[tuple[float, ...], ...]
+    telling: tuple[tuple[float, ...], ...]
 
 
 def domain(labels: DataFrame) -> DataFrame:
@@ -61,18 +68,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Classifi
     ids = parts[0].unionByName(parts[1]).unionByName(parts[2])
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     seen = sample.select("domain", F.explode(F.array_distinct(F.transform(words(F.col("text")), _bucket))).alias("bucket"))
-    counts = [[1.0] * len(DOMAINS) for _ in range(BUCKETS)]
+    counts = [[0] * len(DOMAINS) for _ in range(BUCKETS)]
+    sampled = [0] * len(DOMAINS)
+    for r in sample.groupBy("domain").count().collect():
+        sampled[r["domain"]] = r["count"]
     for r in seen.groupBy("bucket", "domain").count().collect():
         counts[r["bucket"]][r["domain"]] += r["count"]
     size = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     total = sum(size.values())
     prior = tuple(math.log((size.get(k, 0) + 1) / (total + len(DOMAINS))) for k in range(len(DOMAINS)))
-    sums = [sum(c[k] for c in counts) for k in range(len(DOMAINS))]
-    weights = []
+    docs_of = [max(1, n) for n in sampled]
+    sums = [sum(c[k] + 1 for c in counts) for k in range(len(DOMAINS))]
+    weights, telling = [], []
     for c in counts:
-        logs = [math.log(c[k] / sums[k]) for k in range(len(DOMAINS))]
+        logs = [math.log((x + 1) / t) for x, t in zip(c, sums, strict=True)]
         weights.append(tuple(round(x - sum(logs) / len(logs), 6) for x in logs))
-    return Classifier(prior, tuple(weights))
+        expected = [max(sum(c) * n / sum(docs_of), 1e-9) for n in docs_of]
+        far = max(abs(x - e) / math.sqrt(e) for x, e in zip(c, expected, strict=True)) >= TELLING
+        odds = [math.log((x + 0.5) / (n + 1)) for x, n in zip(c, docs_of, strict=True)]
+        telling.append(tuple(round(x - sum(odds) / len(odds), 6) if far else 0.0 for x in odds))
+    return Classifier(prior, tuple(weights), tuple(telling))
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -80,20 +95,22 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
     A null or empty text has no tokens and the prior's posteriors.
     """
-    flat = [F.from_json(F.lit(json.dumps([w[k] for w in model.weights])), "array<double>") for k in range(len(DOMAINS))]
+    literal = lambda rows: [F.from_json(F.lit(json.dumps([w[k] for w in rows])), "array<double>") for k in range(len(DOMAINS))]
+    flat, marks = literal(model.weights), literal(model.telling)
+    zero = F.struct(*(F.lit(0.0).alias(f"s{k}") for k in range(len(DOMAINS))))
+    summed = lambda b, w: F.aggregate(b, zero, lambda acc, x: F.struct(*((acc[f"s{k}"] + F.get(w[k], x)).alias(f"s{k}") for k in range(len(DOMAINS)))))
 
     def scored(b: Column) -> Column:
         n = F.size(b)
         scale = F.least(n, F.lit(EVIDENCE)) / F.greatest(n, F.lit(1))
-        zero = F.struct(*(F.lit(0.0).alias(f"s{k}") for k in range(len(DOMAINS))))
-        total = F.aggregate(b, zero, lambda acc, x: F.struct(*((acc[f"s{k}"] + F.get(flat[k], x)).alias(f"s{k}") for k in range(len(DOMAINS)))))
+        hits = F.array_distinct(F.filter(b, lambda x: F.get(marks[0], x) != 0))
 
         def soft(s: Column) -> Column:
-            logit = F.array(*(F.lit(model.prior[k]) + scale * s[f"s{k}"] for k in range(len(DOMAINS))))
+            logit = F.array(*(F.lit(model.prior[k]) + scale * s["all"][f"s{k}"] + s["marks"][f"s{k}"] for k in range(len(DOMAINS))))
             shares = lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, c: a + c)))
             return F.struct(n.cast("long").alias("n_tokens"), let(logit, shares).alias("posteriors"))
 
-        return let(total, soft)
+        return let(F.struct(summed(b, flat).alias("all"), summed(hits, marks).alias("marks")), soft)
 
     found = let(F.transform(words(F.col("text")), _bucket), scored)
     return docs.withColumn("mix__", found).withColumns({"n_tokens": F.col("mix__.n_tokens"), "posteriors": F.col("mix__.posteriors")}).drop("mix__")
