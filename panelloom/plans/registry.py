@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from panelloom.plans import panel_queries, portfolio_queries, store_queries
+from panelloom.plans.book import Book
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+_BOOKS: list[Book] = [panel_queries.BOOK, store_queries.BOOK, portfolio_queries.BOOK]
+QUERIES = {name: q for b in _BOOKS for name, q in b.queries.items()}
+ORACLE_SQL = {name: q for b in _BOOKS for name, q in b.sql.items()}
+flagship = panel_queries.flagship
