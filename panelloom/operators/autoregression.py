@@ -21,10 +21,14 @@ def slope(num: Column, den: Column) -> Column:
     return F.when(den > 1e-12, num / den).otherwise(F.lit(0.0))
 
 
+def _slopes(d: DataFrame, by: list[str]) -> DataFrame:
+    known = d.where("train and prev is not null")
+    return known.groupBy("test_year", *by).agg(slope(F.sum(F.col("dev") * F.col("prev")), F.sum(F.col("prev") ** 2)).alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
 def rho(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(test_year, *by, rho): sum of products of successive deviations over the sum of squares, on training rows."""
-    d = _deviations(rows).where("train and prev is not null")
-    return d.groupBy("test_year", *by).agg(slope(F.sum(F.col("dev") * F.col("prev")), F.sum(F.col("prev") ** 2)).alias("rho"), F.count(F.lit(1)).alias("n"))
+    """(test_year, *by, rho, n): sum of products of successive deviations over the sum of squares, on training rows."""
+    return _slopes(_deviations(rows), by)
 
 
 def rho_correlation(rows: DataFrame) -> DataFrame:
@@ -42,10 +46,18 @@ def rho_error(rows: DataFrame, by: list[str]) -> DataFrame:
     return d.groupBy("test_year", *by).agg(F.first("rho").alias("rho"), F.when((n > 2) & (F.sum(F.col("prev") ** 2) > 1e-12), F.sqrt(error / ((n - 2) * F.sum(F.col("prev") ** 2)))).alias("se"))
 
 
-def forecasts(rows: DataFrame, slopes: DataFrame, by: list[str], name: str = "pred") -> DataFrame:
-    """One-step forecasts of the test year: mean + rho * last deviation, estimates frozen at its start."""
-    d = _deviations(rows).where(~F.col("train")).join(slopes.select("test_year", *by, "rho"), ["test_year", *by])
-    return d.select(*rows.columns, (F.col("mean") + F.col("rho") * F.coalesce("prev", F.lit(0.0))).alias(name))
+def forecasts(rows: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """``rows`` of the test years with a one-step forecast for each name in ``levels``, its slope pooled by those columns.
+
+    mean + rho * last deviation, estimates frozen at the year's start. Deviations are taken once for all levels;
+    slopes are aggregates, small next to the rows that they are joined to.
+    """
+    d = _deviations(rows)
+    out = d.where(~F.col("train"))
+    for name, by in levels.items():
+        s = _slopes(d, by).select("test_year", *by, F.col("rho").alias("rho__"))
+        out = out.join(s, ["test_year", *by]).withColumn(name, F.col("mean") + F.col("rho__") * F.coalesce("prev", F.lit(0.0))).drop("rho__")
+    return out.select(*rows.columns, *levels)
 
 
 def ewm_mean(rows: DataFrame, half_life: float = 12.0) -> DataFrame:

@@ -25,7 +25,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 # --- panel and normalisation -----------------------------------------------------------------------------------
 
 
-@page(sql("SELECT actor, period, round(value, 6) AS value FROM panel", "panel"))
+@page(sql("SELECT actor, period, round(value, 6) AS value FROM panel", "panel"), dates="period")
 def panel_quarter_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.panel(spark, d), "value")
 
@@ -33,37 +33,37 @@ def panel_quarter_mean(spark: SparkSession, d: str) -> DataFrame:
 _PCT = "CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY period ORDER BY value NULLS LAST) + (count(value) OVER (PARTITION BY period, value) - 1) / 2) / count(value) OVER (PARTITION BY period) END"
 
 
-@page(sql(f"SELECT actor, period, round({_PCT}, 6) AS rank FROM gappy", "gappy"))
+@page(sql(f"SELECT actor, period, round({_PCT}, 6) AS rank FROM gappy", "gappy"), dates="period")
 def xs_pct_rank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.cross_section_rank(st.gappy(spark, d)).select("actor", "period", "rank"), "rank")
 
 
-@page(sql("SELECT actor, period, round(CASE WHEN value IS NULL THEN NULL WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.5 END, 6) AS scaled FROM gappy WINDOW w AS (PARTITION BY period)", "gappy"))
+@page(sql("SELECT actor, period, round(CASE WHEN value IS NULL THEN NULL WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.5 END, 6) AS scaled FROM gappy WINDOW w AS (PARTITION BY period)", "gappy"), dates="period")
 def xs_minmax(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.cross_section_minmax(st.gappy(spark, d)).select("actor", "period", "scaled"), "scaled")
 
 
-@page(sql("SELECT actor, period, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END, 6) AS scaled FROM gappy WINDOW w AS (PARTITION BY actor)", "gappy"))
+@page(sql("SELECT actor, period, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END, 6) AS scaled FROM gappy WINDOW w AS (PARTITION BY actor)", "gappy"), dates="period")
 def ts_minmax(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.time_series_minmax(st.gappy(spark, d)).select("actor", "period", "scaled"), "scaled")
 
 
-@page(sql("SELECT actor, period, round(CASE WHEN value IS NULL THEN NULL WHEN max(value) OVER w - min(value) OVER w > 1e-10 THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.5 END, 6) AS scaled FROM gappy WINDOW w AS (PARTITION BY actor ORDER BY period ROWS UNBOUNDED PRECEDING)", "gappy"))
+@page(sql("SELECT actor, period, round(CASE WHEN value IS NULL THEN NULL WHEN max(value) OVER w - min(value) OVER w > 1e-10 THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.5 END, 6) AS scaled FROM gappy WINDOW w AS (PARTITION BY actor ORDER BY period ROWS UNBOUNDED PRECEDING)", "gappy"), dates="period")
 def recursive_minmax(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.recursive_minmax(st.gappy(spark, d)).select("actor", "period", "scaled"), "scaled")
 
 
-@page(sql("SELECT actor, period, round(1 / (1 + exp(-(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0))), 6) AS squashed FROM gappy WINDOW w AS (PARTITION BY actor)", "gappy"))
+@page(sql("SELECT actor, period, round(1 / (1 + exp(-(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0))), 6) AS squashed FROM gappy WINDOW w AS (PARTITION BY actor)", "gappy"), dates="period")
 def zscore_sigmoid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.zscore_sigmoid(st.gappy(spark, d)).select("actor", "period", "squashed"), "squashed")
 
 
-@page(sql(f"SELECT actor, period, round(CASE WHEN value IS NULL THEN NULL WHEN coalesce(stddev_samp(r) OVER w, 0) <> 0 THEN r WHEN coalesce(stddev_samp(value) OVER w, 0) <> 0 THEN 1 / (1 + exp(-(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0))) ELSE 0.5 END, 6) AS intensity FROM ranked WINDOW w AS (PARTITION BY actor)", "gappy", ranked=f"SELECT *, {_PCT} AS r FROM gappy"))
+@page(sql(f"SELECT actor, period, round(CASE WHEN value IS NULL THEN NULL WHEN coalesce(stddev_samp(r) OVER w, 0) <> 0 THEN r WHEN coalesce(stddev_samp(value) OVER w, 0) <> 0 THEN 1 / (1 + exp(-(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0))) ELSE 0.5 END, 6) AS intensity FROM ranked WINDOW w AS (PARTITION BY actor)", "gappy", ranked=f"SELECT *, {_PCT} AS r FROM gappy"), dates="period")
 def equity_intensity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.rank_or_fallback(st.gappy(spark, d)).select("actor", "period", "intensity"), "intensity")
 
 
-@page(sql("SELECT actor, period, round(CASE WHEN b <> 0 THEN value / b - 1 END, 6) AS growth FROM (SELECT *, lag(value, 4) OVER (PARTITION BY actor ORDER BY period) AS b FROM gappy)", "gappy"))
+@page(sql("SELECT actor, period, round(CASE WHEN b <> 0 THEN value / b - 1 END, 6) AS growth FROM (SELECT *, lag(value, 4) OVER (PARTITION BY actor ORDER BY period) AS b FROM gappy)", "gappy"), dates="period")
 def yoy_growth(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.growth(st.gappy(spark, d), 4).select("actor", "period", "growth"), "growth")
 
@@ -71,12 +71,12 @@ def yoy_growth(spark: SparkSession, d: str) -> DataFrame:
 _GRID = "SELECT a.actor, p.period, g.value FROM (SELECT DISTINCT actor FROM gappy) a CROSS JOIN (SELECT DISTINCT period FROM gappy) p LEFT JOIN gappy g USING (actor, period)"
 
 
-@page(sql("SELECT actor, period, round(last_value(value IGNORE NULLS) OVER (PARTITION BY actor ORDER BY period ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS filled FROM grid_", "gappy", grid_=_GRID))
+@page(sql("SELECT actor, period, round(last_value(value IGNORE NULLS) OVER (PARTITION BY actor ORDER BY period ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS filled FROM grid_", "gappy", grid_=_GRID), dates="period")
 def ffill_limit1(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.forward_fill(st.gappy(spark, d), 1).select("actor", "period", "filled"), "filled")
 
 
-@page(sql("SELECT actor, period, round(last_value(value IGNORE NULLS) OVER (PARTITION BY actor ORDER BY period ROWS UNBOUNDED PRECEDING) - first_value(value IGNORE NULLS) OVER (PARTITION BY actor ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS change FROM grid_", "gappy", grid_=_GRID))
+@page(sql("SELECT actor, period, round(last_value(value IGNORE NULLS) OVER (PARTITION BY actor ORDER BY period ROWS UNBOUNDED PRECEDING) - first_value(value IGNORE NULLS) OVER (PARTITION BY actor ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS change FROM grid_", "gappy", grid_=_GRID), dates="period")
 def cumulative_change(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.cumulative_change(st.gappy(spark, d)).select("actor", "period", "change"), "change")
 
@@ -92,21 +92,21 @@ def _flows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@page(sql(f"SELECT actor, period, round(rank, 6) AS rank FROM (SELECT actor, period, {_PCT} AS rank FROM x) WHERE actor IN (SELECT actor FROM x GROUP BY 1 HAVING count(value) > 0.5 * (SELECT count(DISTINCT period) FROM x))", flows=_FLOWS, x="SELECT actor, period, top / nullif(bottom, 0) AS value FROM flows WHERE top IS NOT NULL AND bottom IS NOT NULL"))
+@page(sql(f"SELECT actor, period, round(rank, 6) AS rank FROM (SELECT actor, period, {_PCT} AS rank FROM x) WHERE actor IN (SELECT actor FROM x GROUP BY 1 HAVING count(value) > 0.5 * (SELECT count(DISTINCT period) FROM x))", flows=_FLOWS, x="SELECT actor, period, top / nullif(bottom, 0) AS value FROM flows WHERE top IS NOT NULL AND bottom IS NOT NULL"), dates="period")
 def ratio_panel(spark: SparkSession, d: str) -> DataFrame:
     f = _flows(spark, d)
     part = lambda c: f.where(F.col(c).isNotNull()).select("actor", "period", F.col(c).alias("value"))
     return rounded(N.ratio_panel(part("top"), part("bottom")), "rank")
 
 
-@page(sql("SELECT actor, period, round(CASE WHEN bottom > 0 THEN greatest(top / bottom, 0) END, 6) AS ratio, round(CASE WHEN bottom > 0 THEN least(abs(top) / bottom, 1) END, 6) AS ratio_signed FROM flows", flows=_FLOWS))
+@page(sql("SELECT actor, period, round(CASE WHEN bottom > 0 AND top IS NOT NULL THEN greatest(top / bottom, 0) END, 6) AS ratio, round(CASE WHEN bottom > 0 AND top IS NOT NULL THEN least(abs(top) / bottom, 1) END, 6) AS ratio_signed FROM flows", flows=_FLOWS), dates="period")
 def capex_ratio(spark: SparkSession, d: str) -> DataFrame:
     f = _flows(spark, d).withColumnsRenamed({"top": "capex", "bottom": "assets"})
     both = N.capex_ratio(N.capex_ratio(f, signed=True).withColumnRenamed("ratio", "ratio_signed"))
     return rounded(both.select("actor", "period", "ratio", "ratio_signed"), "ratio", "ratio_signed")
 
 
-@page(sql("SELECT actor, period, round(CASE WHEN layer = 2 THEN lag(value) OVER (PARTITION BY actor ORDER BY period) ELSE value END, 6) AS lagged FROM panel JOIN registry USING (actor)", "panel", "registry"))
+@page(sql("SELECT actor, period, round(CASE WHEN layer = 2 THEN lag(value) OVER (PARTITION BY actor ORDER BY period) ELSE value END, 6) AS lagged FROM panel JOIN registry USING (actor)", "panel", "registry"), dates="period")
 def filing_lag(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.firm_lag(st.panel(spark, d), st.registry(spark, d)).select("actor", "period", "lagged"), "lagged")
 
@@ -125,10 +125,11 @@ for _name, _expr in _TARGETS.items():
         f"target_{_name}",
         lambda spark, d, n=_name: rounded(N.transformed(st.gappy(spark, d).join(st.registry(spark, d).select("actor", "sector"), "actor"), n).select("actor", "period", "target"), "target"),
         sql(f"SELECT actor, period, round({_expr}, 6) AS target FROM gappy JOIN registry USING (actor)", "gappy", "registry"),
+        "period",
     )
 
 
-@page()
+@page(dates="period")
 def target_normal_quantiles(spark: SparkSession, d: str) -> DataFrame:
     p = st.gappy(spark, d).join(st.registry(spark, d).select("actor", "sector"), "actor")
     return rounded(N.transformed(p, "normal_quantiles").select("actor", "period", "target"), "target")
@@ -137,7 +138,7 @@ def target_normal_quantiles(spark: SparkSession, d: str) -> DataFrame:
 # --- windows and autoregression ----------------------------------------------------------------------------------
 
 
-@page(sql("SELECT test_year, actor, period, round(value, 6) AS value, train FROM dealt", "dealt"))
+@page(sql("SELECT test_year, actor, period, round(value, 6) AS value, train FROM dealt", "dealt"), dates="period")
 def estimation_windows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.dealt(spark, d).select("test_year", "actor", "period", "value", "train"), "value")
 
@@ -171,7 +172,7 @@ def ewm_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ar.ewm_mean(st.dealt(spark, d)), "ewm")
 
 
-@page(sql("SELECT year, quarter, actor_id, sector, round(actual, 6) AS actual, round(pred_g0, 6) AS pred_g0, round(pred_g1, 6) AS pred_g1, round(pred_m2, 6) AS pred_m2, round(pred_ar1, 6) AS pred_ar1 FROM preds", "preds"))
+@page(sql("SELECT year, quarter, actor_id, sector, round(actual, 6) AS actual, round(pred_g0, 6) AS pred_g0, round(pred_g1, 6) AS pred_g1, round(pred_m2, 6) AS pred_m2, round(pred_ar1, 6) AS pred_ar1 FROM preds", "preds"), dates="quarter")
 def ar_predictions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.predictions(spark, d), "actual", "pred_g0", "pred_g1", "pred_m2", "pred_ar1")
 
@@ -251,12 +252,12 @@ def _quarterly_gain(spark: SparkSession, d: str) -> DataFrame:
     return st.predictions(spark, d).groupBy(block.alias("block"), "quarter").agg(F.round(100 * F.avg(gain), 9).alias("dd"))
 
 
-@page(sql("SELECT arch, quarter, round(corr(a, b), 6) AS ic, count(*) AS n FROM x GROUP BY 1, 2", "preds", long_=_LONG, x="SELECT *, rank() OVER (PARTITION BY arch, quarter ORDER BY pred) + (count(*) OVER (PARTITION BY arch, quarter, pred) - 1) / 2 AS a, rank() OVER (PARTITION BY arch, quarter ORDER BY actual) + (count(*) OVER (PARTITION BY arch, quarter, actual) - 1) / 2 AS b FROM long_"))
+@page(sql("SELECT arch, quarter, round(corr(a, b), 6) AS ic, count(*) AS n FROM x GROUP BY 1, 2", "preds", long_=_LONG, x="SELECT *, rank() OVER (PARTITION BY arch, quarter ORDER BY pred) + (count(*) OVER (PARTITION BY arch, quarter, pred) - 1) / 2 AS a, rank() OVER (PARTITION BY arch, quarter ORDER BY actual) + (count(*) OVER (PARTITION BY arch, quarter, actual) - 1) / 2 AS b FROM long_"), dates="quarter")
 def rank_ic(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sc.rank_ic(long_predictions(spark, d), ["arch", "quarter"]), "ic")
 
 
-@page(sql("SELECT period, round(corr(a, b), 6) AS rho, count(*) AS n FROM z GROUP BY 1 HAVING count(*) >= 5", "gappy", k="SELECT period, dense_rank() OVER (ORDER BY period) AS k FROM (SELECT DISTINCT period FROM gappy)", y="SELECT g.actor, g.period, k.k, g.value FROM gappy g JOIN k USING (period) WHERE value IS NOT NULL", z="SELECT n.period, rank() OVER (PARTITION BY n.period ORDER BY n.value) + (count(*) OVER (PARTITION BY n.period, n.value) - 1) / 2 AS a, rank() OVER (PARTITION BY n.period ORDER BY o.value) + (count(*) OVER (PARTITION BY n.period, o.value) - 1) / 2 AS b FROM y n JOIN y o ON o.actor = n.actor AND o.k = n.k - 1"))
+@page(sql("SELECT period, round(corr(a, b), 6) AS rho, count(*) AS n FROM z GROUP BY 1 HAVING count(*) >= 5", "gappy", k="SELECT period, dense_rank() OVER (ORDER BY period) AS k FROM (SELECT DISTINCT period FROM gappy)", y="SELECT g.actor, g.period, k.k, g.value FROM gappy g JOIN k USING (period) WHERE value IS NOT NULL", z="SELECT n.period, rank() OVER (PARTITION BY n.period ORDER BY n.value) + (count(*) OVER (PARTITION BY n.period, n.value) - 1) / 2 AS a, rank() OVER (PARTITION BY n.period ORDER BY o.value) + (count(*) OVER (PARTITION BY n.period, o.value) - 1) / 2 AS b FROM y n JOIN y o ON o.actor = n.actor AND o.k = n.k - 1"), dates="period")
 def rank_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sc.rank_stability(st.gappy(spark, d)), "rho")
 
@@ -309,7 +310,7 @@ def gap_fe_clustered(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sc.gap_fixed_effects(_gaps(spark, d), "y", "x").drop("t"), "beta", "se")
 
 
-@page(sql("SELECT a.actor, a.period, round(arg_max(b.value, b.period), 6) AS future FROM gappy a JOIN gappy b ON a.actor = b.actor AND b.value IS NOT NULL AND abs((year(b.period) - year(a.period)) * 12 + month(b.period) - month(a.period) - 12) <= 2 GROUP BY 1, 2", "gappy"))
+@page(sql("SELECT a.actor, a.period, round(arg_max(b.value, b.period), 6) AS future FROM gappy a JOIN gappy b ON a.actor = b.actor AND b.value IS NOT NULL AND abs((year(b.period) - year(a.period)) * 12 + month(b.period) - month(a.period) - 12) <= 2 GROUP BY 1, 2", "gappy"), dates="period")
 def interval_join_future(spark: SparkSession, d: str) -> DataFrame:
     """The last value within two months of a year ahead: an equi-join on the few months that qualify, not a range join."""
     g = st.gappy(spark, d)

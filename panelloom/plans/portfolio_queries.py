@@ -65,8 +65,9 @@ _ORACLES: dict[str, str] = {
 for _name, _signal in (G.SIGNALS | G.COMBINATIONS).items():
     BOOK.add(
         f"signal_{_name}",
-        lambda spark, d, s=_signal: rounded(s(st.predictions(spark, d), st.returns(spark, d)), "score", digits=5),
+        lambda spark, d, s=_signal: rounded(s(st.predictions(spark, d), st.returns(spark, d)).where("score is not null"), "score", digits=5),
         sql(f"SELECT quarter, actor_id, round(score, 5) AS score FROM ({_ORACLES[_name]}) WHERE score IS NOT NULL", "preds", "rets"),
+        "quarter",
     )
 
 # --- portfolios of the disagreement signal -----------------------------------------------------------------------------
@@ -74,35 +75,35 @@ for _name, _signal in (G.SIGNALS | G.COMBINATIONS).items():
 _EDGES = ", ".join(f"quantile_cont(score, {p!r})" for p in (i * 0.2 for i in range(6)))
 _PARTS = {
     "sig": "SELECT quarter, actor_id, round(pred_m2 - pred_g1, 9) AS score FROM preds",
-    "both": "SELECT quarter, actor_id, score, return_q FROM sig JOIN rets USING (quarter, actor_id) WHERE score IS NOT NULL",
-    "edges": f"SELECT quarter, list_distinct([{_EDGES}]) AS e FROM both GROUP BY 1",
-    "sorted_": "SELECT quarter, actor_id, score, return_q, CAST(greatest(1, len(list_filter(e, lambda x: x < score))) AS INTEGER) AS quintile FROM both JOIN edges USING (quarter)",
+    "pairs_": "SELECT quarter, actor_id, score, return_q FROM sig JOIN rets USING (quarter, actor_id) WHERE score IS NOT NULL",
+    "edges": f"SELECT quarter, list_distinct([{_EDGES}]) AS e FROM pairs_ GROUP BY 1",
+    "sorted_": "SELECT quarter, actor_id, score, return_q, CAST(greatest(1, len(list_filter(e, lambda x: x < score))) AS INTEGER) AS quintile FROM pairs_ JOIN edges USING (quarter)",
 }
 _LS = "SELECT quarter, long, short, long - short AS spread FROM (SELECT quarter, avg(return_q) FILTER (quintile = t) AS long, avg(return_q) FILTER (quintile = b) AS short FROM sorted_, (SELECT CASE WHEN bool_or(quintile = 5) THEN 5 ELSE max(quintile) END AS t, CASE WHEN bool_or(quintile = 1) THEN 1 ELSE min(quintile) END AS b FROM sorted_) GROUP BY 1) WHERE long IS NOT NULL AND short IS NOT NULL"
 _LO = "SELECT quarter, avg(return_q) FILTER (quintile = 5) AS long, avg(return_q) AS equal_weight, avg(return_q) FILTER (quintile = 5) - avg(return_q) AS active FROM sorted_ GROUP BY 1 HAVING avg(return_q) FILTER (quintile = 5) IS NOT NULL"
 
 
-@page(sql("SELECT quarter, actor_id, quintile FROM sorted_", "preds", "rets", **_PARTS))
+@page(sql("SELECT quarter, actor_id, quintile FROM sorted_", "preds", "rets", **_PARTS), dates="quarter")
 def quintile_sort(spark: SparkSession, d: str) -> DataFrame:
     return st.sorted_signal(spark, d).select("quarter", "actor_id", "quintile")
 
 
-@page(sql("SELECT quarter, round(long, 6) AS long, round(short, 6) AS short, round(spread, 6) AS spread FROM ls", "preds", "rets", **_PARTS, ls=_LS))
+@page(sql("SELECT quarter, round(long, 6) AS long, round(short, 6) AS short, round(spread, 6) AS spread FROM ls", "preds", "rets", **_PARTS, ls=_LS), dates="quarter")
 def long_short(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.long_short(st.sorted_signal(spark, d)), "long", "short", "spread")
 
 
-@page(sql("SELECT quarter, round(long, 6) AS long, round(equal_weight, 6) AS equal_weight, round(active, 6) AS active FROM lo", "preds", "rets", **_PARTS, lo=_LO))
+@page(sql("SELECT quarter, round(long, 6) AS long, round(equal_weight, 6) AS equal_weight, round(active, 6) AS active FROM lo", "preds", "rets", **_PARTS, lo=_LO), dates="quarter")
 def long_only(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.long_only(st.sorted_signal(spark, d)), "long", "equal_weight", "active")
 
 
-@page(sql("SELECT quarter, round(CASE WHEN p IS NULL THEN 1 ELSE 1 - len(list_intersect(a, p)) / greatest(len(a), len(p)) END, 6) AS turnover FROM (SELECT quarter, a, lag(a) OVER (ORDER BY quarter) AS p FROM (SELECT quarter, list(DISTINCT actor_id) AS a FROM sorted_ WHERE quintile = 5 GROUP BY 1))", "preds", "rets", **_PARTS))
+@page(sql("SELECT quarter, round(CASE WHEN p IS NULL THEN 1 ELSE 1 - len(list_intersect(a, p)) / greatest(len(a), len(p)) END, 6) AS turnover FROM (SELECT quarter, a, lag(a) OVER (ORDER BY quarter) AS p FROM (SELECT quarter, list(DISTINCT actor_id) AS a FROM sorted_ WHERE quintile = 5 GROUP BY 1))", "preds", "rets", **_PARTS), dates="quarter")
 def turnover(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.turnover(st.sorted_signal(spark, d).where("quintile = 5")), "turnover")
 
 
-_RANKED = f"SELECT *, count(*) {_C} AS names, row_number() OVER (PARTITION BY quarter ORDER BY score DESC, actor_id DESC) AS hi, row_number() OVER (PARTITION BY quarter ORDER BY score, actor_id) AS lo FROM both"
+_RANKED = f"SELECT *, count(*) {_C} AS names, row_number() OVER (PARTITION BY quarter ORDER BY score DESC, actor_id DESC) AS hi, row_number() OVER (PARTITION BY quarter ORDER BY score, actor_id) AS lo FROM pairs_"
 
 
 def _top(n: str, sides: int) -> str:
@@ -113,17 +114,17 @@ def _signal(spark: SparkSession, d: str) -> DataFrame:
     return G.SIGNALS["disagreement"](st.predictions(spark, d), st.returns(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@page(_top("3", 2))
+@page(_top("3", 2), dates="quarter")
 def topn_ls(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.top_n(_signal(spark, d), st.returns(spark, d), n=3), "long", "short", "equal_weight")
 
 
-@page(_top("greatest(3, floor(names * 0.33))", 1))
+@page(_top("greatest(3, floor(names * 0.33))", 1), dates="quarter")
 def topfrac_sector(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.top_n(_signal(spark, d), st.returns(spark, d), fraction=0.33, least=3, sides=1), "long", "short", "equal_weight")
 
 
-@page(sql("SELECT quarter, round(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 0.7 * a + 0.3 * b ELSE coalesce(a, b) END, 6) AS rotated, round(ew, 6) AS equal_weight FROM (SELECT quarter, avg(r) FILTER (up) AS a, avg(r) FILTER (NOT up) AS b, avg(r) AS ew FROM (SELECT *, s > median(s) OVER (PARTITION BY sector) AS up FROM (SELECT quarter, sector, r, lag(s) OVER (PARTITION BY sector ORDER BY quarter) AS s FROM (SELECT quarter, sector, avg(score) AS s, avg(return_q) AS r FROM both JOIN registry ON actor = actor_id GROUP BY 1, 2)) WHERE s IS NOT NULL) GROUP BY 1)", "preds", "rets", "registry", **_PARTS))
+@page(sql("SELECT quarter, round(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 0.7 * a + 0.3 * b ELSE coalesce(a, b) END, 6) AS rotated, round(ew, 6) AS equal_weight FROM (SELECT quarter, avg(r) FILTER (up) AS a, avg(r) FILTER (NOT up) AS b, avg(r) AS ew FROM (SELECT *, s > median(s) OVER (PARTITION BY sector) AS up FROM (SELECT quarter, sector, r, lag(s) OVER (PARTITION BY sector ORDER BY quarter) AS s FROM (SELECT quarter, sector, avg(score) AS s, avg(return_q) AS r FROM pairs_ JOIN registry ON actor = actor_id GROUP BY 1, 2)) WHERE s IS NOT NULL) GROUP BY 1)", "preds", "rets", "registry", **_PARTS), dates="quarter")
 def sector_rotation(spark: SparkSession, d: str) -> DataFrame:
     sectors = st.registry(spark, d).select(F.col("actor").alias("actor_id"), "sector")
     return rounded(P.sector_rotation(_signal(spark, d), sectors, st.returns(spark, d)), "rotated", "equal_weight")
@@ -135,10 +136,11 @@ for _k in (1, 2, -1):
         f"signal_lagged_{'lead' if _k < 0 else 'lag'}{abs(_k)}",
         lambda spark, d, k=_k: rounded(P.lagged(_signal(spark, d), k).select("quarter", "actor_id", "score"), "score"),
         sql(f"SELECT quarter, actor_id, round(score, 6) AS score FROM (SELECT quarter, actor_id, {_w} {_A} AS score FROM sig) WHERE score IS NOT NULL", "preds", sig=_PARTS["sig"]),
+        "quarter",
     )
 
 
-@page(sql(f"SELECT quarter, actor_id, round(score, 6) AS score FROM (SELECT *, lag(score) {_A} AS b FROM sig) WHERE sign(score) = sign(b)", "preds", sig=_PARTS["sig"]))
+@page(sql(f"SELECT quarter, actor_id, round(score, 6) AS score FROM (SELECT *, lag(score) {_A} AS b FROM sig) WHERE sign(score) = sign(b)", "preds", sig=_PARTS["sig"]), dates="quarter")
 def persistence_filter(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.persistent(_signal(spark, d)).select("quarter", "actor_id", "score"), "score")
 
@@ -175,13 +177,13 @@ def information_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.information_ratio(P.long_only(st.sorted_signal(spark, d)).withColumn("part", part), ["part"]), "ir", "t", digits=5)
 
 
-@page(sql("SELECT quarter, round(active, 6) AS active, round(list_product(list_transform(list(active) OVER (ORDER BY quarter ROWS UNBOUNDED PRECEDING), lambda x: 1 + x)) - 1, 6) AS cumulative FROM lo", "preds", "rets", **_PARTS, lo=_LO))
+@page(sql("SELECT quarter, round(active, 6) AS active, round(list_product(list_transform(list(active) OVER (ORDER BY quarter ROWS UNBOUNDED PRECEDING), lambda x: 1 + x)) - 1, 6) AS cumulative FROM lo", "preds", "rets", **_PARTS, lo=_LO), dates="quarter")
 def cumulative_active(spark: SparkSession, d: str) -> DataFrame:
     lo = P.long_only(st.sorted_signal(spark, d)).withColumn("all", F.lit(1))
     return rounded(P.cumulative(lo, ["all"]).select("quarter", "active", "cumulative"), "active", "cumulative")
 
 
-@page(sql("SELECT quarter, round(spread, 6) AS spread, round(spread - turnover * 2 * 10 / 10000, 6) AS net FROM ls JOIN (SELECT quarter, CASE WHEN p IS NULL THEN 1 ELSE 1 - len(list_intersect(a, p)) / greatest(len(a), len(p)) END AS turnover FROM (SELECT quarter, a, lag(a) OVER (ORDER BY quarter) AS p FROM (SELECT quarter, list(DISTINCT actor_id) AS a FROM sorted_ WHERE quintile = 5 GROUP BY 1))) USING (quarter)", "preds", "rets", **_PARTS, ls=_LS))
+@page(sql("SELECT quarter, round(spread, 6) AS spread, round(spread - turnover * 2 * 10 / 10000, 6) AS net FROM ls JOIN (SELECT quarter, CASE WHEN p IS NULL THEN 1 ELSE 1 - len(list_intersect(a, p)) / greatest(len(a), len(p)) END AS turnover FROM (SELECT quarter, a, lag(a) OVER (ORDER BY quarter) AS p FROM (SELECT quarter, list(DISTINCT actor_id) AS a FROM sorted_ WHERE quintile = 5 GROUP BY 1))) USING (quarter)", "preds", "rets", **_PARTS, ls=_LS), dates="quarter")
 def cost_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     s = st.sorted_signal(spark, d)
     return rounded(P.net_of_costs(P.long_short(s), P.turnover(s.where("quintile = 5")), 10).select("quarter", "spread", "net"), "spread", "net")
@@ -192,7 +194,7 @@ def monotonicity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.monotonicity(st.sorted_signal(spark, d)), "mean")
 
 
-@page(sql("SELECT actor_id, quarter, round(close / lag(close) OVER (PARTITION BY actor_id ORDER BY quarter) - 1, 6) AS return_q FROM (SELECT l_suppkey AS actor_id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter, arg_max(price, (l_shipdate, price)) AS close FROM (SELECT *, round(l_extendedprice / l_quantity, 6) AS price FROM lineitem) GROUP BY 1, 2) QUALIFY lag(close) OVER (PARTITION BY actor_id ORDER BY quarter) IS NOT NULL"))
+@page(sql("SELECT actor_id, quarter, round(close / lag(close) OVER (PARTITION BY actor_id ORDER BY quarter) - 1, 6) AS return_q FROM (SELECT l_suppkey AS actor_id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter, arg_max(price, (l_shipdate, price)) AS close FROM (SELECT *, round(l_extendedprice / l_quantity, 6) AS price FROM lineitem) GROUP BY 1, 2) QUALIFY lag(close) OVER (PARTITION BY actor_id ORDER BY quarter) IS NOT NULL"), dates="quarter")
 def quarterly_returns(spark: SparkSession, d: str) -> DataFrame:
     li = st.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("actor_id"), F.col("l_shipdate").alias("ts"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("price"))
     return rounded(P.quarterly_returns(li), "return_q")

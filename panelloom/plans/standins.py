@@ -54,12 +54,12 @@ def dealt_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(quarter, actor_id, sector, actual, pred_g0, pred_g1, pred_m2, pred_ar1): pooled, layer, block and own slopes."""
-    rows = dealt_in_blocks(spark, sf_dir)
-    out = rows.where("not train").select("test_year", "actor", "period", "sector", F.col("value").alias("actual"))
-    for name, by in (("pred_g0", []), ("pred_g1", ["layer"]), ("pred_m2", ["block"]), ("pred_ar1", ["actor"])):
-        one = ar.forecasts(rows, ar.rho(rows, by), by, name).select("test_year", "actor", "period", F.round(name, 9).alias(name))
-        out = out.join(one, ["test_year", "actor", "period"])
-    return out.select(F.col("test_year").alias("year"), F.col("period").alias("quarter"), F.col("actor").alias("actor_id"), "sector", "actual", "pred_g0", "pred_g1", "pred_m2", "pred_ar1")
+    levels = {"pred_g0": [], "pred_g1": ["layer"], "pred_m2": ["block"], "pred_ar1": ["actor"]}
+    out = ar.forecasts(dealt_in_blocks(spark, sf_dir), levels)
+    return out.select(
+        F.col("test_year").alias("year"), F.col("period").alias("quarter"), F.col("actor").alias("actor_id"), "sector",
+        F.col("value").alias("actual"), *(F.round(n, 9).alias(n) for n in levels),
+    )
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("actor_id", "signal_id", F.col("event_date").cast("date").alias("event_date"), F.col("pub_date").cast("date").alias("pub_date"), F.round("value", 6).alias("value"), "source")
 
 
-@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('obs')})", "obs"))
+@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('obs')})", "obs"), dates="event_date pub_date")
 def pit_dedup_latest(spark: SparkSession, d: str) -> DataFrame:
     return _shown(pit.latest(st.observations(spark, d)))
 
@@ -31,17 +31,17 @@ def pit_dedup_latest(spark: SparkSession, d: str) -> DataFrame:
 _AS_OF = "SELECT * FROM obs WHERE pub_date <= TIMESTAMP '2024-01-16' AND source IN ('billing', 'site') AND event_date BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-14'"
 
 
-@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('q')})", "obs", q=_AS_OF))
+@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('q')})", "obs", q=_AS_OF), dates="event_date pub_date")
 def pit_asof_query(spark: SparkSession, d: str) -> DataFrame:
     return _shown(pit.query(st.observations(spark, d), "2024-01-16", sources=["billing", "site"], date_range=("2024-01-03", "2024-01-14")))
 
 
-@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('obs')}) WHERE pub_date <= TIMESTAMP '2024-01-16' AND signal_id = 'click'", "obs"))
+@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('obs')}) WHERE pub_date <= TIMESTAMP '2024-01-16' AND signal_id = 'click'", "obs"), dates="event_date pub_date")
 def pit_legacy_query(spark: SparkSession, d: str) -> DataFrame:
     return _shown(pit.query(st.observations(spark, d), "2024-01-16", signal_ids=["click"], legacy=True))
 
 
-@page(sql("SELECT a.actor_id, CAST(e.t AS DATE) AS period_end, round((SELECT arg_max(value, (pub_date, event_date, value)) FROM obs o WHERE o.actor_id = a.actor_id AND o.pub_date <= e.t), 6) AS value FROM (SELECT DISTINCT actor_id FROM obs) a CROSS JOIN (SELECT unnest([TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-26']) AS t) e", "obs"))
+@page(sql("SELECT a.actor_id, CAST(e.t AS DATE) AS period_end, round((SELECT arg_max(value, (pub_date, event_date, value)) FROM obs o WHERE o.actor_id = a.actor_id AND o.pub_date <= e.t), 6) AS value FROM (SELECT DISTINCT actor_id FROM obs) a CROSS JOIN (SELECT unnest([TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-26']) AS t) e", "obs"), dates="period_end")
 def pit_asof_panel(spark: SparkSession, d: str) -> DataFrame:
     ends = spark.range(4).select(F.date_add(F.lit("2024-01-05").cast("date"), (F.col("id") * 7).cast("int")).alias("t"))
     return rounded(pit.as_of_panel(st.observations(spark, d), ends), "value")
@@ -59,7 +59,7 @@ def pit_catalog(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@page(sql("SELECT actor_id, signal_id, CAST(event_date AS DATE) AS event_date, CAST(event_date AS DATE) + CASE WHEN source = 'site' THEN 7 ELSE 548 END AS pub_date FROM obs", "obs"))
+@page(sql("SELECT actor_id, signal_id, CAST(event_date AS DATE) AS event_date, CAST(event_date AS DATE) + CASE WHEN source = 'site' THEN 7 ELSE 548 END AS pub_date FROM obs", "obs"), dates="event_date pub_date")
 def publication_lag(spark: SparkSession, d: str) -> DataFrame:
     o = st.observations(spark, d).withColumn("pub_date", F.lit(None).cast("timestamp_ntz")).withColumn("family", F.when(F.col("source") == "site", "news_weekly").otherwise("io_tables"))
     return pit.with_publication_lag(o).select("actor_id", "signal_id", F.col("event_date").cast("date").alias("event_date"), F.col("pub_date").cast("date").alias("pub_date"))
@@ -75,7 +75,7 @@ def vintage_merge(spark: SparkSession, d: str) -> DataFrame:
 # --- audits ----------------------------------------------------------------------------------------------------------
 
 
-@page(sql("SELECT actor, count(value) AS n_obs, min(period) AS first_obs, max(period) AS last_obs, count(DISTINCT period) AS n_quarters, round(100 * count(DISTINCT period) / 28, 6) AS coverage_pct, count(DISTINCT period) >= 24 AS enough FROM gappy WHERE value IS NOT NULL GROUP BY 1", "gappy"))
+@page(sql("SELECT actor, count(value) AS n_obs, min(period) AS first_obs, max(period) AS last_obs, count(DISTINCT period) AS n_quarters, round(100 * count(DISTINCT period) / 28, 6) AS coverage_pct, count(DISTINCT period) >= 24 AS enough FROM gappy WHERE value IS NOT NULL GROUP BY 1", "gappy"), dates="first_obs last_obs")
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.coverage(st.gappy(spark, d), ["actor"], "period", "value", 28, enough=24), "coverage_pct")
 
@@ -86,12 +86,12 @@ def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
     return audit.coverage_matrix(rows, "sector", "geography", "period", 2001).select("sector", "geography", "n", "first_year", "last_year", "stale")
 
 
-@page(sql('SELECT l_partkey, "from", "to", CAST("to" - "from" AS INTEGER) AS days FROM (SELECT l_partkey, t AS "to", lag(t) OVER (PARTITION BY l_partkey ORDER BY t) AS "from" FROM (SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) AS t FROM lineitem)) WHERE "to" - "from" > 100'))
+@page(sql('SELECT l_partkey, "from", "to", CAST("to" - "from" AS INTEGER) AS days FROM (SELECT l_partkey, t AS "to", lag(t) OVER (PARTITION BY l_partkey ORDER BY t) AS "from" FROM (SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) AS t FROM lineitem)) WHERE "to" - "from" > 100'), dates="from to")
 def gap_days(spark: SparkSession, d: str) -> DataFrame:
     return audit.date_gaps(st.table(spark, d, "lineitem"), ["l_partkey"], "l_shipdate", 100)
 
 
-@page(sql("SELECT l_partkey, CAST(b + 7 AS DATE) AS first, CAST(w - 7 AS DATE) AS last, CAST((w - b) // 7 - 1 AS INTEGER) AS weeks FROM (SELECT l_partkey, w, lag(w) OVER (PARTITION BY l_partkey ORDER BY w) AS b FROM (SELECT DISTINCT l_partkey, CAST(date_trunc('week', l_shipdate) AS DATE) AS w FROM lineitem)) WHERE (w - b) // 7 - 1 >= 4"))
+@page(sql("SELECT l_partkey, CAST(b + 7 AS DATE) AS first, CAST(w - 7 AS DATE) AS last, CAST((w - b) // 7 - 1 AS INTEGER) AS weeks FROM (SELECT l_partkey, w, lag(w) OVER (PARTITION BY l_partkey ORDER BY w) AS b FROM (SELECT DISTINCT l_partkey, CAST(date_trunc('week', l_shipdate) AS DATE) AS w FROM lineitem)) WHERE (w - b) // 7 - 1 >= 4"), dates="first last")
 def gap_islands(spark: SparkSession, d: str) -> DataFrame:
     return audit.missing_weeks(st.table(spark, d, "lineitem"), ["l_partkey"], "l_shipdate")
 
@@ -203,7 +203,7 @@ def daily_tone(events: DataFrame) -> DataFrame:
     return d.join(total, "event_date")
 
 
-@page(sql("SELECT theme, CAST(date_trunc('week', event_date) AS DATE) AS week_start, CAST(sum(article_count) AS BIGINT) AS article_count, round(sum(CASE WHEN avg_tone IS NOT NULL THEN avg_tone * article_count END) / nullif(sum(CASE WHEN avg_tone IS NOT NULL THEN article_count END), 0), 4) AS avg_tone, round(sum(article_count) / sum(total_docs_day), 6) AS intensity FROM daily GROUP BY 1, 2", daily=_DAILY))
+@page(sql("SELECT theme, CAST(date_trunc('week', event_date) AS DATE) AS week_start, CAST(sum(article_count) AS BIGINT) AS article_count, round(sum(CASE WHEN avg_tone IS NOT NULL THEN avg_tone * article_count END) / nullif(sum(CASE WHEN avg_tone IS NOT NULL THEN article_count END), 0), 4) AS avg_tone, round(sum(article_count) / sum(total_docs_day), 6) AS intensity FROM daily GROUP BY 1, 2", daily=_DAILY), dates="week_start")
 def weekly_weighted_tone(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(flows.weekly(daily_tone(st.table(spark, d, "events"))), "intensity"), "avg_tone", digits=4)
 
@@ -217,6 +217,6 @@ def news_baskets(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(flows.daily(docs, _BASKETS, date="source"), "intensity"), "avg_tone", digits=4)
 
 
-@page(sql("SELECT actor_id, CAST(date_trunc('quarter', event_date) AS DATE) AS period, round(sum(value), 4) AS value FROM obs WHERE signal_id = 'click' GROUP BY 1, 2", "obs"))
+@page(sql("SELECT actor_id, CAST(date_trunc('quarter', event_date) AS DATE) AS period, round(sum(value), 4) AS value FROM obs WHERE signal_id = 'click' GROUP BY 1, 2", "obs"), dates="period")
 def news_quarters(spark: SparkSession, d: str) -> DataFrame:
     return rounded(flows.news_quarters(st.observations(spark, d), "click"), "value", digits=4)
