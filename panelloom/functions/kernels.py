@@ -357,3 +357,47 @@ def subspace_forecasts(past: list[np.ndarray]) -> dict[str, np.ndarray]:
         "mean_speed": along(orthonormal(past[-2]), last, 1 + speed / turn) if turn > 1e-12 else now,
         "projector_mean": leading(sum(proj[-4:]) / len(proj[-4:]), k), "karcher_mean": mean_subspace(past[-4:]),
     }
+
+
+def turning(bases: list[np.ndarray]) -> list[dict[str, float]]:
+    """Of each basis against the one before: rotation angle, geodesic length, largest principal angle, and the cosine with the last turn.
+
+    The turn is the skew part of the Procrustes rotation's logarithm, taken from its eigenvalues.
+    """
+    out, last = [], None
+    for a, b in zip(bases[:-1], bases[1:], strict=True):
+        q = rotation(a, b)
+        k = len(q)
+        values, vectors = np.linalg.eig(q)
+        log = (vectors * (1j * np.angle(values))) @ np.linalg.pinv(vectors)
+        skew = (log.real - log.real.T) / 2
+        turn = skew[np.triu_indices(k, 1)]
+        norms = np.linalg.norm(turn) * (np.linalg.norm(last) if last is not None else 0.0)
+        out.append(
+            {
+                "angle": float(np.arccos(np.clip((np.trace(q) - 1) / max(k - 1, 1), -1, 1))), "geodesic": float(np.linalg.norm(tangent(orthonormal(a), orthonormal(b)))),
+                "largest": float(principal_angles(a, b)[0]), "stability": float(turn @ last / norms) if norms > 1e-15 else 0.0,
+            }
+        )
+        last = turn
+    return out
+
+
+def autoregressive_subspaces(past: list[np.ndarray], penalty: float = 0.1) -> dict[str, np.ndarray]:
+    """Next subspace by regressions on the past (three at least): tangent AR, AR(1) of each angle, and two lags of the projectors."""
+    now, k = orthonormal(past[-1]), past[-1].shape[1]
+    ways = [tangent(orthonormal(a), orthonormal(b)) for a, b in zip(past[:-1], past[1:], strict=True)]
+    angles = np.array([np.linalg.svd(w, compute_uv=False)[:k] for w in ways])
+    u, s, vt = np.linalg.svd(-tangent(now, orthonormal(past[-2])), full_matrices=False)  # the last step's direction, seen from now
+    a, b = angles[:-1], angles[1:]
+    common = float((a * b).sum() / ((a**2).sum() + penalty))
+    mean = angles.mean(axis=0)
+    da, db = a - mean, b - mean
+    den = (da**2).sum(axis=0)
+    each = np.clip(np.divide((da * db).sum(axis=0), den, out=np.zeros_like(den), where=den > 1e-12), -0.99, 0.99)
+    step = lambda size: along(now, u * np.maximum(size, 0.0) @ vt)
+    proj = [p @ p.T for p in past]
+    gram = np.array([[sum(float((proj[t - i] * proj[t - j]).sum()) for t in range(2, len(proj))) for j in (1, 2)] for i in (1, 2)])
+    right = np.array([sum(float((proj[t - i] * proj[t]).sum()) for t in range(2, len(proj))) for i in (1, 2)])
+    w = np.linalg.solve(gram + 1e-6 * np.eye(2), right)
+    return {"tangent_ar": step(common * s), "angle_ar": step(mean + each * (angles[-1] - mean)), "projector_ar2": leading(w[0] * proj[-1] + w[1] * proj[-2], k)}

@@ -172,6 +172,35 @@ def gated(predictions: DataFrame, gate: DataFrame, on: str = "G1", off: str = "G
 _SPACE = "period date, model string, chordal double, frobenius double, correlation double"
 
 
+def _bases(pdf: pd.DataFrame, years: int, k: int) -> tuple[list, list[np.ndarray]]:
+    """(quarters, orthonormal bases of the leading residual subspace), each sign-aligned with the one before."""
+    wide = pdf.pivot_table(index="period", columns="actor", values="value").sort_index().sort_index(axis=1)
+    y = wide.fillna(wide.mean()).to_numpy()
+    periods, bases = [], []
+    for t in range(4 * years, len(y) + 1):
+        part = y[t - 4 * years : t]
+        u = kernels.orthonormal(kernels.dmd((part - kernels.ewm_mean(part)).T, k)["u"])
+        if bases:
+            u = u * np.where((u * bases[-1]).sum(axis=0) < 0, -1.0, 1.0)
+        periods.append(wide.index[t - 1])
+        bases.append(u)
+    return periods, bases
+
+
+_TURN = "period date, angle double, geodesic double, largest double, stability double"
+
+
+def subspace_turning(panel: DataFrame, years: int = 3, k: int = 3) -> DataFrame:
+    """(period, angle, geodesic, largest, stability): how the leading residual subspace turns from quarter to quarter."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        periods, bases = _bases(pdf, years, k)
+        rows = [{"period": p, **t} for p, t in zip(periods[1:], kernels.turning(bases), strict=True)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _TURN.split(", ")])
+
+    return panel.select("actor", "period", "value").groupBy(F.lit(1).alias("all__")).applyInPandas(one, _TURN)
+
+
 def subspace_accuracy(panel: DataFrame, years: int = 3, k: int = 3, least: int = 4) -> DataFrame:
     """(period, model, chordal, frobenius, correlation): how far forecasts of each quarter's leading residual subspace are from it.
 
@@ -179,19 +208,11 @@ def subspace_accuracy(panel: DataFrame, years: int = 3, k: int = 3, least: int =
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="period", columns="actor", values="value").sort_index().sort_index(axis=1)
-        y = wide.fillna(wide.mean()).to_numpy()
-        bases, out = [], []
-        for t in range(4 * years, len(y) + 1):
-            part = y[t - 4 * years : t]
-            u = kernels.dmd((part - kernels.ewm_mean(part)).T, k)["u"]
-            u = kernels.orthonormal(u)
-            if bases:
-                u = u * np.where((u * bases[-1]).sum(axis=0) < 0, -1.0, 1.0)
-            if len(bases) >= least:
-                for name, guess in kernels.subspace_forecasts(bases).items():
-                    out.append({"period": wide.index[t - 1], "model": name, **kernels.subspace_distances(guess, u)})
-            bases.append(u)
+        periods, bases = _bases(pdf, years, k)
+        out = []
+        for t in range(least, len(bases)):
+            guesses = kernels.subspace_forecasts(bases[:t]) | kernels.autoregressive_subspaces(bases[:t])
+            out += [{"period": periods[t], "model": name, **kernels.subspace_distances(guess, bases[t])} for name, guess in guesses.items()]
         return pd.DataFrame(out, columns=[c.split()[0] for c in _SPACE.split(", ")])
 
     return panel.select("actor", "period", "value").groupBy(F.lit(1).alias("all__")).applyInPandas(one, _SPACE)

@@ -69,3 +69,8 @@ def gating_r2(spark: SparkSession, d: str) -> DataFrame:
 @page(dates="period")
 def subspace_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.subspace_accuracy(st.panel(spark, d)), "chordal", "frobenius", "correlation")
+
+
+@page(dates="period")
+def subspace_turning(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fc.subspace_turning(st.panel(spark, d)), "angle", "geodesic", "largest", "stability")

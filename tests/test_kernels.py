@@ -62,7 +62,12 @@ def test_subspaces():
     assert K.subspace_distances(K.mean_subspace([u, u, u]), u)["chordal"] == pytest.approx(0, abs=1e-7)
     q = K.orthonormal(rng.normal(size=(3, 3)))
     assert K.rotation(K.orthonormal(u), K.orthonormal(u)) == pytest.approx(np.eye(3), abs=1e-9) and q.shape == (3, 3)
-    for name, guess in K.subspace_forecasts([u] * 5).items():
+    plane = lambda t: np.array([[np.cos(t), 0], [np.sin(t), 0], [0, 1.0]])
+    turned = K.turning([plane(0.1 * t) for t in range(4)])
+    assert [round(x["geodesic"], 6) for x in turned] == [0.1] * 3 and turned[0]["largest"] == pytest.approx(0.1)
+    ahead = K.autoregressive_subspaces([plane(0.1 * t) for t in range(8)], penalty=0.0)["tangent_ar"]
+    assert K.subspace_distances(ahead, plane(0.8))["chordal"] == pytest.approx(0, abs=1e-6)
+    for name, guess in (K.subspace_forecasts([u] * 5) | K.autoregressive_subspaces([u] * 5)).items():
         assert K.subspace_distances(guess, u)["chordal"] == pytest.approx(0, abs=1e-6), name
 
 
