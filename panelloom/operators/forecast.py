@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import kernels
+from panelloom.operators.scoring import r_squared
 
 _SCHEMA = "test_year int, variant string, period date, actor long, block string, arch string, pred double, actual double"
 
@@ -29,6 +30,8 @@ def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list, list, np
 
 def _long(year: int, variant: str, periods: list, actors: list, block: np.ndarray, preds: dict[str, np.ndarray], actual: np.ndarray) -> pd.DataFrame:
     q, n = len(periods), len(actors)
+    if not preds:
+        return _empty()
     parts = [
         pd.DataFrame({"test_year": year, "variant": variant, "period": np.repeat(np.array(periods, dtype=object), n), "actor": np.tile(actors, q), "block": np.tile(block, q), "arch": name, "pred": p.ravel(), "actual": actual.ravel()})
         for name, p in preds.items()
@@ -216,3 +219,19 @@ def subspace_accuracy(panel: DataFrame, years: int = 3, k: int = 3, least: int =
         return pd.DataFrame(out, columns=[c.split()[0] for c in _SPACE.split(", ")])
 
     return panel.select("actor", "period", "value").groupBy(F.lit(1).alias("all__")).applyInPandas(one, _SPACE)
+
+
+def split_half(rows: DataFrame, splits: int, seed: int = 42, arch: str = "G1") -> DataFrame:
+    """(rho, reliability, n): correlation over years of the accuracy on random halves of the actors, and its Spearman-Brown step-up.
+
+    A half is a variant; who is in it comes from a hash of (seed, split, actor), so that all windows agree.
+    """
+    numbered = rows.crossJoin(F.broadcast(rows.sparkSession.range(splits).withColumnRenamed("id", "split")))
+    half = F.pmod(F.xxhash64(F.lit(seed), "split", "actor"), F.lit(2))
+    dealt = numbered.withColumn("variant", F.concat_ws(":", "split", half))
+    preds = run_windows(dealt, lambda a, b, block, _: {arch: kernels.forecast_window(a, b, block)[arch]} if a.shape[1] >= 5 else {})
+    scores = r_squared(preds, ["test_year", "variant"]).select("test_year", F.split("variant", ":")[0].alias("split"), F.split("variant", ":")[1].alias("half"), "r2")
+    both = scores.groupBy("split", "test_year").agg(F.max(F.when(F.col("half") == "0", F.col("r2"))).alias("a"), F.max(F.when(F.col("half") == "1", F.col("r2"))).alias("b")).where("a is not null and b is not null")
+    rho = both.groupBy("split").agg(F.corr("a", "b").alias("rho")).where("rho is not null and not isnan(rho)")
+    mean = F.avg("rho")
+    return rho.agg(mean.alias("rho"), F.when(mean > 0, 2 * mean / (1 + mean)).otherwise(F.lit(0.0)).alias("reliability"), F.count(F.lit(1)).alias("n"))

@@ -150,3 +150,30 @@ def monotonicity(sorted_: DataFrame) -> DataFrame:
     """(quintile, mean return, rises): does each bucket's mean exceed that of the bucket below?"""
     m = sorted_.groupBy("quintile").agg(F.avg("return_q").alias("mean"))
     return m.withColumn("rises", F.col("mean") > F.lag("mean").over(Window.orderBy("quintile")))  # at most as many rows as buckets
+
+
+def regime_rotation(hits: DataFrame, groups: DataFrame, heavy: float = 0.7, width: int = 4) -> DataFrame:
+    """(quarter, lag_hit, overweight, underweight, equal_weight) from (quarter, hit) rows and (quarter, inside, return_q) rows.
+
+    The group is overweight in quarters whose trailing mean hit rate, one quarter late, reaches the median of that series; the
+    other column does the reverse. Quarters without a lagged rate or one of the groups are left out.
+    """
+    rate = hits.groupBy("quarter").agg(F.avg("hit").alias("h"))
+    w = Window.orderBy("quarter")  # one row a quarter
+    rate = rate.withColumn("lag_hit", F.avg("h").over(w.rowsBetween(-width, -1)))
+    r = groups.groupBy("quarter").agg(F.avg(F.when(F.col("inside"), F.col("return_q"))).alias("a"), F.avg(F.when(~F.col("inside"), F.col("return_q"))).alias("b"), F.avg("return_q").alias("equal_weight"))
+    x = rate.join(r, "quarter").where("lag_hit is not null and a is not null and b is not null")
+    up = x.crossJoin(F.broadcast(x.agg(F.median("lag_hit").alias("m")))).withColumn("up", F.col("lag_hit") >= F.col("m"))
+    mix = lambda flag: F.when(flag, heavy * F.col("a") + (1 - heavy) * F.col("b")).otherwise((1 - heavy) * F.col("a") + heavy * F.col("b"))
+    return up.select("quarter", "lag_hit", mix(F.col("up")).alias("overweight"), mix(~F.col("up")).alias("underweight"), "equal_weight")
+
+
+def strategy(sorted_: DataFrame, name: str) -> DataFrame:
+    """One row of a strategy's figures: spread and long-only performance, information ratio, mean turnover without the first quarter."""
+    tag = F.lit(name).alias("strategy")
+    spread = performance(long_short(sorted_).select(tag, "quarter", F.col("spread").alias("r")), ["strategy"])
+    longs = long_only(sorted_)
+    top = performance(longs.select(tag, "quarter", F.col("long").alias("r")), ["strategy"]).select("strategy", F.col("ann_return").alias("lo_ann_return"), F.col("sharpe").alias("lo_sharpe"))
+    ir = information_ratio(longs.select(tag, "active"), ["strategy"]).select("strategy", "ir")
+    t = turnover(sorted_.where("quintile = 5")).withColumn("k", F.row_number().over(Window.orderBy("quarter"))).where("k > 1").agg(F.avg("turnover").alias("mean_turnover"))
+    return spread.join(top, "strategy").join(ir, "strategy").crossJoin(F.broadcast(t))

@@ -74,3 +74,8 @@ def subspace_accuracy(spark: SparkSession, d: str) -> DataFrame:
 @page(dates="period")
 def subspace_turning(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.subspace_turning(st.panel(spark, d)), "angle", "geodesic", "largest", "stability")
+
+
+@page()
+def split_half_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fc.split_half(_rows(spark, d), 6), "rho", "reliability")

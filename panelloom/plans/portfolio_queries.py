@@ -198,3 +198,34 @@ def monotonicity(spark: SparkSession, d: str) -> DataFrame:
 def quarterly_returns(spark: SparkSession, d: str) -> DataFrame:
     li = st.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("actor_id"), F.col("l_shipdate").alias("ts"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("price"))
     return rounded(P.quarterly_returns(li), "return_q")
+
+
+_REGIME = {
+    "hits": "SELECT quarter, avg(CASE WHEN abs(pred_m2 - actual) < abs(pred_g1 - actual) THEN 1.0 ELSE 0.0 END) AS h FROM preds GROUP BY 1",
+    "rate": "SELECT quarter, avg(h) OVER (ORDER BY quarter ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS lag_hit FROM hits",
+    "grp": "SELECT quarter, avg(return_q) FILTER (layer = 0) AS a, avg(return_q) FILTER (layer <> 0) AS b, avg(return_q) AS ew FROM rets JOIN registry ON actor = actor_id GROUP BY 1",
+    "reg": "SELECT *, lag_hit >= (SELECT median(lag_hit) FROM rate JOIN grp USING (quarter) WHERE lag_hit IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL) AS up FROM rate JOIN grp USING (quarter) WHERE lag_hit IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL",
+}
+
+
+@page(sql("SELECT quarter, round(lag_hit, 6) AS lag_hit, round(CASE WHEN up THEN 0.7 * a + 0.3 * b ELSE 0.3 * a + 0.7 * b END, 6) AS overweight, round(CASE WHEN NOT up THEN 0.7 * a + 0.3 * b ELSE 0.3 * a + 0.7 * b END, 6) AS underweight, round(ew, 6) AS equal_weight FROM reg", "preds", "rets", "registry", **_REGIME), dates="quarter")
+def regime_rotation(spark: SparkSession, d: str) -> DataFrame:
+    p = st.predictions(spark, d)
+    closer = F.abs(F.col("pred_m2") - F.col("actual")) < F.abs(F.col("pred_g1") - F.col("actual"))
+    inside = st.registry(spark, d).select(F.col("actor").alias("actor_id"), (F.col("layer") == 0).alias("inside"))
+    hits = p.select("quarter", F.when(closer, 1.0).otherwise(0.0).alias("hit"))
+    out = P.regime_rotation(hits, st.returns(spark, d).join(inside, "actor_id"))
+    return rounded(out, "lag_hit", "overweight", "underweight", "equal_weight")
+
+
+@page()
+def strategy_table(spark: SparkSession, d: str) -> DataFrame:
+    """Three strategies' figures in one table."""
+    out = None
+    preds, rets = st.predictions(spark, d).persist(), st.returns(spark, d).persist()
+    for name in ("disagreement", "momentum", "m2"):
+        signal = G.SIGNALS[name](preds, rets).withColumn("score", F.round("score", 9))
+        # Six figures are taken from each sort: one value a quarter and actor, kept for the while.
+        one = P.strategy(P.quintile_sort(signal, rets).persist(), name)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"], digits=4)
