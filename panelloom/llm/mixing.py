@@ -21,24 +21,25 @@ from panelloom.llm.common import let, stored, words
 #: Domains of the labelled table, and the share of tokens that each should have.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
-BUCKETS = 4096
-#: A bucket counts if some domain has it so many standard deviations more or less often than chance.
-TELLING = 6.0
+BUCKETS = 1024
 #: A text's words aren't independent: together they count as so many at most.
 EVIDENCE = 60
+#: Words that mark a domain alone: so many at most, in so many sampled texts at least, so many standard
+#: deviations from chance.
+TELLING_WORDS, TELLING_TEXTS, TELLING = 64, 8, 6.0
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Log prior of each domain, and log odds of word buckets against the mean domain.
+    """Log prior of each domain, and log odds against the mean domain.
 
-    ``weights``: of each word, for the text's make-up; ``telling``: of a bucket's presence, 0 for all but
-    those that are far from chance, for single words that mark a domain.
+    ``weights``: of each word bucket, for the text's make-up; ``telling``: of a word's presence, for single words that mark a
+    domain. Odds add up to 0 over domains, so the last domain's aren't kept.
     """
 
     prior: tuple[float, ...]
     weights: tuple[tuple[float, ...], ...]
-    telling: tuple[tuple[float, ...], ...]
+    telling: dict[str, tuple[float, ...]]
 
 
 def domain(labels: DataFrame) -> DataFrame:
@@ -67,27 +68,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Classifi
     parts = [known.where(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share) for k in range(len(DOMAINS))]
     ids = parts[0].unionByName(parts[1]).unionByName(parts[2])
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    seen = sample.select("domain", F.explode(F.array_distinct(F.transform(words(F.col("text")), _bucket))).alias("bucket"))
+    split = sample.select("domain", words(F.col("text")).alias("w"))
+    seen = split.select("domain", F.explode(F.array_distinct(F.transform("w", _bucket))).alias("bucket"))
     counts = [[0] * len(DOMAINS) for _ in range(BUCKETS)]
+    for r in seen.groupBy("bucket", "domain").count().collect():
+        counts[r["bucket"]][r["domain"]] = r["count"]
     sampled = [0] * len(DOMAINS)
     for r in sample.groupBy("domain").count().collect():
         sampled[r["domain"]] = r["count"]
-    for r in seen.groupBy("bucket", "domain").count().collect():
-        counts[r["bucket"]][r["domain"]] += r["count"]
     size = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     total = sum(size.values())
     prior = tuple(math.log((size.get(k, 0) + 1) / (total + len(DOMAINS))) for k in range(len(DOMAINS)))
-    docs_of = [max(1, n) for n in sampled]
     sums = [sum(c[k] + 1 for c in counts) for k in range(len(DOMAINS))]
-    weights, telling = [], []
-    for c in counts:
-        logs = [math.log((x + 1) / t) for x, t in zip(c, sums, strict=True)]
-        weights.append(tuple(round(x - sum(logs) / len(logs), 6) for x in logs))
-        expected = [max(sum(c) * n / sum(docs_of), 1e-9) for n in docs_of]
-        far = max(abs(x - e) / math.sqrt(e) for x, e in zip(c, expected, strict=True)) >= TELLING
-        odds = [math.log((x + 0.5) / (n + 1)) for x, n in zip(c, docs_of, strict=True)]
-        telling.append(tuple(round(x - sum(odds) / len(odds), 6) if far else 0.0 for x in odds))
-    return Classifier(prior, tuple(weights), tuple(telling))
+    centred = lambda logs: tuple(round(x - sum(logs) / len(logs), 3) for x in logs[:-1])
+    weights = tuple(centred([math.log((x + 1) / t) for x, t in zip(c, sums, strict=True)]) for c in counts)
+
+    # Words far from chance: of those, the farthest.
+    each = [F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(len(DOMAINS))]
+    by_word = split.select("domain", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *each).where(F.col("n") >= TELLING_TEXTS)
+    share = [max(n, 1) / max(sum(sampled), 1) for n in sampled]
+    far = F.greatest(*(F.abs(F.col(f"n{k}") - F.col("n") * F.lit(q)) / F.sqrt(F.col("n") * F.lit(q)) for k, q in enumerate(share)))
+    best = by_word.withColumn("far", far).where(F.col("far") >= TELLING).orderBy(F.col("far").desc(), "word").limit(TELLING_WORDS).collect()
+    telling = {r["word"]: centred([math.log((r[f"n{k}"] + 0.5) / (max(n, 1) + 1)) for k, n in enumerate(sampled)]) for r in best}
+    return Classifier(prior, weights, telling)
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -95,24 +98,32 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
     A null or empty text has no tokens and the prior's posteriors.
     """
-    literal = lambda rows: [F.from_json(F.lit(json.dumps([w[k] for w in rows])), "array<double>") for k in range(len(DOMAINS))]
-    flat, marks = literal(model.weights), literal(model.telling)
-    zero = F.struct(*(F.lit(0.0).alias(f"s{k}") for k in range(len(DOMAINS))))
-    summed = lambda b, w: F.aggregate(b, zero, lambda acc, x: F.struct(*((acc[f"s{k}"] + F.get(w[k], x)).alias(f"s{k}") for k in range(len(DOMAINS)))))
-
-    def scored(b: Column) -> Column:
-        n = F.size(b)
+    kept = range(len(DOMAINS) - 1)
+    table = lambda rows: [F.from_json(F.lit(json.dumps([w[k] for w in rows])), "array<double>") for k in kept]
+    marks = sorted(model.telling)
+    flat, alone = table(model.weights), table([model.telling[w] for w in marks])
+    zero = F.struct(*(F.lit(0.0).alias(f"s{k}") for k in kept))
+    summed = lambda places, w: F.aggregate(places, zero, lambda acc, x: F.struct(*((acc[f"s{k}"] + F.get(w[k], x)).alias(f"s{k}") for k in kept)))
+
+    def scored(w: Column) -> Column:
+        n = F.size(w)
         scale = F.least(n, F.lit(EVIDENCE)) / F.greatest(n, F.lit(1))
-        hits = F.array_distinct(F.filter(b, lambda x: F.get(marks[0], x) != 0))
+        if marks:
+            hits = F.array_distinct(F.filter(w, lambda x: x.isin(marks)))
+            places = F.transform(hits, lambda x: (F.array_position(F.split(F.lit(" ".join(marks)), " "), x) - 1).cast("int"))
+        else:
+            places = F.array().cast("array<int>")
 
         def soft(s: Column) -> Column:
-            logit = F.array(*(F.lit(model.prior[k]) + scale * s["all"][f"s{k}"] + s["marks"][f"s{k}"] for k in range(len(DOMAINS))))
+            odds = [scale * s["all"][f"s{k}"] + s["alone"][f"s{k}"] for k in kept]
+            odds.append(-sum(odds, F.lit(0.0)))
+            logit = F.array(*(F.lit(p) + x for p, x in zip(model.prior, odds, strict=True)))
             shares = lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, c: a + c)))
             return F.struct(n.cast("long").alias("n_tokens"), let(logit, shares).alias("posteriors"))
 
-        return let(F.struct(summed(b, flat).alias("all"), summed(hits, marks).alias("marks")), soft)
+        return let(F.struct(summed(F.transform(w, _bucket), flat).alias("all"), summed(places, alone).alias("alone")), soft)
 
-    found = let(F.transform(words(F.col("text")), _bucket), scored)
+    found = let(words(F.col("text")), scored)
     return docs.withColumn("mix__", found).withColumns({"n_tokens": F.col("mix__.n_tokens"), "posteriors": F.col("mix__.posteriors")}).drop("mix__")
 
 
@@ -149,8 +160,8 @@ class Mix:
 def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_steps: int = 12, tolerance: float = 1e-4) -> Mix:
     """Steps of the projected least squares on ``mass`` (n_tokens, posteriors).
 
-    Targets are in the proportions asked for among domains that have any tokens, on the largest scale at which
-    no domain's tokens need repeating. The gradient is scaled by the inverse of the K x K matrix of rates' effects over
+    The domain with the largest share keeps its tokens, and the others' targets are in proportion to it, but none above what
+    there is: a domain that is short of its share is kept whole, not repeated, and takes nothing from the rest. The gradient is scaled by the inverse of the K x K matrix of rates' effects over
     documents with a rate above 0, so that a few passes do. ``max_steps`` bounds the passes; what is left
     shows in ``totals``.
     """
@@ -172,9 +183,9 @@ def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_step
 
     steps: list[list[float]] = []
     now, matrix = totals(steps)
-    share = [wanted[d] if now[k] > 0 else 0.0 for k, d in enumerate(DOMAINS)]
-    scale = min((now[k] / share[k] for k in range(n) if share[k] > 0), default=0.0)
-    goal = [s * scale for s in share]
+    main = max((k for k in range(n) if now[k] > 0), key=lambda k: wanted[DOMAINS[k]], default=0)
+    scale = now[main] / wanted[DOMAINS[main]] if wanted[DOMAINS[main]] > 0 else 0.0
+    goal = [min(wanted[d] * scale, now[k]) for k, d in enumerate(DOMAINS)]
     while len(steps) < max_steps and any(abs(g - t) > tolerance * max(sum(goal), 1e-9) for g, t in zip(goal, now, strict=True)):
         ridge = 1e-9 * max(sum(matrix[k][k] for k in range(n)), 1e-9)
         damped = [[x + (ridge if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(matrix)]
