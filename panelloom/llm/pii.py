@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import let
+from panelloom.llm.common import let, sample_ids
 
 #: The kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, sample_docs: int = 20_000) -> Trees:
     The sample's ids alone are broadcast, so its size bounds that; what comes to the driver is its table of
     distinct feature rows.
     """
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ids = sample_ids(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample_docs)
     sample = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(ids), "doc_id")
     spans = sample.select("doc_id", "t", F.explode(candidates(F.col("t"))).alias("s"))
     named = spans.select((F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2))).cast("int").alias("fold"), F.col("s.base").alias("base"), *(c.cast("int").alias(n) for n, c in zip(FEATURES, features(F.col("s"), F.col("t")), strict=True)))
