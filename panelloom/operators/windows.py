@@ -22,11 +22,10 @@ def windows(panel: DataFrame, test_years: list[int], years: int = 5, impute: str
     periods = dealt.select("test_year", "period").distinct()
     actors = dealt.where(F.col("value").isNotNull()).select("test_year", "actor").distinct()
     full = actors.join(periods, "test_year").join(dealt, ["test_year", "actor", "period"], "left").withColumn("train", F.year("period") < F.col("test_year"))
-    own, whole = Window.partitionBy("test_year", "actor"), Window.partitionBy("test_year")
+    own = Window.partitionBy("test_year", "actor")
     fill = F.avg("value").over(own) if impute == "full" else F.avg(F.when(F.col("train"), F.col("value"))).over(own)
     counts = full.groupBy("test_year").agg(F.count_distinct("actor").alias("n_actors"), F.count_distinct(F.when(F.col("train"), F.col("period"))).alias("n_rows"))
     good = counts.where((F.col("n_actors") >= least_actors) & (F.col("n_rows") >= least_rows)).select("test_year")
-    del whole
     return full.withColumn("value", F.coalesce("value", fill, F.lit(0.5))).join(F.broadcast(good), "test_year", "left_semi")  # good: one row a year
 
 
