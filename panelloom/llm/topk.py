@@ -178,8 +178,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     are fixed; a query with fewer candidates has them all. A candidate with the query's id is the query's own. Vectors of differing lengths count
     as padded with zeros. An empty frame gives an empty result. ``bucket`` and ``block`` bound what one task multiplies at a time.
     """
-    spark = vectors.sparkSession
-
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         rows = whole(df, id_column, vector_column, scale)
         n = max(1, math.ceil(rows.count() / size))
@@ -197,5 +195,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     spread = pairs.repartition(F.xxhash64("q_block", "key")).drop("q_block", "key", "part", "longest", "q_longest", "least")
     found = spread.mapInPandas(_pairs(k), _FOUND)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    del spark
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
