@@ -16,12 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import let, stored, words
+from panelloom.llm.common import let, sample_ids, stored, words
 
 #: Domains of the labelled table, and the share of tokens that each should have.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 BUCKETS = 1024
+DAMPING = 0.02
 #: A text's words aren't independent: together they count as so many at most.
 EVIDENCE = 60
 #: Words that mark a domain alone: so many at most, in so many sampled texts at least, so many standard
@@ -31,9 +32,9 @@ TELLING_WORDS, TELLING_TEXTS, TELLING = 64, 8, 6.0
 
 @dataclass(frozen=True)
 class Classifier:
-    """Log prior of each domain, and log odds against the mean domain.
+    """Log prior of each domain (of a text without telling words), and log odds against the mean domain.
 
-    ``weights``: of each word bucket, for the text's make-up; ``telling``: of a word's presence, for single words that mark a
+    ``weights``: of each word bucket, for the text's make-up; ``telling``: of a word's presence over its absence, for single words that mark a
     domain. Odds add up to 0 over domains, so the last domain's aren't kept.
     """
 
@@ -60,12 +61,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Classifi
     """Naive Bayes on word buckets, from at most ``sample_docs`` labelled documents.
 
     The sample is the ids with the least hashes, of which each domain gets an equal part, so that a rare one is
-    seen. The ids alone are broadcast. What comes to the driver is one count a bucket and domain. Without
+    seen. The ids alone are broadcast. What comes to the driver is one count a bucket and domain, and the telling words. Without
     labels all documents get equal posteriors.
     """
     share = sample_docs // len(DOMAINS)
     known = domain(labels)
-    parts = [known.where(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share) for k in range(len(DOMAINS))]
+    parts = [sample_ids(known.where(F.col("domain") == k), "doc_id", share) for k in range(len(DOMAINS))]
     ids = parts[0].unionByName(parts[1]).unionByName(parts[2])
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     split = sample.select("domain", words(F.col("text")).alias("w"))
@@ -89,7 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Classifi
     share = [max(n, 1) / max(sum(sampled), 1) for n in sampled]
     far = F.greatest(*(F.abs(F.col(f"n{k}") - F.col("n") * F.lit(q)) / F.sqrt(F.col("n") * F.lit(q)) for k, q in enumerate(share)))
     best = by_word.withColumn("far", far).where(F.col("far") >= TELLING).orderBy(F.col("far").desc(), "word").limit(TELLING_WORDS).collect()
-    telling = {r["word"]: centred([math.log((r[f"n{k}"] + 0.5) / (max(n, 1) + 1)) for k, n in enumerate(sampled)]) for r in best}
+    odds = {r["word"]: [(r[f"n{k}"] + 0.5) / (n + 1) for k, n in enumerate(sampled)] for r in best}
+    telling = {w: centred([math.log(p / (1 - p)) for p in ps]) for w, ps in odds.items()}
+    # A text without these words says something too.
+    prior = tuple(x + sum(math.log(1 - ps[k]) for ps in odds.values()) for k, x in enumerate(prior))
     return Classifier(prior, weights, telling)
 
 
@@ -160,8 +164,8 @@ class Mix:
 def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_steps: int = 12, tolerance: float = 1e-4) -> Mix:
     """Steps of the projected least squares on ``mass`` (n_tokens, posteriors).
 
-    The domain with the largest share keeps its tokens, and the others' targets are in proportion to it, but none above what
-    there is: a domain that is short of its share is kept whole, not repeated, and takes nothing from the rest. The gradient is scaled by the inverse of the K x K matrix of rates' effects over
+    The domain with the largest share keeps its tokens, and the others' targets are in proportion to it. A domain that is
+    short of its target has none: it is neither repeated nor traded for others. The gradient is scaled by the inverse of the K x K matrix of rates' effects over
     documents with a rate above 0, so that a few passes do. ``max_steps`` bounds the passes; what is left
     shows in ``totals``.
     """
@@ -185,11 +189,13 @@ def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_step
     now, matrix = totals(steps)
     main = max((k for k in range(n) if now[k] > 0), key=lambda k: wanted[DOMAINS[k]], default=0)
     scale = now[main] / wanted[DOMAINS[main]] if wanted[DOMAINS[main]] > 0 else 0.0
-    goal = [min(wanted[d] * scale, now[k]) for k, d in enumerate(DOMAINS)]
-    while len(steps) < max_steps and any(abs(g - t) > tolerance * max(sum(goal), 1e-9) for g, t in zip(goal, now, strict=True)):
-        ridge = 1e-9 * max(sum(matrix[k][k] for k in range(n)), 1e-9)
-        damped = [[x + (ridge if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(matrix)]
-        steps.append(_solve(damped, [g - t for g, t in zip(goal, now, strict=True)]))
+    goal = [wanted[d] * scale for d in DOMAINS]
+    held = [k for k in range(n) if k == main or goal[k] < now[k]]
+    while len(steps) < max_steps and any(abs(goal[k] - now[k]) > tolerance * max(sum(goal), 1e-9) for k in held):
+        # A little of the diagonal on top keeps directions that hardly any document can move from swinging rates about.
+        damped = [[matrix[i][j] * (1 + DAMPING * (i == j)) + 1e-9 * (i == j) for j in held] for i in held]
+        found = dict(zip(held, _solve(damped, [goal[k] - now[k] for k in held]), strict=True))
+        steps.append([found.get(k, 0.0) for k in range(n)])
         now, matrix = totals(steps)
     return Mix(steps, now, goal)
 
