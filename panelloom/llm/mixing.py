@@ -23,6 +23,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 BUCKETS = 1024
 DAMPING = 0.02
+#: Shares of a fitting step that are tried beside the whole.
+SHORTENED = (0.5, 0.25)
 #: A text's words aren't independent: together they count as so many at most.
 EVIDENCE = 60
 #: Words that mark a domain alone: so many at most, in so many sampled texts at least, so many standard
@@ -164,39 +166,52 @@ class Mix:
 def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_steps: int = 12, tolerance: float = 1e-4) -> Mix:
     """Steps of the projected least squares on ``mass`` (n_tokens, posteriors).
 
-    The domain with the largest share keeps its tokens, and the others' targets are in proportion to it. A domain that is
-    short of its target has none: it is neither repeated nor traded for others. The gradient is scaled by the inverse of the K x K matrix of rates' effects over
-    documents with a rate above 0, so that a few passes do. ``max_steps`` bounds the passes; what is left
-    shows in ``totals``.
+    The domain with the largest share keeps its tokens, and the others' targets are in proportion to it: all of them are
+    fitted, a short domain's by rates above 1. Each pass tries the step scaled by the inverse of the K x K matrix of rates' effects over
+    documents with a rate above 0, whole and shortened, and the one scaled by that matrix over all documents; the
+    one that leaves the least squared error (in the scale of the latter, in which its step never adds to it) is kept, so that totals
+    don't swing about their targets. ``max_steps`` bounds the passes; what is left shows in ``totals``.
     """
     wanted = targets or TARGETS
     n = len(DOMAINS)
     p = [F.get("posteriors", k) for k in range(n)]
 
-    def totals(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
-        r = F.col("r")
-        sums = [F.sum(r * F.col("n_tokens") * p[k]) for k in range(n)]
-        cross = [F.sum(F.when(r > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(i, n)]
-        row = [x or 0.0 for x in mass.withColumn("r", rate(F.col("posteriors"), steps)).agg(*(c.alias(f"c{i}") for i, c in enumerate(sums + cross))).first()]
-        matrix, at = [[0.0] * n for _ in range(n)], n
-        for i in range(n):
-            for j in range(i, n):
-                matrix[i][j] = matrix[j][i] = row[at]
-                at += 1
-        return row[:n], matrix
+    def totals(tried: list[list[list[float]]]) -> list[tuple[list[float], list[list[float]]]]:
+        """Totals and matrix after each of several lists of steps, in one pass."""
+        columns = []
+        for i, steps in enumerate(tried):
+            r = F.col(f"r{i}")
+            columns += [F.sum(r * F.col("n_tokens") * p[k]) for k in range(n)]
+            columns += [F.sum(F.when(r > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(i, n)]
+        rates = mass.withColumns({f"r{i}": rate(F.col("posteriors"), steps) for i, steps in enumerate(tried)})
+        row = iter([x or 0.0 for x in rates.agg(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()])
+        out = []
+        for _ in tried:
+            sums, matrix = [next(row) for _ in range(n)], [[0.0] * n for _ in range(n)]
+            for i in range(n):
+                for j in range(i, n):
+                    matrix[i][j] = matrix[j][i] = next(row)
+            out.append((sums, matrix))
+        return out
 
+    # A little of the diagonal on top keeps directions that hardly any document can move from swinging rates about.
+    damped = lambda m: [[m[i][j] * (1 + DAMPING * (i == j)) + 1e-9 * (i == j) for j in range(n)] for i in range(n)]
     steps: list[list[float]] = []
-    now, matrix = totals(steps)
+    now, matrix = totals([steps])[0]
+    whole = damped(matrix)
     main = max((k for k in range(n) if now[k] > 0), key=lambda k: wanted[DOMAINS[k]], default=0)
     scale = now[main] / wanted[DOMAINS[main]] if wanted[DOMAINS[main]] > 0 else 0.0
     goal = [wanted[d] * scale for d in DOMAINS]
-    held = [k for k in range(n) if k == main or goal[k] < now[k]]
-    while len(steps) < max_steps and any(abs(goal[k] - now[k]) > tolerance * max(sum(goal), 1e-9) for k in held):
-        # A little of the diagonal on top keeps directions that hardly any document can move from swinging rates about.
-        damped = [[matrix[i][j] * (1 + DAMPING * (i == j)) + 1e-9 * (i == j) for j in held] for i in held]
-        found = dict(zip(held, _solve(damped, [goal[k] - now[k] for k in held]), strict=True))
-        steps.append([found.get(k, 0.0) for k in range(n)])
-        now, matrix = totals(steps)
+
+    def left(sums: list[float]) -> float:
+        gap = [g - t for g, t in zip(goal, sums, strict=True)]
+        return sum(x * y for x, y in zip(gap, _solve(whole, gap), strict=True))
+
+    while len(steps) < max_steps and any(abs(g - t) > tolerance * max(sum(goal), 1e-9) for g, t in zip(goal, now, strict=True)):
+        gap = [g - t for g, t in zip(goal, now, strict=True)]
+        fast = _solve(damped(matrix), gap)
+        tried = [[*steps, step] for step in ([fast] + [[x * share for x in fast] for share in SHORTENED] + [_solve(whole, gap)])]
+        steps, (now, matrix) = min(zip(tried, totals(tried), strict=True), key=lambda x: left(x[1][0]))
     return Mix(steps, now, goal)
 
 

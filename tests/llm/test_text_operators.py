@@ -152,3 +152,24 @@ def test_bpe_round_trip(spark):
     ids = bpe.encode(texts(spark, rows, "lang string"), queries.vocabulary())
     back = bpe.decode(ids.drop("text"), queries.vocabulary()).orderBy("doc_id").collect()
     assert [r["text"] for r in back] == [t or "" for t in rows]
+
+
+@pytest.mark.parametrize("other", [(0.005, 0.002), (0.2, 0.002), (0.002, 0.2)])
+def test_mixing_raises_short_domains(spark, other):
+    """Of a domain with fewer tokens than its target, documents are dealt more than once."""
+    poor, toxic = other
+
+    def posteriors(i: int) -> list[float]:
+        at = i % 1000 / 1000
+        k = 2 if at < toxic else 1 if at < toxic + poor else 0
+        soft = 0.02 + i * 37 % 101 / 101 * 0.28
+        return [1 - soft if j == k else soft / 2 for j in range(3)]
+
+    mass = spark.createDataFrame([(20 + i * 13 % 300, posteriors(i)) for i in range(4000)], "n_tokens long, posteriors array<double>")
+    mix = mixing.fit_rates(mass)
+    for share, k in zip(mix.totals, mixing.DOMAINS, strict=True):
+        assert math.isclose(share / sum(mix.totals), mixing.TARGETS[k], abs_tol=1e-3)
+    crisp = mass.selectExpr("n_tokens", "transform(posteriors, x -> if(x > 0.5, 1D, 0D)) as posteriors")
+    mix = mixing.fit_rates(crisp)
+    rates = [r[0] for r in crisp.select(mixing.rate(crisp["posteriors"], mix.steps)).distinct().collect()]
+    assert max(rates) > 1 and all(math.isclose(t, g, rel_tol=0.02) for t, g in zip(mix.totals, mix.targets, strict=True))
