@@ -161,13 +161,14 @@ class _Local:
         return self.u @ (self.a @ (self.u.T @ (last - self.centre))) + self.centre
 
 
-def forecast_window(train: np.ndarray, test: np.ndarray, block: np.ndarray, k_block: int | None = None, k_global: int = 8, k_svd: int = 15, least: int = 5, remainder: str = "REMAINDER") -> dict[str, np.ndarray]:
+def forecast_window(train: np.ndarray, test: np.ndarray, block: np.ndarray, k_block: int | None = None, k_global: int = 8, k_svd: int = 15, least: int = 5, remainder: str = "REMAINDER", wanted: tuple[str, ...] = ARCHITECTURES) -> dict[str, np.ndarray]:
     """Forecasts of each test row from all rows before it, re-estimated after every row.
 
     Stage one is AR(1) about means, pooled (G0) or by block (BA). Stage two forecasts its residuals: in the span of all actors' leading
     dynamic modes (G1), or in named blocks of ``least`` actors or more by ridge (M1) or factors (M2, BA_M2), the remainder as in
     G1 (BA_M2: as in BA). S1 leaves named blocks at stage one; ENS averages G1 and BA. A named block that is too small
     stays at stage one in M1 and at the global forecast in M2. The first test row has no residual forecast from modes: its state is at rest.
+    Only ``wanted`` ones are computed.
     """
     local = [np.flatnonzero(block == b) for b in sorted(set(block.tolist()) - {remainder})]
     out: dict[str, list[np.ndarray]] = {a: [] for a in ARCHITECTURES}
@@ -192,15 +193,18 @@ def forecast_window(train: np.ndarray, test: np.ndarray, block: np.ndarray, k_bl
                 m1[at] = pool[at]
                 continue
             k_b = k_block or factors_for(len(at))
-            a, b = _Local(resid[:, at], k_b, True), _Local(resid_b[:, at], k_b, False)
-            m1[at] = pool[at] + a.by_ridge(resid[-1, at])
-            m2[at] = pool[at] + a.by_factors(resid[-1, at])
-            bm2[at] = pool_b[at] + b.by_factors(resid_b[-1, at])
+            if "M1" in wanted or "M2" in wanted:
+                a = _Local(resid[:, at], k_b, "M1" in wanted)
+                m1[at] = pool[at] + a.by_ridge(resid[-1, at]) if "M1" in wanted else pool[at]
+                m2[at] = pool[at] + a.by_factors(resid[-1, at])
+            if "BA_M2" in wanted:
+                b = _Local(resid_b[:, at], k_b, False)
+                bm2[at] = pool_b[at] + b.by_factors(resid_b[-1, at])
         for name, p in zip(ARCHITECTURES, (pool, pool_b, aug, s1, m1, m2, bm2, (aug + pool_b) / 2), strict=True):
             out[name].append(p)
         last_resid = actual - pool
         y = np.vstack([y, actual])
-    return {a: np.array(p) for a, p in out.items()}
+    return {a: np.array(out[a]) for a in wanted}
 
 
 def method_window(train: np.ndarray, test: np.ndarray, k: int = 8) -> dict[str, np.ndarray]:

@@ -64,7 +64,7 @@ def eight_architectures(rows: DataFrame, k_block: int | None = None, remainder:
 def factor_grid(rows: DataFrame, factors: list[int]) -> DataFrame:
     """Architectures for each number of factors a block; windows of differing lengths come in as rows of their own."""
     dealt = rows.withColumn("variant", F.explode(F.array(*(F.lit(str(k)) for k in factors))))
-    return run_windows(dealt, lambda a, b, block, v: {n: p for n, p in kernels.forecast_window(a, b, block, int(v)).items() if n in ("G1", "M2")})
+    return run_windows(dealt, lambda a, b, block, v: kernels.forecast_window(a, b, block, int(v), wanted=("G1", "M2")))
 
 
 def methods(rows: DataFrame, k: int = 8) -> DataFrame:
@@ -84,8 +84,7 @@ def placebo(rows: DataFrame, n: int, seed: int = 42, fixed: tuple[str, ...] = ()
             free = ~np.isin(block, fixed)
             block = block.copy()
             block[free] = np.random.default_rng([seed, int(variant)]).permutation(block[free])
-        found = kernels.forecast_window(a, b, block)
-        return {m: found[m] for m in ("G1", "M2")}
+        return kernels.forecast_window(a, b, block, wanted=("G1", "M2"))
 
     return run_windows(rows.crossJoin(F.broadcast(variants)), model)  # variants: n + 1 rows
 
@@ -229,7 +228,7 @@ def split_half(rows: DataFrame, splits: int, seed: int = 42, arch: str = "G1") -
     numbered = rows.crossJoin(F.broadcast(rows.sparkSession.range(splits).withColumnRenamed("id", "split")))
     half = F.pmod(F.xxhash64(F.lit(seed), "split", "actor"), F.lit(2))
     dealt = numbered.withColumn("variant", F.concat_ws(":", "split", half))
-    preds = run_windows(dealt, lambda a, b, block, _: {arch: kernels.forecast_window(a, b, block)[arch]} if a.shape[1] >= 5 else {})
+    preds = run_windows(dealt, lambda a, b, block, _: kernels.forecast_window(a, b, block, wanted=(arch,)) if a.shape[1] >= 5 else {})
     scores = r_squared(preds, ["test_year", "variant"]).select("test_year", F.split("variant", ":")[0].alias("split"), F.split("variant", ":")[1].alias("half"), "r2")
     both = scores.groupBy("split", "test_year").agg(F.max(F.when(F.col("half") == "0", F.col("r2"))).alias("a"), F.max(F.when(F.col("half") == "1", F.col("r2"))).alias("b")).where("a is not null and b is not null")
     rho = both.groupBy("split").agg(F.corr("a", "b").alias("rho")).where("rho is not null and not isnan(rho)")

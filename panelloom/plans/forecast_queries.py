@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from panelloom.plans.panel_queries import rounded
 
 BOOK = Book()
 page = BOOK.page
+N_PLACEBO, N_SPLITS = 1000, 30
+GRID_YEARS, GRID_FACTORS = (2, 3, 5), [2, 3, 4, 6]
 
 
 def _rows(spark: SparkSession, d: str, years: int = st.TRAIN_YEARS) -> DataFrame:
@@ -21,6 +25,12 @@ def _rows(spark: SparkSession, d: str, years: int = st.TRAIN_YEARS) -> DataFrame
     return W.with_blocks(dealt, st.blocks(spark, d))
 
 
+def _whole(rows: DataFrame, years: int) -> DataFrame:
+    """Windows whose training quarters aren't cut off by the panel's start."""
+    held = rows.where("train").groupBy("test_year").agg(F.count_distinct("period").alias("n")).where(F.col("n") == 4 * years)
+    return rows.join(F.broadcast(held.select("test_year")), "test_year", "left_semi")  # held: one row a year
+
+
 @page(dates="period")
 def eight_architectures(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.eight_architectures(_rows(spark, d)), "pred", "actual")
@@ -38,20 +48,20 @@ def method_comparison_r2(spark: SparkSession, d: str) -> DataFrame:
 
 @page()
 def placebo_test(spark: SparkSession, d: str) -> DataFrame:
-    scores = sc.r_squared(fc.placebo(_rows(spark, d), 20), ["test_year", "variant", "arch"])
+    scores = sc.r_squared(fc.placebo(_rows(spark, d), N_PLACEBO), ["test_year", "variant", "arch"])
     return rounded(fc.placebo_summary(scores), "real", "mean", "sd", "z", "p")
 
 
 @page()
 def stratified_placebo_test(spark: SparkSession, d: str) -> DataFrame:
-    scores = sc.r_squared(fc.placebo(_rows(spark, d), 20, fixed=("REMAINDER",)), ["test_year", "variant", "arch"])
+    scores = sc.r_squared(fc.placebo(_rows(spark, d), N_PLACEBO, fixed=("REMAINDER",)), ["test_year", "variant", "arch"])
     return rounded(fc.placebo_summary(scores), "real", "mean", "sd", "z", "p")
 
 
 @page()
 def window_factor_grid(spark: SparkSession, d: str) -> DataFrame:
-    parts = [sc.r_squared(fc.factor_grid(_rows(spark, d, t), [2, 3, 4]), ["test_year", "variant", "arch"]).withColumn("years", F.lit(t)) for t in (2, 3)]
-    return rounded(parts[0].unionByName(parts[1]), "r2", "mae")
+    parts = [sc.r_squared(fc.factor_grid(_whole(_rows(spark, d, t), t), GRID_FACTORS), ["test_year", "variant", "arch"]).withColumn("years", F.lit(t)) for t in GRID_YEARS]
+    return rounded(reduce(DataFrame.unionByName, parts), "r2", "mae")
 
 
 @page()
@@ -78,4 +88,4 @@ def subspace_turning(spark: SparkSession, d: str) -> DataFrame:
 
 @page()
 def split_half_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fc.split_half(_rows(spark, d), 6), "rho", "reliability")
+    return rounded(fc.split_half(_rows(spark, d), N_SPLITS), "rho", "reliability")
