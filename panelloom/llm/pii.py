@@ -243,15 +243,17 @@ def boost(table: list[tuple[tuple[int, ...], int, int, int]], rounds: int = 25,
 
 
 def fit(docs: DataFrame, sample_docs: int = 20_000) -> Trees:
-    """Trees for ``docs``, fitted on at most ``sample_docs`` documents: those whose ids have the least hashes.
+    """Trees for ``docs``, fitted on half of at most ``sample_docs`` documents: those whose ids have the least hashes.
 
-    The sample's ids alone are broadcast, so its size bounds that; what comes to the driver is its table of
-    distinct feature rows.
+    All other documents calibrate the thresholds, so that a rare kind is judged by all there is of it. The sample's ids
+    alone are broadcast, so its size bounds that; what comes to the driver is the table of distinct feature rows, whose
+    number the features' ranges bound.
     """
-    ids = sample_ids(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample_docs)
-    sample = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(ids), "doc_id")
-    spans = sample.select("doc_id", "t", F.explode(candidates(F.col("t"))).alias("s"))
-    named = spans.select((F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2))).cast("int").alias("fold"), F.col("s.base").alias("base"), *(c.cast("int").alias(n) for n, c in zip(FEATURES, features(F.col("s"), F.col("t")), strict=True)))
+    ids = sample_ids(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample_docs).withColumn("sampled", F.lit(True))
+    known = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(ids), "doc_id", "left")
+    spans = known.select("doc_id", "t", "sampled", F.explode(candidates(F.col("t"))).alias("s"))
+    half = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")
+    named = spans.select(F.when(F.col("sampled"), half).otherwise(1).alias("fold"), F.col("s.base").alias("base"), *(c.cast("int").alias(n) for n, c in zip(FEATURES, features(F.col("s"), F.col("t")), strict=True)))
     label = weak_label({n: F.col(n) for n in FEATURES}, F.col("base")).cast("int").alias("label")
     rows = named.select(*FEATURES, label, "fold").groupBy(*FEATURES, "label", "fold").count().collect()
     return boost(sorted((tuple(r[n] for n in FEATURES), r["label"], r["fold"], r["count"]) for r in rows))

@@ -107,6 +107,15 @@ def test_boosting_learns_and_calibrates():
     assert pii.boost([]).trees == []
 
 
+def test_thresholds_come_from_all_documents(spark, monkeypatch):
+    """A kind too rare in the sample is calibrated by the documents outside it."""
+    tables = []
+    monkeypatch.setattr(pii, "boost", tables.append)
+    pii.fit(texts(spark, [f"write to some.one{i}@example.com or call" for i in range(300)]), sample_docs=20)
+    spans = {fold: sum(r[3] for r in tables[0] if r[2] == fold) for fold in (0, 1)}
+    assert 0 < spans[0] <= 20 and spans[0] + spans[1] >= 300
+
+
 def test_mixing_meets_targets(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
