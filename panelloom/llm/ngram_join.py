@@ -216,6 +216,24 @@ def _links(units: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInPandas(_link_units(num, den), "a long, b long").where("a <> b")
 
 
+def _pairs(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (label, set_id, size, class, main, stay, others) dealt to units of two blocks at most.
+
+    Sets outside their group's main class (which has ``stay`` sets) are dealt in blocks of their own, and so are the main class's. A unit is a pair of the
+    former, or one of each: two sets of the main class needn't meet.
+    """
+    number = lambda n: F.ceil(n / F.lit(block)).cast("long")
+    counted = members.withColumn("roams", number(F.col("size") - F.col("stay"))).withColumn("stays", number(F.col("stay"))).where("roams > 0")
+    own = lambda n: F.pmod(F.xxhash64(F.lit("pair"), "set_id"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
+    roam = counted.where("class <> main").withColumn("own", own(F.col("roams")))
+    stay = counted.where("class = main").withColumn("own", own(F.col("stays")))
+    among = roam.select("*", each(F.col("roams"))).withColumn("unit", F.concat_ws(":", "label", F.lit("r"), F.least("own", "other"), F.greatest("own", "other")))
+    here = roam.select("*", each(F.col("stays"))).withColumn("unit", F.concat_ws(":", "label", F.lit("s"), "own", "other"))
+    there = stay.select("*", each(F.col("roams"))).withColumn("unit", F.concat_ws(":", "label", F.lit("s"), "other", "own"))
+    return among.unionByName(here).unionByName(there)
+
+
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, block: int = 1024, anchors: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) for every row of ``docs`` (doc_id, text; others are ignored).
 
@@ -227,8 +245,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bl
 
     ``block`` bounds the sets of a candidate group that one task compares at a time; it changes the work, not
     the result. A larger group is dealt out by hash in blocks, to each of which the group's ``anchors`` first
-    sets are added, so that one large class shows in the first pass. In the second pass its members
-    stay in their blocks, and the group's other sets go to all blocks.
+    sets are added, so that one large class shows in the first pass. The second pass pairs blocks (see _pairs).
     """
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_deal(n, num, den), _DEALT_SQL)
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS))).otherwise(F.col("bucket"))
@@ -270,12 +287,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bl
     many = large.select("label").limit(1).count() > 0
     if many:
         classes = large.select("label", "set_id").join(connected_components(links).select(F.col("node").alias("set_id"), F.col("component").alias("class")), "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
-        most = classes.groupBy("label", "class").agg(F.count(F.lit(1)).alias("held")).groupBy("label").agg(F.max_by("class", F.struct("held", "class")).alias("main"))
+        most = classes.groupBy("label", "class").agg(F.count(F.lit(1)).alias("held")).groupBy("label").agg(F.max_by("class", F.struct("held", "class")).alias("main"), F.max("held").alias("stay"))
         classes = stored(classes.join(most, "label"), "classes")
-        again = large.drop("class").join(classes, ["label", "set_id"])
-        stay = again.where("class = main")
-        roam = again.where("class <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        second = stay.unionByName(roam.select(*stay.columns)).withColumn("unit", unit)
+        second = _pairs(large.drop("class").join(classes, ["label", "set_id"]), block)
         links = links.unionByName(stored(_links(second, num, den), "links"))
 
     joined = connected_components(links).select(F.col("node").alias("set_id"), F.col("component").alias("class"))

@@ -122,3 +122,14 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 101), (103, 102)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 102, 103: 102}
+
+
+def test_units_of_a_group_without_a_main_class_hold_two_blocks(spark, monkeypatch):
+    shared = " ".join(f"form{i}" for i in range(40))
+    texts = {i: shared + "".join(f" field{i}x{k}" for k in range(12)) for i in range(300)}
+    texts |= {1000 + i: texts[i] + f" more{i}" for i in range(0, 300, 10)}
+    largest, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda units, *a: largest.append(units.groupBy("unit").count().agg({"count": "max"}).first()[0]) or links(units, *a))
+    rows = made(spark, texts, block=32)
+    assert len(largest) == 2 and max(largest) < 2 * 32 * 1.6
+    assert rows == brute(texts)
