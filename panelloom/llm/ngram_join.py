@@ -303,11 +303,33 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bl
     )
 
 
+def _set_of(n: int):
+    """A function of a text column: the fingerprint of its token set, null where there is none."""
+
+    @F.pandas_udf("long")
+    def run(text: pd.Series) -> pd.Series:
+        hashes = _WordHashes()
+        sets = [shingle_set(t, n, hashes) for t in text]
+        return pd.Series([set_id(x) if len(x) else None for x in sets], dtype="Int64")
+
+    return run
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but the first document of each component; columns stay.
 
-    Rows without a doc_id can't be told apart and stay. Of rows repeated outright, one stays.
+    Rows without a doc_id can't be told apart and stay. Rows that share a doc_id are judged text by text; of those that
+    are their component's first document, one stays.
     """
-    found = ngram_components(docs, **options).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = stored(ngram_components(docs, **options).where("doc_id is not null"), "found")
+    many = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    drop = found.where("doc_id <> component_id").select("doc_id").unionByName(many).distinct()
+    kept = docs.where("doc_id is not null").join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+    # Repeated ids: the set of each row's text tells which row is meant.
+    first = found.where("doc_id = component_id and set_id is not null").join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("set_id").alias("set__"))
+    rows = docs.join(many, "doc_id", "left_semi").select(*docs.columns)
+    named = rows.withColumn("of__", _set_of(options.get("n", 5))(F.col("text").cast("string")))
+    again = named.where("of__ is not null").join(first, "doc_id").where("of__ = set__").dropDuplicates(["doc_id"]).select(*docs.columns)
+    blank = named.where("of__ is null").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.unionByName(again).unionByName(blank).unionByName(docs.where("doc_id is null"))

@@ -133,3 +133,10 @@ def test_units_of_a_group_without_a_main_class_hold_two_blocks(spark, monkeypatc
     rows = made(spark, texts, block=32)
     assert len(largest) == 2 and max(largest) < 2 * 32 * 1.6
     assert rows == brute(texts)
+
+
+def test_keep_one_judges_repeated_ids_by_text(spark):
+    one, two = "a b c d e f g", "other words stand here for once"
+    rows = [(1, one), (5, one), (5, two), (5, two.upper()), (7, two), (8, ""), (8, "")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"].lower()) for r in kept.collect()) == [(1, one), (5, two), (8, "")]
