@@ -2,9 +2,10 @@
 
 Range partitioning on the norm (ties by a hash of the id, so that copies of one vector spread) deals the candidates
 out in buckets of like length; queries go in blocks, also by length. The bucket of the longest vectors, of bounded size, is sent
-to all query blocks and gives every query a score to beat. A block meets another bucket only if the longest query and candidate
-could beat the block's least such score, which is how whole buckets fall away. Within a pair, a query whose cosine
-threshold is high looks only at candidates whose value of its strongest coordinate lies in the feasible
+to all query blocks and gives every query a score to beat. Blocks and buckets meet in tiles, a group of blocks by a group
+of buckets, so that a bucket is sent once for many blocks; a bucket group whose longest vector can't beat a block's
+least such score isn't met. Within a tile buckets come in order of length, and each raises the scores to beat for the next. In a bucket,
+a query whose cosine threshold is high looks only at candidates whose value of its strongest coordinate lies in the feasible
 range; the others look at candidates that are long enough. What is left is multiplied out exactly.
 """
 
@@ -22,54 +23,60 @@ from panelloom.llm.common import stored
 
 #: Above this cosine the range of a query's strongest coordinate is narrow enough to be worth a sorted search.
 COORDINATE_FROM = 0.8
+#: Components of a block at most, whatever the vectors' width: 32 MB as doubles.
+_CELLS = 1 << 22
+#: Whole components from here on are refused: their squares would leave the range of doubles.
+_LIMIT = 1e150
 
 
-def whole(vectors: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
-    """(id, v, norm2): components floor(scale * x) as whole numbers; unusable vectors dropped.
+def usable(vectors: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
+    """(id, v, norm2) of the vectors that take part; norm2 only orders them.
 
     Null ids, null vectors and vectors with a null or non-finite component take no part.
     """
-    x = F.transform(F.col(vector_column), lambda c: F.floor(c.cast("double") * F.lit(float(scale))))
-    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(1e9))
-    usable = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & F.forall(vector_column, finite))
-    named = usable.select(F.col(id_column).cast("long").alias("id"), x.alias("v"))
-    return named.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))
+    kept = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & F.forall(vector_column, finite))
+    named = kept.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
+    return named.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + (c * scale) * (c * scale)))
 
 
-_BLOCK = "part int, size long, width int, longest double, ids binary, data binary"
+_BLOCK = "part int, size long, width int, kind string, longest double, ids binary, data binary"
 
 
-def _packed(rows_at_most: int):
-    """Rows of a partition as blocks: ids and an int64 matrix, longest vector first."""
+def _packed(rows_at_most: int, scale: float):
+    """Rows of a partition as blocks: ids and a matrix of floor(scale * x), longest vector first.
 
-    def block(part: int, ids: list, vectors: list, norms: list) -> dict:
+    Whole numbers are kept in the smallest type that holds them all. Doubles hold each of them exactly.
+    """
+
+    def block(part: int, ids: list, vectors: list) -> dict:
         width = max((len(v) for v in vectors), default=0)
-        data = np.zeros((len(ids), width), dtype=np.int64)
+        data = np.zeros((len(ids), width))
         for row, v in zip(data, vectors, strict=True):
-            row[: len(v)] = v
-        order = np.argsort(-np.array(norms), kind="stable")
-        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if not data.size or (data.min() >= np.iinfo(t).min and data.max() <= np.iinfo(t).max))
-        # The data type is read off the length.
-        return {"part": part, "size": len(ids), "width": width, "longest": math.sqrt(max(norms)), "ids": np.array(ids, dtype=np.int64)[order].tobytes(), "data": data[order].astype(kind).tobytes()}
+            row[: len(v)] = np.floor(scale * np.asarray(v, dtype=float))
+        if data.size and np.abs(data).max() >= _LIMIT:
+            raise ValueError(f"a vector has a scaled component of {_LIMIT:g} or more: its products leave 64 bits")
+        norms = np.sqrt((data**2).sum(axis=1))
+        order = np.argsort(-norms, kind="stable")
+        kind = next((t for t in ("i1", "i2", "i4") if not data.size or np.abs(data).max() <= np.iinfo(t).max), "f8")
+        return {"part": part, "size": len(ids), "width": width, "kind": kind, "longest": float(norms.max()), "ids": np.array(ids, dtype=np.int64)[order].tobytes(), "data": data[order].astype(kind).tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, norms, part = [], [], [], 0
+        ids, vectors, part = [], [], 0
         for pdf in batches:
-            for i, v, n, p in zip(pdf["id"], pdf["v"], pdf["norm2"], pdf["p"], strict=True):
-                ids.append(i), vectors.append(v), norms.append(n)
-                part = p
+            for i, v, part in zip(pdf["id"], pdf["v"], pdf["p"], strict=True):
+                ids.append(i), vectors.append(v)
                 if len(ids) == rows_at_most:
-                    yield pd.DataFrame([block(part, ids, vectors, norms)])
-                    ids, vectors, norms = [], [], []
+                    yield pd.DataFrame([block(part, ids, vectors)])
+                    ids, vectors = [], []
         if ids:
-            yield pd.DataFrame([block(part, ids, vectors, norms)])
+            yield pd.DataFrame([block(part, ids, vectors)])
 
     return run
 
 
-def _unpacked(size: int, width: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[len(data) // max(size * width, 1) or 1]
-    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=kind).reshape(size, width).astype(np.int64)
+def _unpacked(size: int, width: int, kind: str, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=kind).reshape(size, width).astype(float)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -84,36 +91,44 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(ids))
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, floor_: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query place, candidate ids, scores) of each query's k best in one bucket, of those that reach ``floor_``.
+def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, floor_: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """(query place, candidate ids, scores) of each query's k best in one bucket, of those that can reach ``floor_``.
 
-    ``c`` is in order of length, longest first. ``floor_``: a score for each query that its k-th best reaches at least
-    (null: none known), so that a candidate below it can be left out; one equal to it can't.
+    ``q`` and ``c`` hold whole numbers as doubles; ``c`` is in order of length, longest first. ``floor_``: a score for each query that its
+    k-th best reaches at least (-inf: none known), so that a candidate below it can be left out; one equal to it can't.
+    Products below 2**52 are exact as doubles. Above, doubles choose who may be among the k best, within their error, and those
+    are multiplied out as Python's whole numbers.
     """
     width = max(q.shape[1], c.shape[1])
     q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
-    q_len, c_len = (np.sqrt((x.astype(float) ** 2).sum(axis=1)) for x in (q, c))
-    exact = q_len.max(initial=0) * c_len.max(initial=0) < 2**52  # then float64 products and sums are whole numbers
-    fq, fc = (q.astype(float), c.astype(float)) if exact else (q.astype(object), c.astype(object))
+    q_len, c_len = (np.sqrt((x**2).sum(axis=1)) for x in (q, c))
+    floor_ = np.full(len(q), -np.inf) if floor_ is None else floor_
     top = c_len.max(initial=0)
-    if floor_ is None or top == 0:
-        cosine, reach = np.full(len(q), -1.0), np.full(len(q), len(c))
-    else:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cosine = np.where(q_len > 0, floor_ / (q_len * top), np.where(floor_ > 0, 2.0, -1.0))
-            need = np.where((q_len > 0) & (floor_ > 0), floor_ / np.maximum(q_len, 1e-300), 0.0) * (1 - 1e-12)
-        reach = len(c) - np.searchsorted(c_len[::-1], need, side="left")
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        cosine = np.where(floor_ == -np.inf, -1.0, np.where(q_len * top > 0, floor_ / (q_len * top), np.where(floor_ > 0, 2.0, -1.0)))
+        need = np.where((q_len > 0) & (floor_ > 0), floor_ / np.maximum(q_len, 1e-300), 0.0) * (1 - 1e-12)
+    reach = len(c) - np.searchsorted(c_len[::-1], need, side="left")
+
+    def chosen(i: int, at: np.ndarray, scores: np.ndarray) -> tuple[int, np.ndarray, list[int]]:
+        """The k best of candidates ``at``, whose products as doubles are ``scores``."""
+        if q_len[i] * top < 2**52:
+            best = _best(c_ids[at], scores, k)
+            return i, c_ids[at[best]], [int(x) for x in scores[best]]
+        off = (width + 2) * 2.0**-52 * q_len[i] * c_len[at]
+        if len(at) > k:
+            may = scores + off >= np.partition(scores - off, len(at) - k)[len(at) - k]
+            at = at[may]
+        exact = [sum(int(a) * int(b) for a, b in zip(q[i], c[j], strict=True)) for j in at]
+        best = sorted(range(len(at)), key=lambda x: (-exact[x], c_ids[at[x]]))[:k]
+        return i, c_ids[at[best]], [exact[x] for x in best]
+
     by_length = np.flatnonzero((cosine <= 1 + 1e-9) & (cosine < COORDINATE_FROM) & (reach > 0))
     for a in range(0, len(by_length), 256):
         part = by_length[a : a + 256]
-        far = int(reach[part].max())
-        products = fq[part] @ fc[:far].T
+        products = q[part] @ c[: int(reach[part].max())].T
         for row, i in zip(products, part, strict=True):
-            scores = row[: reach[i]]
-            own = c_ids[: reach[i]] != q_ids[i]
-            ids, scores = c_ids[: reach[i]][own], scores[own]
-            at = _best(ids, scores, k)
-            yield int(i), ids[at], scores[at]
+            at = np.flatnonzero(c_ids[: reach[i]] != q_ids[i])
+            yield chosen(int(i), at, row[at])
     narrow = np.flatnonzero((cosine <= 1 + 1e-9) & (cosine >= COORDINATE_FROM))
     if len(narrow):
         focus = np.abs(q[narrow]).argmax(axis=1)
@@ -124,32 +139,13 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
             for i in narrow[focus == f]:
                 x, t = q[i, f] / q_len[i], min(max(float(cosine[i]), -1.0), 1.0)
                 # A unit vector within the angle arccos t of the query has its coordinate within that angle of the query's.
-                spread = math.acos(t) + 1e-9
+                spread = math.acos(t) + 1e-7
                 angle = math.acos(max(-1.0, min(1.0, x)))
                 low, high = math.cos(min(math.pi, angle + spread)), math.cos(max(0.0, angle - spread))
-                a, b = np.searchsorted(line, low - 1e-9, "left"), np.searchsorted(line, high + 1e-9, "right")
+                a, b = np.searchsorted(line, low - 1e-7, "left"), np.searchsorted(line, high + 1e-7, "right")
                 near = order[a:b]
                 near = near[(c_ids[near] != q_ids[i]) & (near < reach[i])]
-                scores = fc[near] @ fq[i]
-                at = _best(c_ids[near], scores, k)
-                yield int(i), c_ids[near][at], scores[at]
-
-
-_FOUND = "query_id long, vec_id long, score long"
-
-
-def _pairs(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                q_ids, q = _unpacked(r.q_size, r.q_width, r.q_ids, r.q_data)
-                c_ids, c = _unpacked(r.size, r.width, r.ids, r.data)
-                floor_ = np.frombuffer(r.floors, dtype=float) if r.floors else None
-                out = [(np.full(len(ids), q_ids[i]), ids, np.asarray(scores)) for i, ids, scores in search(q_ids, q, c_ids, c, k, floor_)]
-                if out:
-                    yield pd.DataFrame({n: np.concatenate([np.asarray(x, dtype=np.int64) for x in xs]) for n, xs in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
-
-    return run
+                yield chosen(int(i), near, c[near] @ q[i])
 
 
 def _seeded(k: int):
@@ -159,40 +155,88 @@ def _seeded(k: int):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                q_ids, q = _unpacked(r.q_size, r.q_width, r.q_ids, r.q_data)
-                c_ids, c = _unpacked(r.size, r.width, r.ids, r.data)
+                q_ids, q = _unpacked(r.size, r.width, r.kind, r.ids, r.data)
+                c_ids, c = _unpacked(r.s_size, r.s_width, r.s_kind, r.s_ids, r.s_data)
                 floors = np.full(len(q_ids), -np.inf)
                 for i, _, scores in search(q_ids, q, c_ids, c, k, None):
                     if len(scores) >= k:
-                        floors[i] = float(min(scores))
-                rows.append(floors.tobytes())
-            yield pdf[["q_block", "q_size", "q_width", "q_longest", "q_ids", "q_data"]].assign(floors=rows, least=[float(np.frombuffer(f, dtype=float).min(initial=np.inf)) for f in rows])
+                        floors[i] = np.nextafter(float(min(scores)), -np.inf)  # a large score may be rounded up
+                rows.append(floors)
+            kept = pdf[["part", "size", "width", "kind", "longest", "ids", "data"]]
+            yield kept.assign(floors=[f.tobytes() for f in rows], least=[float(f.min(initial=np.inf)) for f in rows])
+
+    return run
+
+
+_FOUND = "query_id long, vec_id long, score long, over boolean"
+
+
+def _tile(k: int):
+    """The k best of each query of a tile's blocks in the tile's buckets, of those that reach its floor."""
+
+    def run(blocks: pd.DataFrame, buckets: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        buckets = [(r.longest, *_unpacked(r.size, r.width, r.kind, r.ids, r.data)) for r in buckets.sort_values("longest", ascending=False).itertuples(index=False)]
+        for r in blocks.itertuples(index=False):
+            q_ids, q = _unpacked(r.size, r.width, r.kind, r.ids, r.data)
+            floors = np.frombuffer(r.floors, dtype=float).copy()
+            best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+            for longest, c_ids, c in buckets:
+                if r.longest * longest * (1 + 1e-9) < floors.min(initial=np.inf):
+                    continue
+                for i, ids, scores in search(q_ids, q, c_ids, c, k, floors):
+                    best[i] = sorted([*best[i], *((-s, int(v)) for v, s in zip(ids, scores, strict=True) if s >= floors[i])])[:k]
+                    if len(best[i]) == k:
+                        floors[i] = max(floors[i], np.nextafter(float(-best[i][-1][0]), -np.inf))
+            for i, found in enumerate(best):
+                # Scores outside 64 bits are an error, unless enough others are higher.
+                out += [(q_ids[i], v, max(min(-s, 2**63 - 1), -(2**63)), not -(2**63) <= -s < 2**63) for s, v in found]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "over"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, id_column: str = "vec_id", vector_column: str = "embedding", bucket: int = 8192, block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, id_column: str = "vec_id", vector_column: str = "embedding", bucket: int = 8192, block: int = 512, tile: tuple[int, int] = (32, 8)) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with all vectors but its own.
 
-    Both frames have the id and vector columns; others are ignored. Components are floor(scale * x). Scores that tie go to the smaller id, so ranks
-    are fixed; a query with fewer candidates has them all. A candidate with the query's id is the query's own. Vectors of differing lengths count
-    as padded with zeros. An empty frame gives an empty result. ``bucket`` and ``block`` bound what one task multiplies at a time.
+    Both frames have the id and vector columns; others are ignored, whatever their names. Components are floor(scale * x). Scores that tie
+    go to the smaller id, so ranks are fixed; a query with fewer candidates has them all. A candidate with the query's id is the query's own,
+    so of rows that repeat an id none is another's candidate; each of them is a candidate of other queries. Null ids and vectors, and
+    vectors with a null or non-finite component take no part. Vectors of differing lengths count as padded with zeros, very long ones make
+    smaller blocks. An empty frame gives an empty result. Scores are exact whole numbers: a score among the k best that leaves 64 bits is an
+    error, and so is a scaled component of 1e150 or more.
+
+    ``bucket`` and ``block`` bound the vectors that are multiplied at a time, ``tile`` the blocks and buckets that meet in one group.
     """
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        rows = whole(df, id_column, vector_column, scale)
-        n = max(1, math.ceil(rows.count() / size))
-        dealt = rows.repartitionByRange(n, F.col("norm2").desc(), F.xxhash64("id")).withColumn("p", F.spark_partition_id())
-        packed = dealt.mapInPandas(_packed(size), _BLOCK)
-        return stored(packed.withColumn("key", F.expr("uuid()")), name)
-
-    buckets = blocks(vectors, bucket, "buckets")
-    asked = blocks(queries, block, "queries").select(F.col("key").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("size", "width", "longest", "ids", "data")))
-    seed = buckets.orderBy(F.col("longest").desc(), "key").limit(1)
-    floors = stored(asked.crossJoin(F.broadcast(seed.drop("part", "key"))).mapInPandas(_seeded(k), "q_block string, q_size long, q_width int, q_longest double, q_ids binary, q_data binary, floors binary, least double"), "floors")
-    # Numbers of the blocks alone: who must meet whom. One row stands for thousands of vectors.
-    meet = floors.select("q_block", "q_longest", "least").join(buckets.select("key", "longest"), (F.col("least") == float("-inf")) | (F.col("q_longest") * F.col("longest") * (1 + 1e-9) >= F.col("least"))).select("q_block", "key")
-    pairs = meet.join(floors, "q_block").join(buckets, "key")
-    spread = pairs.repartition(F.xxhash64("q_block", "key")).drop("q_block", "key", "part", "longest", "q_longest", "least")
-    found = spread.mapInPandas(_pairs(k), _FOUND)
+
+    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        rows = usable(df, id_column, vector_column, scale)
+        n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        size = max(1, min(size, _CELLS // max(width or 1, 1)))
+        parts = max(1, math.ceil(n / size))
+        dealt = rows.repartitionByRange(parts, F.col("norm2").desc(), F.xxhash64("id")).withColumn("p", F.spark_partition_id())
+        return stored(dealt.mapInPandas(_packed(size, scale), _BLOCK), name), parts
+
+    buckets, n_buckets = blocks(vectors, bucket, "buckets")
+    asked, n_blocks = blocks(queries, block, "queries")
+    # Small tables are cut finer, for enough tiles to keep a cluster busy.
+    most = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    a = max(1, min(tile[0], n_blocks // math.isqrt(2 * most) or 1))
+    b = max(1, min(tile[1], n_buckets // math.isqrt(2 * most) or 1))
+    buckets, asked = (df.withColumn(g, F.floor(F.col("part") / n).cast("int")) for df, g, n in ((buckets, "there", b), (asked, "here", a)))
+
+    seed = buckets.orderBy(F.col("longest").desc(), "part").limit(1).select(*(F.col(c).alias(f"s_{c}") for c in ("size", "width", "kind", "ids", "data")))
+    plain = "part int, size long, width int, kind string, longest double, ids binary, data binary"
+    floors = stored(asked.drop("here").crossJoin(F.broadcast(seed)).mapInPandas(_seeded(k), f"{plain}, floors binary, least double"), "floors").withColumn("here", F.floor(F.col("part") / a).cast("int"))
+
+    # One number a bucket group says how far down in length a block must look.
+    lengths = buckets.groupBy("there").agg(F.max("longest").alias("longest")).agg(F.collect_list(F.struct("there", "longest")).alias("lengths"))
+    may = lambda x: (F.col("least") == float("-inf")) | (F.col("longest") * x["longest"] * (1 + 1e-9) >= F.col("least"))
+    met = F.transform(F.filter("lengths", may), lambda x: x["there"])
+    asked = floors.crossJoin(F.broadcast(lengths)).withColumn("there", F.explode(met)).drop("lengths", "least")
+    pairs = asked.select(F.col("here").alias("from"), F.col("there").alias("to")).distinct()
+    tiles = asked.groupBy("here", "there").cogroup(buckets.join(pairs, F.col("there") == F.col("to")).groupBy("from", "to"))
+    found = tiles.applyInPandas(_tile(k), _FOUND)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    exact = F.when(F.col("over"), F.raise_error(F.lit("a score leaves 64 bits"))).otherwise(F.col("score"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", exact.cast("long").alias("score"))
