@@ -2,7 +2,8 @@
 
 Records of one digest share a payload: that with the largest page_id holds it, the others are revisits that name it.
 Archives are written and read through the file system that the path's scheme names (pyarrow.fs), under a
-temporary name and then renamed, so that a task that runs twice leaves the same file.
+temporary name and then renamed, so that a task that runs twice leaves the same files. An archive is closed when it has reached a
+size, so their number grows with the pages, and each is read by a task of its own.
 """
 
 from __future__ import annotations
@@ -107,36 +108,53 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """(page_id, url, html, refers_to): who refers to whom, by digest and size of payloads from ``least_bytes``.
 
     Only ids, digests and sizes meet by digest. The texts are joined by page_id, so that a payload that a third of
-    all pages share isn't one task's load. Rows with a null page_id refer to nothing and nothing refers to them.
+    all pages share isn't one task's load; who holds it is written first, so that adaptive execution can split the join
+    on a digest that very many pages have. Rows with a null page_id refer to nothing and nothing refers to them.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     light = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull())
     many = light.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
+    many = stored(many, "payloads")
     again = light.join(many, ["digest", "size"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     return rows.withColumn("digest", F.sha1("html")).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Archives of ``pages`` (page_id, url, html, refers_to), one a partition: (path, records, bytes)."""
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 1 << 30) -> DataFrame:
+    """Archives of ``pages`` (page_id, url, html, refers_to), one or more a partition: (path, records, bytes).
+
+    An archive that has reached ``archive_bytes`` is closed and the next one opened; a record is never cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
-        name = f"{base}/part-{context.partitionId():05d}.warc.gz"
-        draft = f"{name}.{context.taskAttemptId()}.tmp"
-        n = size = 0
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(draft, compression=None) as out:
-            for batch in batches:
-                for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    data = record(*(x.as_py() for x in row))
-                    out.write(data)
-                    n, size = n + 1, size + len(data)
-        if n:
+        number = n = size = 0
+        out = None
+
+        def closed() -> pa.RecordBatch:
+            nonlocal number, n, size, out
+            out.close()
+            if store.get_file_info(name).type != fs.FileType.NotFound:
+                store.delete_file(name)  # of an attempt that was lost after this step
             store.move(draft, name)
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/part-{context.partitionId():05d}.warc.gz"], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
-        else:
-            store.delete_file(draft)
+            row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            number, n, size, out = number + 1, 0, 0, None
+            return row
+
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                if out is None:
+                    name = f"{base}/part-{context.partitionId():05d}-{number:04d}.warc.gz"
+                    draft = f"{name}.{context.taskAttemptId()}.tmp"
+                    out = store.open_output_stream(draft, compression=None)
+                data = record(*(x.as_py() for x in row))
+                out.write(data)
+                n, size = n + 1, size + len(data)
+                if size >= archive_bytes:
+                    yield closed()
+        if out is not None:
+            yield closed()
 
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long")
 
@@ -167,12 +185,14 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
     return paths.select("path").mapInArrow(run, _READ)
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 1000, payloads: bool = False) -> DataFrame:
-    """``pages`` written to new archives in the shared folder and read back from them.
+def round_trip(pages: DataFrame, least_bytes: int = 1000, payloads: bool = False, archive_bytes: int = 1 << 30) -> DataFrame:
+    """``pages`` (page_id, url, html; others are ignored, whatever their names) written to new archives in the shared folder and read back.
 
     Null html is an empty payload, a null url has no target field. Repeated rows are records of their own; of equal
-    payloads under one largest page_id all rows with that id are responses. An empty table makes no archive and no rows.
+    payloads under one largest page_id all rows with that id are responses. A very long page is one record, whole in memory on its
+    way in and out. An empty table makes no archive and no rows. Archives are read in as many partitions as there are.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    made = stored(write_archives(with_revisits(pages, least_bytes), folder), "archives")
-    return read_archives(made.repartition(F.col("path")), payloads)
+    made = stored(write_archives(with_revisits(pages, least_bytes), folder, archive_bytes), "archives")
+    # The number is said, as adaptive execution would put a handful of short rows into one partition.
+    return read_archives(made.repartitionByRange(max(1, made.count()), "path"), payloads)

@@ -44,6 +44,37 @@ def test_top_k_equals_brute_force(spark, kind, bucket, block):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(rows, asked, 7, 64.0)
 
 
+def test_top_k_of_large_components(spark):
+    """Finite components of any size take part; products beyond doubles' whole numbers are exact."""
+    schema = "vec_id long, embedding array<double>"
+    three = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2e9, 0.0]), (2, [0.5, 0.0])], schema)
+    assert [tuple(r)[1:] for r in topk.top_k(three, three.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 64 * 128_000_000_000), (2, 2, 2048)]
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-(10**6), 10**6, 5)]) for i in range(60)]
+    rows += [(60, [1e12, 1.0, 0.0, 0.0, 0.0]), (61, [1e12, 1.0, 1.0, 0.0, 0.0]), (62, [0.25, 0.0, 0.0, 0.0, 0.0]), (63, [2.0**-9, 0.0, 0.0, 0.0, 0.0]), (64, [1e-300] * 5)]
+    df = spark.createDataFrame(rows, schema)
+    asked = {i for i in range(65) if i not in (60, 61)}
+    got = topk.top_k(df, df.where(F.col("vec_id").isin(sorted(asked))), k=6, scale=1.0, bucket=8, block=8)
+    assert {tuple(r) for r in got.collect()} == brute_top(rows, asked, 6, 1.0)
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.top_k(df, df.where("vec_id = 60"), scale=1.0).collect()
+    # Enough higher scores: one that leaves 64 bits downwards isn't asked for.
+    low = spark.createDataFrame([(0, [1e10]), (1, [1.0]), (2, [-1e10])], schema)
+    assert [tuple(r) for r in topk.top_k(low, low.where("vec_id = 0"), k=1, scale=1.0).collect()] == [(0, 1, 1, 10**10)]
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.top_k(low, low.where("vec_id = 0"), k=2, scale=1.0).collect()
+    huge = df.union(spark.createDataFrame([(99, [1e300, 0.0, 0.0, 0.0, 0.0])], schema))
+    with pytest.raises(Exception, match="1e\\+150 or more"):
+        topk.top_k(huge, df.where("vec_id = 1")).collect()
+
+
+def test_top_k_repeated_rows_and_differing_widths(spark):
+    rows = [(1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0]), (3, [0.0, 2.0, 5.0]), (4, [])]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, part string, longest double")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id = 2"), k=3, scale=1.0).collect())
+    assert got == [(2, 1, 1, 1), (2, 2, 1, 1), (2, 3, 3, 0)]
+
+
 def test_top_k_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], schema)
@@ -105,6 +136,15 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(df.where("false").drop("digest")).collect() == []
 
 
+def test_archives_are_bounded_and_read_apart(spark):
+    rows = [(i, "u", f"{i} " * 2000) for i in range(48)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4, "page_id")
+    back = warc.round_trip(df, archive_bytes=200)
+    used = back.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in used) == 48 and len(used) >= 12
+    assert {r["page_id"] for r in back.collect()} == set(range(48))
+
+
 def test_archives_detect_damage():
     good = warc.record(1, "u", "payload " * 50, None)
     assert [warc.unpack(m)["page_id"] for m in warc.members(io.BytesIO(good + warc.record(2, "u", None, None)))] == [1, 2]
