@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one a block, with elements that never hold the article left out. Text
 lengths (without links) are summed over sliding windows of lines; the first surge and the last dive mark the ends of
-the article, and all lines between stay. Where the page marks its article, lines outside it weigh nothing.
+the article, and all lines between stay. That holds for every page. What a page marks as its article only changes weights:
+a line in it weighs a fixed bonus more, and lines outside weigh nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Element names by their part in a page.
 _RAW = frozenset("script style noscript template textarea iframe object svg math canvas".split())
-_CHROME = frozenset("head nav footer aside form button select dialog menu audio video figure-tools".split())
+_CHROME = frozenset("head nav footer aside form button select dialog menu audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -31,20 +32,108 @@ _MARKS = frozenset(
     "sidebar breadcrumb breadcrumbs footer comment comments respond replies disqus share sharing social related recommended newsletter subscribe subscription popup modal "
     "widget toolbar pagination pager skip login signup search masthead topbar".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(>|(?=<)|$)|<[!?][^>]*(?:>|$)", re.DOTALL)
+#: A quote opens a value right behind = only: elsewhere it's a character like any other.
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>])*+)(>|(?=<)|$)|<[!?][^>]*(?:>|$)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 #: Elements whose end tag may be left out: the next of their kind ends them.
 _IMPLIED = frozenset("p li dt dd option".split())
+_LISTS = frozenset("ul ol dl select".split())
+#: Elements whose end ends a paragraph that is open in them.
+_HOLDS_P = frozenset("ul ol dl div article section main blockquote figure details".split())
 _WHITE = re.compile(r"\s+")
 
 
+#: A marked element with more than this share of a page's text is a wrapper; so is one that holds the page's main part.
+_WRAPS = {"article": 0.3, "": 0.9}
+
+
 @dataclass
 class Line:
     text: str
-    #: Characters that aren't in links; 0 outside a marked article.
+    #: Characters that aren't in links.
     weight: int
     heading: bool
     inside: bool
+    #: Number of the innermost marked element around it, -1 if there is none.
+    mark: int = -1
+
+
+@dataclass
+class Mark:
+    name: str
+    #: Number of the marked element around this one.
+    parent: int
+    #: Open elements of its name where it starts; for one whose end tag may be left out, open lists.
+    level: int
+    wraps: bool = False
+    held: int = 0
+
+
+class Marks:
+    """The marked elements of a page, and which of them are open: a tag costs the same however deep they are nested."""
+
+    def __init__(self) -> None:
+        self.all: list[Mark] = []
+        self.around: list[int] = []
+        self.loose: list[int] = []  # those whose end tag may be left out
+        self.at: dict[tuple[str, int], int] = {}
+        self.opened: dict[str, int] = {}
+        self.lists = 0
+
+    @property
+    def inner(self) -> int:
+        return self.around[-1] if self.around else -1
+
+    def _end(self, k: int) -> None:
+        while self.around and self.around[-1] >= k:
+            m = self.all[self.around.pop()]
+            self.at.pop((m.name, m.level), None)
+        while self.loose and self.loose[-1] >= k:
+            self.loose.pop()
+
+    def ends(self, name: str, closing: bool) -> int:
+        """The open marked element that this tag ends, with all in it; -1 if none."""
+        if self.loose:
+            m = self.all[self.loose[-1]]
+            if m.name == "p":
+                over = name == "p" or name in _CLOSES_P and (not closing or name in _HOLDS_P)
+            else:
+                over = self.lists == m.level and (name == m.name or closing and name in _LISTS)
+            if over:
+                return self.loose[-1]
+        return self.at.get((name, self.opened.get(name, 0)), -1) if closing else -1
+
+    def step(self, name: str, closing: bool, marked: bool) -> None:
+        k = self.ends(name, closing)
+        if k >= 0:
+            self._end(k)
+        if name in _LISTS:
+            self.lists = max(0, self.lists + (-1 if closing else 1))
+        if name not in _IMPLIED:
+            self.opened[name] = max(0, self.opened.get(name, 0) + (-1 if closing else 1))
+        if marked:
+            k = len(self.all)
+            self.all.append(Mark(name, self.inner, self.lists if name in _IMPLIED else self.opened[name]))
+            self.around.append(k)
+            if name in _IMPLIED:
+                self.loose.append(k)
+            else:
+                self.at[name, self.opened[name]] = k
+
+    def gone(self, lines: list[Line]) -> list[bool]:
+        """Which marked elements are left out: those that don't wrap the page, and all in them."""
+        for x in lines:
+            if x.mark >= 0:
+                self.all[x.mark].held += len(x.text)
+        for m in reversed(self.all):
+            if m.parent >= 0:
+                self.all[m.parent].held += m.held
+                self.all[m.parent].wraps |= m.wraps
+        total = sum(len(x.text) for x in lines)
+        out: list[bool] = []
+        for m in self.all:
+            out.append(m.parent >= 0 and out[m.parent] or not m.wraps and m.held <= _WRAPS.get(m.name, _WRAPS[""]) * total)
+        return out
 
 
 def _marked(attributes: str) -> bool:
@@ -57,20 +146,25 @@ def _marked(attributes: str) -> bool:
 
 
 def lines_of(html: str) -> list[Line]:
-    """The page's lines in order, chrome left out."""
+    """The page's lines in order, chrome left out.
+
+    Elements whose name says so are left out at once. Those that a class, id or role marks are left out when the page has been read, unless they wrap it:
+    a mark such as has-sidebar on the element around everything says nothing.
+    """
     lines: list[Line] = []
     text: list[str] = []
     in_link = 0
     link = articles = 0
     heading = False
     skip, depth = "", 0  # the element being left out, and how many of its name are open
+    marks = Marks()
     at = 0
 
     def flush() -> None:
         nonlocal text, in_link
         line = _WHITE.sub(" ", entities.unescape("".join(text))).strip()
         if line:
-            lines.append(Line(line, max(0, len(line) - in_link), heading, articles > 0))
+            lines.append(Line(line, max(0, len(line) - in_link), heading, articles > 0, marks.inner))
         text, in_link = [], 0
 
     def put(piece: str) -> None:
@@ -93,31 +187,31 @@ def lines_of(html: str) -> list[Line]:
             continue
         closing, attributes = bool(m.group(1)), m.group(3)
         if skip:
-            if name == skip and (closing or skip not in _IMPLIED):
+            if name == skip:
                 depth += -1 if closing else 1
-            elif skip in _IMPLIED and name == skip:
-                depth = 0
-            elif skip in _IMPLIED and (name in _CLOSES_P and (not closing or name in ("ul", "ol", "dl", "div", "article", "section", "main"))):
-                depth = 0  # its end tag was left out
             if depth > 0:
                 if not closing and name in _RAW:
                     at = _raw_end(html, name, at)
                 continue
-            was, skip = skip, ""
-            if closing and name == was:
-                continue
+            skip = ""
+            continue
         if name in _RAW:
             if not closing:
                 at = _raw_end(html, name, at)
             continue
-        leave_out = not closing and name not in _VOID and name not in ("html", "body", "main", "article") and (name in _CHROME or (name == "header" and not articles) or _marked(attributes))
-        if name in _BLOCKS or leave_out:
+        leave_out = not closing and (name in _CHROME or (name == "header" and not articles))
+        marked = not closing and not leave_out and name not in _VOID and name not in ("html", "body", "main") and _marked(attributes)
+        if name in _BLOCKS or leave_out or marked or marks.ends(name, closing) >= 0:
             flush()
         elif name == "br":
             put("\n")
         if leave_out:
             skip, depth = name, 1
             continue
+        if name not in _VOID:
+            marks.step(name, closing, marked)
+        if not closing and not marked and name in ("main", "article", "h1") and marks.around:
+            marks.all[marks.inner].wraps = True
         if name in ("article", "main"):
             articles = max(0, articles + (-1 if closing else 1))
         elif name == "a":
@@ -125,7 +219,8 @@ def lines_of(html: str) -> list[Line]:
         elif re.fullmatch("h[1-6]", name):
             heading = not closing
     flush()
-    return lines
+    gone = marks.gone(lines)
+    return [x for x in lines if x.mark < 0 or not gone[x.mark]]
 
 
 def _raw_end(html: str, name: str, at: int) -> int:
@@ -134,39 +229,46 @@ def _raw_end(html: str, name: str, at: int) -> int:
     return m.end() if m else len(html)
 
 
+def weights(lines: list[Line], bonus: int) -> list[int]:
+    """Characters outside links; where lines are marked as the article's, ``bonus`` more in it and nothing outside."""
+    marked = any(x.inside for x in lines)
+    return [x.weight + bonus if x.inside else 0 if marked else x.weight for x in lines]
+
+
 def main_text(html: str | None, window: int = 3, surge: int = 60) -> str:
     """The article's blocks, joined by an empty line; empty if the page has none.
 
-    A line starts the article if it and the ``window`` - 1 lines after it hold ``surge`` characters outside links and it has some
-    itself; the article ends with the last line for which that holds of it and the lines before. In a marked
-    article one character is enough. Headings right before the surge belong to it. A page whose lines never
-    reach the surge is short, and all its lines with text outside links count.
+    A line starts the article if it and the ``window`` - 1 lines after it weigh ``surge`` together and it weighs something
+    itself; the article ends with the last line for which that holds of it and the lines before. The bonus of a line in a marked article is
+    surge / window: it counts as much as a line of the least prose. Headings right before the surge belong to it. If all lines of a page weigh less
+    than the surge, the page is short, and all that weigh something are its text.
     """
     lines = lines_of(html or "")
-    marked = any(x.inside for x in lines)
-    weight = [(x.weight if x.inside else 0) if marked else x.weight for x in lines]
-    if marked:
-        weight = [max(w, 1) if x.inside else w for w, x in zip(weight, lines, strict=True)]
-    least = 1 if marked or sum(weight) < surge else surge
+    weight = weights(lines, -(-surge // window))
+    n = len(lines)
     sums = [0]
     for w in weight:
         sums.append(sums[-1] + w)
-    n = len(lines)
+    least = min(surge, max(1, sums[-1]))
+    if sums[-1] < surge:
+        window = n
     after = lambda i: sums[min(n, i + window)] - sums[i]
     before = lambda i: sums[i + 1] - sums[max(0, i + 1 - window)]
     first = next((i for i in range(n) if weight[i] and after(i) >= least), None)
     if first is None:
         return ""
     last = next(i for i in range(n - 1, -1, -1) if weight[i] and (before(i) >= least or i == first))
+    marked = any(x.inside for x in lines)
     while not marked and first and lines[first - 1].heading:
         first -= 1
     return "\n\n".join(x.text for x, w in zip(lines[first : last + 1], weight[first : last + 1], strict=True) if w or not marked)
 
 
 def extract(pages: DataFrame, column: str = "text") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html; others are ignored).
+    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html; others are ignored, whatever their names).
 
-    Null and empty html have an empty text. Rows are independent.
+    Null and empty html have an empty text; null ids and urls stay. Rows are independent, so repeated rows have the same text each and an empty
+    table gives an empty result. A very long page is worked through tag by tag, in time that grows with its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

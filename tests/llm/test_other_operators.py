@@ -179,8 +179,47 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+WRAPPED = f"<div class='layout has-sidebar'>%s<p>{LONG}</p><p>Ok.</p><div class='sidebar'>side</div><ul><li class=ad><p>buy</p><li>{LONG}</ul></div>"
+
+
+@pytest.mark.parametrize("head", ["<h1>Title</h1>", ""])
+def test_a_mark_on_a_wrapper_keeps_the_article(head):
+    want = ["Title"] * bool(head) + [LONG.strip(), "Ok.", LONG.strip()]
+    assert html_text.main_text(WRAPPED % head).split("\n\n") == want
+    assert html_text.main_text(f"<p title=it\"s>{LONG}</p>") == LONG.strip()
+    comments = f"<div id=comments><article class=comment><p>{LONG * 4}</p></article></div>"
+    assert html_text.main_text(f"<main><h1>Title</h1><p>{LONG}</p>{comments}</main>") == f"Title\n\n{LONG.strip()}"
+
+
+def test_surge_and_dive_on_every_page(spark):
+    """The text against windows counted one by one, on all pages, with their marks and without."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        for page in (r["html"], (r["html"] or "").replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div")):
+            lines = html_text.lines_of(page or "")
+            w = html_text.weights(lines, 20)
+            total = sum(w)
+            width, least = (3, 60) if total >= 60 else (len(lines), max(total, 1))
+            up = [i for i in range(len(w)) if w[i] and sum(w[i : i + width]) >= least]
+            down = [i for i in range(len(w)) if w[i] and (sum(w[max(0, i + 1 - width) : i + 1]) >= least or i == up[0])]
+            marked = any(x.inside for x in lines)
+            kept = []
+            if up:
+                a = up[0]
+                while not marked and a and lines[a - 1].heading:
+                    a -= 1
+                kept = [x.text for x, v in list(zip(lines, w, strict=True))[a : down[-1] + 1] if v or not marked]
+            assert html_text.main_text(page) == "\n\n".join(kept)
+
+
+def test_pages_long_repeated_and_none(spark):
+    page = f"<article>{f'<p>{LONG}</p>' * 20_000}</article>"
+    df = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 1), (2, None, "", 1)], "page_id long, url string, html string, n_chars int")
+    assert sorted(r["n_chars"] for r in html_text.extract(df).collect()) == [0] + [20_000 * (len(LONG) + 1) - 2] * 2
+    assert html_text.extract(df.where("false")).collect() == []
+
+
 def test_main_text_survives_odd_markup():
-    for odd in ("<" * 5000, "<a " * 5000, "<p class='" + "x" * 9000, "&" * 5000, "<div>" * 3000 + "x", "<!--" * 2000, "<script>" + "y" * 9000, "<article>" * 2000):
+    for odd in ("<" * 5000, "<a " * 5000, "<p class='" + "x" * 9000, "&" * 5000, "<div>" * 3000 + "x", "<!--" * 2000, "<script>" + "y" * 9000, "<article>" * 2000, "<div class=ad>" * 30_000 + "x", "<li class=ad><ul>" * 30_000, "<p class=ad>x" * 30_000):
         html_text.main_text(odd)
 
 
