@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +158,29 @@ def test_bpe_equals_the_library(spark, sf, library):
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_long_words(library):
+    """Words of up to a million letters, in seconds and as the library has them."""
+    rng = random.Random(8)
+    coder = bpe.loaded(queries.vocabulary())
+    words = ["a" * 1001, "ab" * 3000 + "a", "é的" * 2000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), *("".join(rng.choices("etaoin", k=rng.randint(60, 400))) for _ in range(200))]
+    start = time.monotonic()
+    got = coder.encode_batch(words)
+    assert time.monotonic() - start < 20
+    for w, ids in zip(words, got, strict=True):
+        assert ids == ",".join(map(str, library.encode(w, add_special_tokens=False).ids))
+
+
+def test_bpe_clashes_repeats_and_none(spark):
+    df = spark.createDataFrame([(1, "ab", "mine"), (1, "ab", "mine"), (None, None, "mine")], "doc_id long, text string, ids string")
+    ids = bpe.encode(df, queries.vocabulary())
+    assert ids.columns == ["doc_id", "text", "ids"]
+    back = bpe.decode(ids, queries.vocabulary())
+    assert back.columns == ["doc_id", "text", "ids"] and sorted(r["text"] for r in back.collect()) == ["", "ab", "ab"]
+    assert len(bpe.digests(df, queries.vocabulary()).collect()) == 3
+    for out in (bpe.encode(df.where("false"), queries.vocabulary()), back.where("false"), bpe.digests(df.where("false"), queries.vocabulary())):
+        assert out.collect() == []
+
+
 def test_bpe_round_trip(spark):
     rows = ["Hello  wörld\n", "", None, "tab\tnew"]
     ids = bpe.encode(texts(spark, rows, "lang string"), queries.vocabulary())
