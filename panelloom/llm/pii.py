@@ -1,8 +1,12 @@
 """Personal data: generators propose spans, boosted trees score them, calibrated thresholds select.
 
 All on the main path is DataFrame expressions. Regular expressions give matches and the pieces between them,
-whose lengths add up to positions in code points. The trees are fitted on the driver from a bounded sample's
+whose lengths add up to positions in code points. The trees are fitted on the driver from a
 table of distinct feature rows, and compiled into one CASE expression.
+
+What the trees judge are spans in unusual forms, for which there are no labels. They learn from planted ones: where a text holds a
+span that the base rules prove, its value is written in an unusual form in the span's own surroundings (right), and something that
+has that form by chance is put into nearby prose (wrong). So a label says where a span comes from; it isn't computed from its features.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import let, sample_ids
+from panelloom.llm.common import cut, let, pieces_of, running, sample_ids
 
 #: The kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -56,22 +60,31 @@ _CONTEXT = {
     "phone": "phone|tel|call|mobile|cell|fax|ruf|appel|llam",
 }
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-_SPANS = "array<struct<kind:int,start:int,end:int,match:string,wide:int>>"
+_SPANS = "array<struct<kind:int,start:int,end:int,match:string,wide:int,before:string,prose:string,after:string>>"
+#: Code points before a span that count as its surroundings; they don't reach back beyond the kind's last match.
+_NEAR = 24
 
 
 def _matches(text: Column, pattern: str, kind: int, wide: int) -> Column:
-    """All matches with their code-point places."""
+    """All matches with their code-point places and surroundings, in time that grows with text and matches."""
 
     def of(parts: Column) -> Column:
-        step = lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.length(m["found"])).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + m["gap"]).cast("int").alias("start"), (acc["at"] + m["gap"] + F.length(m["found"])).cast("int").alias("end"), m["found"].alias("match"), F.lit(wide).alias("wide")))).alias("out"),
-        )
-        pairs = F.zip_with(parts["found"], F.slice(parts["gaps"], 1, F.size(parts["found"])), lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc["out"])
+        found, gaps = parts["found"], parts["gaps"]
+        each = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: F.length(f) + F.length(g))
+
+        def spans(ends: Column) -> Column:
+            return F.transform(
+                found,
+                lambda f, i: F.struct(
+                    F.lit(kind).alias("kind"), (F.get(ends, i) + F.length(F.get(gaps, i))).cast("int").alias("start"), F.get(ends, i + 1).cast("int").alias("end"), f.alias("match"), F.lit(wide).alias("wide"),
+                    F.substring(F.get(gaps, i), -_NEAR, _NEAR).alias("before"),
+                    F.substring(F.get(gaps, i), 1, 2 * _NEAR).alias("prose"), F.substring(F.get(gaps, i + 1), 1, 1).alias("after"),
+                ),
+            )
+
+        return let(running(each, F.lit(0), lambda a, b: a + b), spans)
 
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gaps")), of)
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), of)
 
 
 def _digits(x: Column) -> Column:
@@ -108,49 +121,59 @@ def candidates(text: Column) -> Column:
         found.append(F.when(text.rlike(_MAYBE[kind]), _matches(where, _BASE[kind], k, 0)).otherwise(none))
     for k, kind in enumerate(KINDS):
         found.append(F.when(text.rlike(_WIDE_MAYBE[kind]), _matches(text, _WIDE[kind], k, 1)).otherwise(none))
-    return F.transform(
-        F.concat(*found),
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), s["wide"].alias("wide"),
-            ((s["wide"] == 0) & _valid(s["kind"], s["match"])).alias("base"),
-        ),
-    )
+    return F.transform(F.concat(*found), lambda s: s.withField("base", (s["wide"] == 0) & _valid(s["kind"], s["match"])))
 
 
 #: Format and context features, all small whole numbers.
-FEATURES = ("kind", "wide", "digits", "length", "groups", "luhn", "octets", "named", "joined", "letters")
+FEATURES = ("kind", "digits", "length", "groups", "luhn", "octets", "named", "joined", "letters")
 
 
-def features(s: Column, text: Column) -> list[Column]:
+def features(s: Column) -> list[Column]:
     match, kind = s["match"], s["kind"]
-    before = F.lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
-    near = F.substring(text, F.greatest(s["start"], F.lit(1)), F.when(s["start"] > 0, 1).otherwise(0))
-    after = F.substring(text, s["end"] + 1, F.lit(1))
+    before = F.lower(s["before"])
     digits = F.length(_digits(match))
     named = F.lit(False)
     for k, words in enumerate(_CONTEXT[x] for x in KINDS):
         named = named | ((kind == k) & before.rlike(rf"(?:{words})[^A-Za-z]{{0,12}}$"))
     flag = lambda c: F.when(c, 1).otherwise(0)
     return [
-        kind, s["wide"], F.least(digits, F.lit(24)), F.least(F.length(match), F.lit(60)),
+        kind, F.least(digits, F.lit(24)), F.least(F.length(match), F.lit(60)),
         F.least(F.size(F.split(match, rf"[^A-Za-z0-9{_MARK}]+|{_MARK}")) - 1, F.lit(9)),
         flag(F.when(digits.between(12, 19), _luhn(_digits(match))).otherwise(F.lit(False))),
         flag(match.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$") | match.contains(":")),
-        flag(named), flag(near.rlike("[A-Za-z0-9]") | after.rlike("[A-Za-z0-9]")),
+        flag(named), flag(before.rlike("[a-z0-9]$") | s["after"].rlike("[A-Za-z0-9]")),
         flag(match.rlike(r"[A-Za-z]{2,}[)\]}]?$")),
     ]
 
 
-def weak_label(f: dict[str, Column], base: Column) -> Column:
-    """Truth for fitting: what a base rule keeps; of wide spans, those whose format checks out in full."""
-    k = f["kind"]
-    wide = (
-        F.when(k == 0, f["letters"] == 1)
-        .when(k == 1, f["joined"] == 0)
-        .when(k == 2, f["luhn"] == 1)
-        .otherwise((f["joined"] == 0) & f["digits"].between(10, 13))
+def planted(s: Column, gap: Column) -> tuple[Column, Column]:
+    """Of a proved span and the text before it: its value in an unusual form, and something of that form by chance (null: none).
+
+    The form varies with the value's hash.
+    """
+    kind, match = s["kind"], s["match"]
+    digits = _digits(match)
+    style = F.pmod(F.xxhash64(match), F.lit(3))
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (style + 1).cast("int"))
+    grouped = lambda d: F.regexp_replace(d, "([0-9]{4})(?=[0-9])", F.concat(F.lit("$1"), pick(".", "/", "_")))
+    called = lambda d: F.concat(pick("(", "", ""), F.substring(d, 1, 3), pick(") ", "-", "."), F.substring(d, 4, 3), pick("-", "-", "."), F.substring(d, 7, 4))
+    host = F.substring_index(match, "@", -1)
+    right = (
+        F.when(kind == 0, F.concat(F.substring_index(match, "@", 1), pick("(at)", " [at] ", " (at) "), F.when(style == 0, host).otherwise(F.replace(host, F.lit("."), pick(".", "[dot]", " (dot) ")))))
+        .when(kind == 1, F.regexp_replace(F.md5(match), "(.{4})(?=.)", "$1:"))
+        .when((kind == 2) & (F.length(digits) == 16), grouped(digits))
+        .when((kind == 3) & (F.length(digits) >= 10), called(F.substring(digits, -10, 10)))
+    )
+    other = F.conv(F.substring(F.md5(match), 1, 14), 16, 10)
+    other = F.substring(F.concat(other, other), 1, 16)  # digits that stand for nothing
+    prose = lambda k: F.regexp_extract(gap, "([A-Za-z]+) ([A-Za-z]+) ([A-Za-z]+)", k)
+    wrong = (
+        F.when((kind == 0) & (prose(1) != ""), F.concat(prose(1), pick("(at)", " [at] ", " (at) "), prose(2), F.lit(". "), prose(3)))
+        .when(kind == 1, F.concat_ws(":", *(F.substring(other, 2 * k + 1, 2) for k in range(8))))
+        .when(kind == 2, grouped(other))
+        .when(kind == 3, called(F.substring(other, 1, 10)))
     )
-    return F.when(f["wide"] == 0, base).otherwise(wide)
+    return right, F.when(F.length(gap) >= 2 * _NEAR, wrong)
 
 
 # --- boosted trees on a bounded table of (features, label, weight) -----------------------------------------
@@ -158,7 +181,7 @@ def weak_label(f: dict[str, Column], base: Column) -> Column:
 
 @dataclass
 class Trees:
-    """Depth-2 regression trees on the logit, and a threshold for each kind (None: never)."""
+    """Depth-2 regression trees on the logit, and a threshold for each kind (None: its unusual forms are never chosen)."""
 
     start: float = 0.0
     trees: list[tuple] = field(default_factory=list)
@@ -208,11 +231,12 @@ def _tree(rows: list, grad: list[float], hess: list[float], at: list[int], depth
     return (c, v, _tree(rows, grad, hess, low, depth - 1, rate), _tree(rows, grad, hess, high, depth - 1, rate))
 
 
-def boost(table: list[tuple[tuple[int, ...], int, int, int]], rounds: int = 25, rate: float = 0.4, precision: float = 0.99) -> Trees:
+def boost(table: list[tuple[tuple[int, ...], int, int, int]], rounds: int = 25, rate: float = 0.4, precision: float = 0.9) -> Trees:
     """Trees from (features, label, fold, weight) rows: fold 0 fits, fold 1 calibrates.
 
     A kind's threshold is the least score at which the calibration fold's spans reach ``precision`` (with one
-    wrong span added, so that a few rows prove nothing); a kind without that is never added.
+    wrong span added, so that a few rows prove nothing); a kind without that is never added. Random digits pass a card's check one time in ten, which
+    is why ``precision`` is no higher.
     """
     fit = [r for r in table if r[2] == 0] or table
     model = Trees()
@@ -242,47 +266,98 @@ def boost(table: list[tuple[tuple[int, ...], int, int, int]], rounds: int = 25,
     return model
 
 
+def training(docs: DataFrame) -> DataFrame:
+    """(doc_id, features..., label): planted spans of all documents, as the wide generators propose them."""
+    of = lambda t: F.filter(candidates(t), lambda s: s["base"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    proved = docs.where("doc_id is not null").select("doc_id", F.explode(of(text)).alias("s"))
+
+    def plants(s: Column) -> Column:
+        right, wrong = planted(s, s["prose"])
+        row = lambda v, before, label: F.struct(v.alias("value"), before.alias("before"), F.lit(label).alias("label"))
+        return F.array(row(right, s["before"], 1), row(wrong, s["prose"], 0))
+
+    put = proved.select("doc_id", F.explode(plants(F.col("s"))).alias("p")).where("p.value is not null")
+    put = put.withColumn("t", F.concat(F.col("p.before"), F.lit(" "), F.col("p.value"), F.lit(" ")))
+    seen = put.select("doc_id", "p", F.explode(candidates(F.col("t"))).alias("s")).where("s.wide = 1")
+    at = F.length(F.col("p.before")) + 1
+    whole = (F.col("s.start") <= at) & (F.col("s.end") >= at + F.length(F.col("p.value")))
+    label = (whole & (F.col("p.label") == 1)).cast("int").alias("label")
+    return seen.select("doc_id", *(c.cast("int").alias(n) for n, c in zip(FEATURES, features(F.col("s")), strict=True)), label)
+
+
 def fit(docs: DataFrame, sample_docs: int = 20_000) -> Trees:
-    """Trees for ``docs``, fitted on half of at most ``sample_docs`` documents: those whose ids have the least hashes.
+    """Trees for ``docs``, fitted on planted spans of half of at most ``sample_docs`` documents: those whose ids have the least hashes.
 
     All other documents calibrate the thresholds, so that a rare kind is judged by all there is of it. The sample's ids
     alone are broadcast, so its size bounds that; what comes to the driver is the table of distinct feature rows, whose
-    number the features' ranges bound.
+    number the features' ranges bound. Without proved spans of a kind there is no threshold for it.
     """
-    ids = sample_ids(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample_docs).withColumn("sampled", F.lit(True))
-    known = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(ids), "doc_id", "left")
-    spans = known.select("doc_id", "t", "sampled", F.explode(candidates(F.col("t"))).alias("s"))
+    share = 1 << 40
+    total = docs.where("doc_id is not null").count()
+    # A cut by the hash's range keeps the sample's share before ids are compared.
+    near = docs.select("doc_id").where("doc_id is not null")
+    if total > 2 * sample_docs:
+        near = near.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < F.lit(share * 3 * sample_docs // (2 * total)))
+    ids = sample_ids(near.distinct(), "doc_id", sample_docs).withColumn("sampled", F.lit(True))
     half = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")
-    named = spans.select(F.when(F.col("sampled"), half).otherwise(1).alias("fold"), F.col("s.base").alias("base"), *(c.cast("int").alias(n) for n, c in zip(FEATURES, features(F.col("s"), F.col("t")), strict=True)))
-    label = weak_label({n: F.col(n) for n in FEATURES}, F.col("base")).cast("int").alias("label")
-    rows = named.select(*FEATURES, label, "fold").groupBy(*FEATURES, "label", "fold").count().collect()
+    known = training(docs.select("doc_id", "text")).join(F.broadcast(ids), "doc_id", "left").withColumn("fold", F.when(F.col("sampled"), half).otherwise(1))
+    rows = known.groupBy(*FEATURES, "label", "fold").count().collect()
     return boost(sorted((tuple(r[n] for n in FEATURES), r["label"], r["fold"], r["count"]) for r in rows))
 
 
+_CHOSEN = "array<struct<start:int,kind:int,end:int,base:boolean>>"
+
+
+def _clear_of(base: Column, wide: Column) -> Column:
+    """The spans of ``wide`` that no span of ``base`` of their kind overlaps: one sorted pass, not all pairs."""
+    shift = F.lit(1 << 32)
+
+    def of(all_: Column) -> Column:
+        key = lambda s, x: s["kind"] * shift + s[x]
+        ends = F.transform(all_, lambda s: F.when(s["base"], key(s, "end")).otherwise(F.lit(-1)))
+        starts = F.reverse(F.transform(all_, lambda s: F.when(s["base"], key(s, "start")).otherwise(F.lit(1 << 62))))
+        n = F.size(all_)
+        reach = F.struct(running(ends, F.lit(-1).cast("long"), lambda a, b: F.greatest(a, b)).alias("last"), running(starts, F.lit(1 << 62), lambda a, b: F.least(a, b)).alias("next"))
+
+        def kept(r: Column) -> Column:
+            free = lambda s, i: ~s["base"] & (F.get(r["last"], i) <= key(s, "start")) & (F.get(r["next"], n - 1 - i) >= key(s, "end"))
+            return F.filter(all_, free)
+
+        return let(reach, kept)
+
+    plain = lambda xs: F.transform(xs, lambda s: F.struct(s["kind"].cast("long").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    return let(F.sort_array(F.concat(plain(base), plain(wide))), of)
+
+
 def find(docs: DataFrame, model: Trees | None = None, column: str = "pii") -> DataFrame:
     """``docs`` (doc_id, text, others) with an array ``column`` of spans (start, kind, end, base), in order.
 
     ``kind`` is the place in KINDS, ``end`` is exclusive, both count code points. Base spans always stay; others
     stay if the trees' score reaches their kind's threshold and no base span of the kind overlaps them. Null
-    and empty texts have no spans. Rows are independent, so ties and repeated rows are judged alike.
+    and empty texts have no spans. Rows are independent, so repeated rows are judged alike, and an empty table gives an empty result. Texts are
+    searched whole, in time that grows with their length and their spans. Other columns stay; one named ``column`` is replaced.
     """
     model = fit(docs) if model is None else model
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def chosen(all_: Column) -> Column:
-        def keep(s: Column) -> Column:
-            clear = ~F.exists(all_, lambda b: b["base"] & (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            enough = F.lit(False)
-            for k, t in enumerate(model.thresholds):
-                if t is not None:
-                    enough = enough | ((s["kind"] == k) & (score(s) >= t - 1e-9))
-            return s["base"] | (enough & clear)
+    def score(s: Column) -> Column:
+        return let(F.struct(*(c.alias(f"f{i}") for i, c in enumerate(features(s)))), lambda f: model.expression([f[f"f{i}"] for i in range(len(FEATURES))]))
+
+    def enough(s: Column) -> Column:
+        out = F.lit(False)
+        for k, t in enumerate(model.thresholds):
+            if t is not None:
+                out = out | ((s["kind"] == k) & (score(s) >= t - 1e-9))
+        return (s["wide"] == 1) & out
 
-        def score(s: Column) -> Column:
-            return let(F.struct(*(c.alias(f"f{i}") for i, c in enumerate(features(s, text)))), lambda f: model.expression([f[f"f{i}"] for i in range(len(FEATURES))]))
+    def chosen(all_: Column) -> Column:
+        def with_wide(wide: Column) -> Column:
+            base = F.filter(all_, lambda s: s["base"])
+            slim = lambda xs: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["kind"].cast("int").alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
+            return F.when(F.size(wide) == 0, F.sort_array(slim(base))).otherwise(F.sort_array(F.concat(slim(base), slim(_clear_of(base, wide)))))
 
-        picked = F.transform(F.filter(all_, keep), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
-        return F.when(F.size(all_) == 0, F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")).otherwise(F.sort_array(F.array_distinct(picked)))
+        return F.when(F.size(all_) == 0, F.array().cast(_CHOSEN)).otherwise(let(F.filter(all_, enough), with_wide))
 
     return docs.withColumn(column, let(candidates(text), chosen))
 
@@ -294,31 +369,34 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: Trees | None = None) -> DataFrame:
-    """``docs`` with every span's text replaced by its kind in brackets; spans that overlap become one.
+    """``docs`` with every span's text replaced by its kind in brackets; spans that overlap become one, named by the first.
 
-    n_chars, where there is one, follows the new text. All rows and columns stay.
+    n_chars, where there is one, follows the new text. All rows and columns stay, whatever the names of those beside text.
     """
-    found = find(docs, model, "pii__")
+    model = fit(docs) if model is None else model
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row__"), F.col("text"))
+    found = find(held, model, "pii__")
+    name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k + 1)
 
     def rebuilt(spans: Column) -> Column:
-        name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k + 1)
-
-        def step(acc: Column, s: Column) -> Column:
-            inside = s["start"] < acc["at"]
-            gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-            return F.struct(F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, name(s["kind"]))).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        def with_ends(ends: Column) -> Column:
+            # A span that starts behind all before it opens a gap; it has text since the last end.
+            opens = F.filter(F.transform(spans, lambda s, i: F.struct(F.get(ends, i).alias("since"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda o: o["start"] >= o["since"])
+            return let(
+                pieces_of(F.col("text")),
+                lambda p: F.concat(F.array_join(F.transform(opens, lambda o: F.concat(cut(p, o["since"], o["start"]), name(o["kind"]))), ""), cut(p, F.element_at(ends, -1), F.length("text"))),
+            )
 
-        rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-        return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, rest)
+        return let(running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), with_ends)
 
     some = F.size("pii__") > 0
-    changed = found.withColumn("text__", F.when(some, rebuilt(F.col("pii__"))).otherwise(F.col("text")))
+    changed = found.select("row__", some.alias("some__"), F.when(some, rebuilt(F.col("pii__"))).otherwise(F.col("text")).alias("text__"))
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(F.col("text__").alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(some, F.length("text__").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.col("some__"), F.length("text__").cast(docs.schema[c].dataType)).otherwise(F.col("row__.n_chars")).alias(c))
         else:
-            columns.append(F.col(f"`{c}`"))
+            columns.append(F.col(f"row__.`{c}`"))
     return changed.select(*columns)
