@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import stored
+from panelloom.llm.common import dealt_anew, stored
 
 
 def _starred(pairs: DataFrame) -> DataFrame:
     """Each (u, v) with the least of u and all v of u as m.
 
     The least value is aggregated map-side and joined back, so a vertex with very many neighbours is
-    never gathered: the join's hot partition is one that adaptive execution can split.
+    never gathered, and the join's hot partition is one that adaptive execution can split (see dealt_anew).
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return pairs.join(least, "u")
+    return pairs.join(dealt_anew(least, "u"), "u")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelloom.llm import ngram_join
@@ -71,6 +72,33 @@ def test_equals_brute_force(spark, block):
     assert made(spark, texts, block=block, anchors=1) == brute(texts)
 
 
+@pytest.mark.parametrize(("hot", "bits"), [(2, (12, 24)), (4, (3, 5)), (10**9, (12, 24))])
+def test_hot_tokens_and_few_buckets(spark, monkeypatch, hot, bits):
+    """The result is the same whether tokens go to their bucket or past it, in any number of buckets."""
+    for name, value in (("_HOT", hot), ("_BITS", bits), ("_HOT_ROW", 7), ("_AT_ONCE", 50), ("_FLUSH", 200)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = varied(11, 120)
+    texts |= {1000 + k: " ".join(f"x{j}" for j in range(40)) + f" end{k}" for k in range(30)}
+    texts |= {2000 + k: texts[1000 + k % 5] for k in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()}
+    assert got == brute(texts)
+
+
+def test_hot_tokens_are_spread(monkeypatch):
+    """A passage of all texts goes past its bucket: what a bucket gets doesn't grow with the texts that have it."""
+    monkeypatch.setattr(ngram_join, "_FLUSH", 2000)
+    passage = " ".join(f"p{k}" for k in range(60))
+    sizes = {}
+    for n in (200, 2000):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([f"{passage} own{i} a b c d e" for i in range(n)])], names=["doc_id", "text"])
+        rows = pa.Table.from_batches(list(ngram_join._deal(5, 4, 5, 12)(batch.slice(i, 50) for i in range(0, n, 50)))).to_pylist()
+        passing = sum(len(r["sets"]) // 8 for r in rows if r["bucket"] == ngram_join._HOT_PAIRS)
+        sizes[n] = max(sum(len(r["sets"] or b"") // 8 for r in rows if r["bucket"] == b) for b in {r["bucket"] for r in rows if r["bucket"] >= 0})
+        assert passing > 20 * n and len({r["spread"] for r in rows if r["bucket"] == ngram_join._HOT_PAIRS}) > 3
+    assert sizes[2000] < 5 * max(sizes[200], 10)
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
