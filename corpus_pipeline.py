@@ -11,6 +11,11 @@ from panelloom.llm.common import shared_dir, table
 from panelloom.llm.queries import vocabulary
 
 
+#: Shares of the mixing stage. Quality rules have taken out what is "poor", of which hardly a token is left: it has no target here, as a share of it
+#: would be made of a few documents dealt some ten thousand times.
+TARGETS = {"good": 0.97, "toxic": 0.03}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_rules.keep_good(docs)
@@ -28,7 +33,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents dealt out at the rates that bring the domains to their target shares."""
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

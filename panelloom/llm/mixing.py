@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,10 @@ BUCKETS = 1024
 DAMPING = 0.02
 #: Shares of a fitting step that are tried beside the whole.
 SHORTENED = (0.5, 0.25)
-#: A text's words aren't independent: together they count as so many at most.
+#: A text's words aren't independent: together they count as so many at most. All of them are read, a text of more words has the same
+#: mean evidence a word, weighed as if it had this many. Without it posteriors of long texts are all 0 or 1.
 EVIDENCE = 60
-#: Words that mark a domain alone: so many at most, in so many sampled texts at least, so many standard
+#: Words that mark a domain alone: so many at most (a bound on the model, as BUCKETS is), in so many sampled texts at least, so many standard
 #: deviations from chance.
 TELLING_WORDS, TELLING_TEXTS, TELLING = 64, 8, 6.0
 
@@ -100,9 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Classifi
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with n_tokens (words) and posteriors (an array, one share a domain).
+    """``docs`` with n_tokens (words) and posteriors (an array, one share a domain); columns of these names are replaced.
 
-    A null or empty text has no tokens and the prior's posteriors.
+    A null or empty text has no tokens and the prior's posteriors. Texts are read whole, rows one by one.
     """
     kept = range(len(DOMAINS) - 1)
     table = lambda rows: [F.from_json(F.lit(json.dumps([w[k] for w in rows])), "array<double>") for k in kept]
@@ -130,7 +132,8 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
         return let(F.struct(summed(F.transform(w, _bucket), flat).alias("all"), summed(places, alone).alias("alone")), soft)
 
     found = let(words(F.col("text")), scored)
-    return docs.withColumn("mix__", found).withColumns({"n_tokens": F.col("mix__.n_tokens"), "posteriors": F.col("mix__.posteriors")}).drop("mix__")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "posteriors")]
+    return docs.select(*others, found.alias("posteriors")).withColumns({"n_tokens": F.col("posteriors.n_tokens"), "posteriors": F.col("posteriors.posteriors")})
 
 
 def rate(posteriors: Column, steps: list[list[float]]) -> Column:
@@ -158,23 +161,39 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 @dataclass(frozen=True)
 class Mix:
+    """Steps, and each domain's expected tokens with what was asked for (None: nothing)."""
+
     steps: list[list[float]]
     totals: list[float]
-    targets: list[float]
+    targets: list[float | None]
+    #: Domains that aren't within the tolerance: their tokens less their target, as a share of all.
+    missed: dict[str, float] = field(default_factory=dict)
+
+    def check(self, strict: bool) -> Mix:
+        """Targets that can't be met (a domain without tokens, or too few passes) are an error or a warning, never silent."""
+        if self.missed:
+            said = "targets are missed by " + ", ".join(f"{d} {x:+.4f}" for d, x in self.missed.items())
+            if strict:
+                raise ValueError(said)
+            warnings.warn(said, stacklevel=2)
+        return self
 
 
-def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_steps: int = 12, tolerance: float = 1e-4) -> Mix:
+def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_steps: int = 20, tolerance: float = 1e-4) -> Mix:
     """Steps of the projected least squares on ``mass`` (n_tokens, posteriors).
 
     The domain with the largest share keeps its tokens, and the others' targets are in proportion to it: all of them are
-    fitted, a short domain's by rates above 1. Each pass tries the step scaled by the inverse of the K x K matrix of rates' effects over
+    fitted, a short domain's by rates above 1. A domain that ``targets`` leaves out has none, and its tokens go with the rates that the others
+    get. Each pass tries the step scaled by the inverse of the K x K matrix of rates' effects over
     documents with a rate above 0, whole and shortened, and the one scaled by that matrix over all documents; the
     one that leaves the least squared error (in the scale of the latter, in which its step never adds to it) is kept, so that totals
-    don't swing about their targets. ``max_steps`` bounds the passes; what is left shows in ``totals``.
+    don't swing about their targets. ``max_steps`` bounds the passes; what is left is ``missed``.
     """
     wanted = targets or TARGETS
-    n = len(DOMAINS)
-    p = [F.get("posteriors", k) for k in range(n)]
+    held = [k for k, d in enumerate(DOMAINS) if d in wanted]
+    n = len(held)
+    p = [F.get("posteriors", k) for k in held]
+    full = lambda step: [step[held.index(k)] if k in held else 0.0 for k in range(len(DOMAINS))]
 
     def totals(tried: list[list[list[float]]]) -> list[tuple[list[float], list[list[float]]]]:
         """Totals and matrix after each of several lists of steps, in one pass."""
@@ -183,7 +202,7 @@ def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_step
             r = F.col(f"r{i}")
             columns += [F.sum(r * F.col("n_tokens") * p[k]) for k in range(n)]
             columns += [F.sum(F.when(r > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(i, n)]
-        rates = mass.withColumns({f"r{i}": rate(F.col("posteriors"), steps) for i, steps in enumerate(tried)})
+        rates = mass.withColumns({f"r{i}": rate(F.col("posteriors"), [full(x) for x in steps]) for i, steps in enumerate(tried)})
         row = iter([x or 0.0 for x in rates.agg(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()])
         out = []
         for _ in tried:
@@ -199,9 +218,10 @@ def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_step
     steps: list[list[float]] = []
     now, matrix = totals([steps])[0]
     whole = damped(matrix)
-    main = max((k for k in range(n) if now[k] > 0), key=lambda k: wanted[DOMAINS[k]], default=0)
-    scale = now[main] / wanted[DOMAINS[main]] if wanted[DOMAINS[main]] > 0 else 0.0
-    goal = [wanted[d] * scale for d in DOMAINS]
+    shares = [wanted[DOMAINS[k]] for k in held]
+    main = max((k for k in range(n) if now[k] > 0), key=lambda k: shares[k], default=0)
+    scale = now[main] / shares[main] if n and shares[main] > 0 else 0.0
+    goal = [x * scale for x in shares]
 
     def left(sums: list[float]) -> float:
         gap = [g - t for g, t in zip(goal, sums, strict=True)]
@@ -212,30 +232,38 @@ def fit_rates(mass: DataFrame, targets: dict[str, float] | None = None, max_step
         fast = _solve(damped(matrix), gap)
         tried = [[*steps, step] for step in ([fast] + [[x * share for x in fast] for share in SHORTENED] + [_solve(whole, gap)])]
         steps, (now, matrix) = min(zip(tried, totals(tried), strict=True), key=lambda x: left(x[1][0]))
-    return Mix(steps, now, goal)
+    all_ = max(sum(goal), 1e-9)
+    missed = {DOMAINS[k]: (t - g) / all_ for k, g, t in zip(held, goal, now, strict=True) if abs(t - g) > 10 * tolerance * all_}
+    by_domain = dict(zip(held, zip(now, goal, strict=True), strict=True))
+    return Mix([full(x) for x in steps], [by_domain.get(k, (0.0, None))[0] for k in range(len(DOMAINS))], [by_domain.get(k, (0.0, None))[1] for k in range(len(DOMAINS))], missed)
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>..., rate) for every row of ``docs`` (doc_id, text; others are ignored).
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, strict: bool = False, **options) -> DataFrame:
+    """(doc_id, n_tokens, p_<domain>..., rate) for every row of ``docs`` (doc_id, text; others are ignored, whatever their names).
 
-    Repeated rows have the same rate. Texts without words have no tokens and move nothing. An empty table gives an empty result.
+    Repeated rows have the same rate, each their own row. Null and empty texts have no tokens and move nothing; null ids stay. Texts are read whole. An empty
+    table gives an empty result. Targets that can't be met are a warning, with ``strict`` an error.
     """
     model = fit(docs, labels, **options)
     mass = stored(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", "n_tokens", "posteriors"), "mass")
-    mix = fit_rates(mass, targets)
+    mix = fit_rates(mass, targets).check(strict)
     return mass.select("doc_id", "n_tokens", *(F.get("posteriors", k).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate(F.col("posteriors"), mix.steps).alias("rate"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """``docs`` dealt out at their rates: whole copies, and one more with the odds of the rest, by a hash of doc_id.
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, strict: bool = False, **options) -> DataFrame:
+    """``docs`` dealt out at their rates: whole copies, and one more with the odds of the rest.
 
-    Posteriors are computed for the totals and once more where the rates apply, which costs a second
-    pass of the texts and spares shuffling them. Columns stay.
+    The coin is a hash of doc_id (of the text, where that is null), so rows that repeat an id are dealt alike. Posteriors are computed for the totals and
+    once more where the rates apply, which costs a second pass of the texts and spares shuffling them. Columns stay, whatever their names. Nulls, empty
+    tables and targets that can't be met are as in ``mixing_rates``.
     """
     model = fit(docs, labels, **options)
     mass = stored(with_posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "posteriors"), "mass")
-    mix = fit_rates(mass, targets)
-    odds = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    copies = F.floor(F.round(rate(F.col("posteriors"), mix.steps), 3) + odds).cast("int")
-    held = with_posteriors(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row__"), "doc_id", "text"), model).withColumn("copies__", copies).where("copies__ > 0")
-    return held.withColumn("copy__", F.explode(F.array_repeat(F.lit(1), F.col("copies__")))).select("row__.*")
+    mix = fit_rates(mass, targets).check(strict)
+    coin = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("mix"), "doc_id")), F.xxhash64(F.lit("mix"), "text"))
+    odds = F.shiftrightunsigned(coin, 11) / F.lit(float(1 << 53))
+    # Rates of 1 that rounding has moved by a hair stay 1.
+    near = F.round(rate(F.col("posteriors"), mix.steps), 12)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row__"), "doc_id", "text")
+    dealt = with_posteriors(row, model).withColumn("copies__", F.floor(near + odds).cast("int")).where("copies__ > 0")
+    return dealt.withColumn("copy__", F.explode(F.array_repeat(F.lit(1), F.col("copies__")))).select("row__.*")

@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,60 @@ def test_mixing_edge_cases(spark):
     assert doubled.columns == ["doc_id", "text", "kept", "pii", "n_tokens"]
 
 
+def made_mass(spark, n: int = 3000):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(n):
+        x = [rng.gammavariate(a, 1) for a in (6, 0.5, 0.5)]
+        rows.append((rng.randint(0, 300), [v / sum(x) for v in x]))
+    return rows, spark.createDataFrame(rows, "n_tokens long, posteriors array<double>")
+
+
+@pytest.mark.parametrize("targets", [{"good": 0.5, "poor": 0.3, "toxic": 0.2}, {"good": 0.92, "poor": 0.05, "toxic": 0.03}, {"good": 0.93, "poor": 0.03, "toxic": 0.04}, {"good": 0.9, "toxic": 0.1}])
+def test_mixing_against_brute_force_projected_gradient(spark, targets):
+    """Plain projected gradient steps, many of them, on the whole table: both meet the targets with rates that aren't negative."""
+    rows, mass = made_mass(spark)
+    mix = mixing.fit_rates(mass, targets)
+    assert not mix.missed
+    held = [k for k, d in enumerate(mixing.DOMAINS) if d in targets]
+    n, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])[:, held]
+    share = np.array([targets[mixing.DOMAINS[k]] for k in held])
+    mine = np.ones(len(n))
+    for step in mix.steps:
+        mine = np.maximum(0, mine + p @ np.array([step[k] for k in held]))
+    goal = share * (n @ p)[share.argmax()] / share.max()
+    r, rate_ = np.ones(len(n)), 0.5 / (np.linalg.eigvalsh((p * n[:, None]).T @ p).max())
+    for _ in range(20_000):
+        r = np.maximum(0, r - rate_ * p @ ((r * n) @ p - goal))
+    for tokens in ((mine * n) @ p, (r * n) @ p):
+        assert np.abs(tokens / tokens.sum() - share / share.sum()).max() < 1e-3
+    assert np.allclose([t for t, g in zip(mix.totals, mix.targets, strict=True) if g is not None], (mine * n) @ p)
+
+
+def test_mixing_says_what_it_misses(spark):
+    none = spark.createDataFrame([(10, [1.0, 0.0, 0.0])] * 50, "n_tokens long, posteriors array<double>")
+    mix = mixing.fit_rates(none, {"good": 0.5, "poor": 0.5})
+    assert mix.missed["poor"] < -0.4
+    with pytest.raises(ValueError, match="poor"):
+        mix.check(strict=True)
+    with pytest.warns(UserWarning, match="poor"):
+        mix.check(strict=False)
+    assert mixing.fit_rates(none.where("false")).check(strict=True).totals == [0.0] * 3
+
+
+def test_mixed_keeps_clashing_columns_and_small_rates(spark, monkeypatch):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    df = texts(spark, ["a b", None, "a b"] * 20, "n_tokens string, posteriors string, copies__ string, row__ string, doc string")
+    monkeypatch.setattr(mixing, "rate", lambda p, steps: F.lit(2.25))
+    out = mixing.mixed(df, labels)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert all(r["n_tokens"] == r["posteriors"] == r["copies__"] == r["row__"] == "x" for r in rows) and 120 < len(rows) < 150
+    nulls = df.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("t "), F.monotonically_increasing_id().cast("string")))
+    monkeypatch.setattr(mixing, "rate", lambda p, steps: F.lit(0.5))
+    assert 10 < mixing.mixed(nulls, labels).count() < 50
+
+
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")
