@@ -84,7 +84,8 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     ``turns`` has conv_id, turn, role, text; other columns are ignored. Null texts and roles are empty. Turns are in order of
     turn, then role, then text, nulls first; repeated rows are turns of their own. Conversations in an order
     that the machine rejects are formatted too, with valid false and the place of the first wrong turn.
-    A formatted conversation is one value, so all its turns meet in one row.
+    A formatted conversation is one value, so all its turns meet in one row; texts of any length are whole. Rows with a null conv_id are one
+    conversation of that id. An empty table gives an empty result.
     """
     t = template or Template()
     plain = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))

@@ -111,7 +111,7 @@ WITH w AS (
          CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(l.n - l.d, 0) AS BIGINT) AS n_dup_lines, coalesce(l.n, 0) AS n_lines,
-         CAST(coalesce(k.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(k.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]+', '', 'g')) AS n_latin,
          len(list_filter(w.w, lambda x: list_contains([STOP], x))) AS n_stop
   FROM w LEFT JOIN covered k USING (doc_id) LEFT JOIN lines l USING (doc_id)
 ), b AS (
@@ -119,7 +119,7 @@ WITH w AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.3
-       AND NOT (n_words >= 30 AND n_dup_lines / n_lines > 0.6) AND NOT (n_words >= 150 AND n_stop / n_words < 0.01) AS kept
+       AND NOT (n_words >= 30 AND n_dup_lines / n_lines > 0.6) AND NOT (n_words >= 150 AND n_stop / n_words < 0.01 AND 2 * n_latin >= word_chars) AS kept
 FROM b
 """.replace("STOP", ", ".join(f"'{x}'" for x in sorted({w for v in quality_rules.STOP_WORDS.values() for w in v.split()})))
 

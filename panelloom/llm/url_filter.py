@@ -73,7 +73,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, strict:
     """(page_id, host, path, rule, verdict, strict_hits, soft_hits) of every row of ``pages`` (page_id, url).
 
     The verdict is the longest fitting rule's; without one, block if a strict term or ``soft_limit`` different soft terms occur, else
-    allow. Null urls and those without :// have an empty host and path; the former are allowed. Rows are independent.
+    allow. Null urls and those without :// have an empty host and path; the former are allowed. Rows are independent: repeated rows are judged alike, null
+    ids stay, and an empty table gives an empty result. Urls are read whole, in time that grows with their length. Columns beside page_id and url are ignored,
+    whatever their names.
     """
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = split.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules))

@@ -111,6 +111,18 @@ def test_chat_order(spark):
     assert chat.format_chats(df.where("false")).collect() == []
 
 
+def test_chat_repeats_nulls_and_long_texts(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", None), (1, 0, "user", "x" * 500_000), (1, 0, "user", "x" * 500_000)]
+    got = {r["conv_id"]: (r["formatted"].count("</turn>"), r["valid"]) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {None: (2, True), 1: (2, False)}
+
+
+def test_urls_repeated_null_and_long(spark):
+    rows = [(1, "http://x.org/casino", "a"), (1, "http://x.org/casino", "a"), (None, None, "a"), (2, "http://x.org/" + "a/" * 200_000, "a")]
+    got = sorted((str(r["page_id"]), r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string")).collect())
+    assert got == [("1", "block"), ("1", "block"), ("2", "allow"), ("None", "allow")]
+
+
 def test_chat_query(spark, sf):
     text = "\\### Assistant: </turn> ok"
     r = queries.QUERIES["op5_chat_format"](spark, sf).where("conv_id = -7").first()

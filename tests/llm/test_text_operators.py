@@ -43,6 +43,16 @@ def test_quality_counts(spark):
     assert quality_rules.keep_good(texts(spark, [])).collect() == []
 
 
+def test_quality_of_other_scripts_and_clashing_columns(spark):
+    greek, junk = " ".join(f"λέξη{k}" for k in range(200)), " ".join(f"zzq{k}x" for k in range(200))
+    df = texts(spark, [greek, junk, greek], "quality__ string, row__ string, n_words string")
+    out = quality_rules.keep_good(df)
+    rows = out.collect()
+    assert out.columns == df.columns and [r["doc_id"] for r in rows] == [0, 2] and all(r["quality__"] == r["row__"] == r["n_words"] == "x" for r in rows)
+    failed = {r["doc_id"]: list(r["failed"]) for r in quality_rules.quality(df).select("doc_id", "quality.failed").collect()}
+    assert failed == {0: [], 1: ["stop_word_ratio>=0.01"], 2: []}
+
+
 def test_quality_keeps_clean_documents(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
