@@ -112,10 +112,26 @@ def noise_level(x: np.ndarray, u: np.ndarray) -> float:
 # --- ridge and factor regressions -----------------------------------------------------------------------------
 
 
-def ridge(x: np.ndarray, alpha: float) -> np.ndarray:
-    """C of next = C now, by ridge regression over successive rows."""
+def ridge_factors(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(P, Q) with next = P (Q now), by ridge regression over successive rows.
+
+    Solved among the rows, of which a window has a few dozen: nothing of the columns' number squared is ever held.
+    """
     a, b = x[:-1], x[1:]
-    return np.linalg.solve(a.T @ a + alpha * np.eye(x.shape[1]), a.T @ b).T
+    return np.linalg.solve(a @ a.T + alpha * np.eye(len(a)), b).T, a
+
+
+def ridge(x: np.ndarray, alpha: float) -> np.ndarray:
+    """C of next = C now: for few columns, such as factors."""
+    p, q = ridge_factors(x, alpha)
+    return p @ q
+
+
+def singular(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Singular value decomposition of the product P Q, from the factors."""
+    (left, r), (right, s) = np.linalg.qr(p), np.linalg.qr(q.T)
+    u, values, vt = np.linalg.svd(r @ s.T)
+    return left @ u[:, : len(values)], values, vt[: len(values)] @ right.T
 
 
 def ridge_alpha(x: np.ndarray) -> float:
@@ -124,15 +140,15 @@ def ridge_alpha(x: np.ndarray) -> float:
     grid = [0.1 * n, 1.0 * n, 10.0 * n]
     if len(x) - 1 < 4:
         return grid[1]
-    errors = [float(((x[-2:] - x[-3:-1] @ ridge(x[:-2], a).T) ** 2).mean()) for a in grid]
+    fits = [ridge_factors(x[:-2], a) for a in grid]
+    errors = [float(((x[-2:] - (x[-3:-1] @ q.T) @ p.T) ** 2).mean()) for p, q in fits]
     return grid[int(np.argmin(errors))]
 
 
 def factor_var(x: np.ndarray, k: int, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(basis, operator): leading principal directions and a ridge VAR of the factors in them."""
     k = max(1, min(k, x.shape[1] - 2))
-    _, vectors = np.linalg.eigh(x.T @ x / len(x))
-    u = vectors[:, ::-1][:, :k]
+    u = np.linalg.svd(x, full_matrices=False)[2][:k].T
     return u, ridge(x @ u, alpha)
 
 
@@ -151,11 +167,12 @@ class _Local:
     def __init__(self, resid: np.ndarray, k: int, with_ridge: bool):
         self.centre = ewm_mean(resid)
         d = resid - self.centre
-        self.c = ridge(d, ridge_alpha(d)) if with_ridge else None
+        self.c = ridge_factors(d, ridge_alpha(d)) if with_ridge else None
         self.u, self.a = factor_var(d, k)
 
     def by_ridge(self, last: np.ndarray) -> np.ndarray:
-        return self.c @ (last - self.centre) + self.centre
+        p, q = self.c
+        return p @ (q @ (last - self.centre)) + self.centre
 
     def by_factors(self, last: np.ndarray) -> np.ndarray:
         return self.u @ (self.a @ (self.u.T @ (last - self.centre))) + self.centre
@@ -224,9 +241,9 @@ def method_window(train: np.ndarray, test: np.ndarray, k: int = 8) -> dict[str,
         z = d @ u_pca
         own = np.divide((z[1:] * z[:-1]).sum(0), (z[:-1] ** 2).sum(0), out=np.zeros(z.shape[1]), where=(z[:-1] ** 2).sum(0) > 1e-12)
         full = np.linalg.lstsq(z[:-1], z[1:], rcond=None)[0].T
-        c = ridge(d, max(1.0, 0.1 * n))
-        left, s, right = np.linalg.svd(ridge(d, max(1.0, 0.01 * n)), full_matrices=False)
-        own_slope = np.array([ar_fit(y[:, [i]])[0][0] for i in range(n)])
+        p, q = ridge_factors(d, max(1.0, 0.1 * n))
+        left, s, right = singular(*ridge_factors(d, max(1.0, 0.01 * n)))
+        own_slope = ar_fit(y, np.arange(n))[0]
         last = d[-1]
         forecasts = {
             "pooled": pool, "ar1": one_step(y[-1], own_slope, mean),
@@ -234,10 +251,10 @@ def method_window(train: np.ndarray, test: np.ndarray, k: int = 8) -> dict[str,
             "pca_ridge": pool + centre + u_pca @ (a_pca @ (u_pca.T @ last)),
             "dmd_diag": pool + centre + u_dmd @ (np.diag(a_dmd) * (u_dmd.T @ last)), "dmd_full": pool + centre + u_dmd @ (within_radius(a_dmd) @ (u_dmd.T @ last)),
             "dmd_ridge": pool + centre + u_dmd @ (ridge(d @ u_dmd, 1.0) @ (u_dmd.T @ last)),
-            "ridge": pool + centre + c @ last, "reduced_rank": pool + centre + (left[:, :kk] * s[:kk]) @ (right[:kk] @ last),
+            "ridge": pool + centre + p @ (q @ last), "reduced_rank": pool + centre + (left[:, :kk] * s[:kk]) @ (right[:kk] @ last),
         }
-        for name, p in forecasts.items():
-            out.setdefault(name, []).append(p)
+        for name, pred in forecasts.items():
+            out.setdefault(name, []).append(pred)
         y = np.vstack([y, actual])
     return {a: np.array(p) for a, p in out.items()}
 

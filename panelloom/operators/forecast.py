@@ -71,27 +71,38 @@ def methods(rows: DataFrame, k: int = 8) -> DataFrame:
     return run_windows(rows.withColumn("variant", F.lit("all")), lambda a, b, block, _: kernels.method_window(a, b, k))
 
 
-def placebo(rows: DataFrame, n: int, seed: int = 42, fixed: tuple[str, ...] = ()) -> DataFrame:
-    """G1 and M2 under the real blocks (variant "real") and ``n`` random assignments of the same sizes ("0", "1", ...).
+def placebo(rows: DataFrame, n: int, seed: int = 42, fixed: tuple[str, ...] = (), a_task: int = 25) -> DataFrame:
+    """(test_year, variant, arch, r2) of G1 and M2 under the real blocks (variant "real") and of M2 under ``n`` random assignments of the same sizes.
 
     Blocks named in ``fixed`` keep their actors. Each assignment has a generator of its own, seeded by (seed, number), so that
-    windows agree on it and no order of execution matters.
+    windows agree on it and no order of execution matters. A window is sent out once for ``a_task`` assignments, which are made where it lies, and only
+    their scores come back. G1 knows no blocks, so its score is the same under all.
     """
-    variants = rows.sparkSession.range(-1, n).select(F.when(F.col("id") < 0, F.lit("real")).otherwise(F.col("id").cast("string")).alias("variant"))
+    tasks = rows.sparkSession.range(-(-(n + 1) // a_task)).withColumnRenamed("id", "task")
 
-    def model(a: np.ndarray, b: np.ndarray, block: np.ndarray, variant: str) -> dict[str, np.ndarray]:
-        if variant != "real":
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        train, test, _, _, block = _matrices(pdf)
+        out = []
+        if len(train) >= 4 and len(test):
             free = ~np.isin(block, fixed)
-            block = block.copy()
-            block[free] = np.random.default_rng([seed, int(variant)]).permutation(block[free])
-        return kernels.forecast_window(a, b, block, wanted=("G1", "M2"))
+            spread = ((test - test.mean()) ** 2).sum()
+            numbers = range(int(key[1]) * a_task - 1, min((int(key[1]) + 1) * a_task - 1, n))
+            for k in numbers:
+                dealt = block.copy()
+                if k >= 0:
+                    dealt[free] = np.random.default_rng([seed, k]).permutation(block[free])
+                for arch, pred in kernels.forecast_window(train, test, dealt, wanted=("G1", "M2") if k < 0 else ("M2",)).items():
+                    out.append((int(key[0]), "real" if k < 0 else str(k), arch, 1 - ((test - pred) ** 2).sum() / spread if spread > 0 else 0.0))
+        return pd.DataFrame(out, columns=["test_year", "variant", "arch", "r2"])
 
-    return run_windows(rows.crossJoin(F.broadcast(variants)), model)  # variants: n + 1 rows
+    columns = ["test_year", "task", "actor", "period", "value", "train", "block"]
+    return rows.crossJoin(F.broadcast(tasks)).select(*columns).groupBy("test_year", "task").applyInPandas(one, "test_year int, variant string, arch string, r2 double")  # tasks: a few dozen rows
 
 
 def placebo_summary(scores: DataFrame) -> DataFrame:
     """(real, mean, sd, z, p, n) from (test_year, variant, arch, r2): mean M2 - G1 of the real blocks among the placebos; ddof 0."""
-    wide = scores.groupBy("test_year", "variant").agg((F.max(F.when(F.col("arch") == "M2", F.col("r2"))) - F.max(F.when(F.col("arch") == "G1", F.col("r2")))).alias("delta"))
+    base = scores.where("arch = 'G1'").groupBy("test_year").agg(F.max("r2").alias("base"))
+    wide = scores.where("arch = 'M2'").join(F.broadcast(base), "test_year").withColumn("delta", F.col("r2") - F.col("base"))  # base: one row a year
     means = wide.groupBy("variant").agg(F.avg("delta").alias("delta"))
     real = means.where("variant = 'real'").select(F.col("delta").alias("real"))
     fake = means.where("variant <> 'real'").crossJoin(F.broadcast(real))

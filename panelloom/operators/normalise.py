@@ -102,13 +102,21 @@ def _moving(n: int) -> Callable[[DataFrame], Column]:
     return lambda _: F.avg(V).over(Window.partitionBy("actor").orderBy("period").rowsBetween(1 - n, 0))
 
 
+#: Coefficients of Acklam's approximation, numerator and denominator of the middle part, then of the tails.
+NORMAL_MIDDLE = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572),
+)
+NORMAL_TAIL = (
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416),
+)
+
+
 def normal_quantile(p: Column) -> Column:
     """Inverse normal distribution function by Acklam's rational forms (relative error < 1.2e-9) for 0.02425 <= p <= 0.97575, and its tail form beyond."""
     # Fixed values of the approximation.
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+    (a, b), (c, d) = NORMAL_MIDDLE, NORMAL_TAIL
 
     def poly(x: Column, terms: tuple[float, ...]) -> Column:
         out = F.lit(terms[0])
@@ -128,7 +136,8 @@ def target_transforms() -> dict[str, Callable[[DataFrame], Column]]:
     ranks = lambda _: S.pct_rank(F.col(V), "period")
     return {
         "ranks": ranks,
-        "normal_quantiles": lambda df: normal_quantile(F.greatest(F.least(ranks(df), F.lit(0.995)), F.lit(0.005))),
+        # least and greatest pass over nulls, which must stay.
+        "normal_quantiles": lambda df: F.when(F.col(V).isNotNull(), normal_quantile(F.greatest(F.least(ranks(df), F.lit(0.995)), F.lit(0.005)))),
         "winsorized_z": lambda _: F.greatest(F.least(S.zscore(F.col(V), cross), F.lit(2.0)), F.lit(-2.0)),
         "sector_relative": lambda _: F.col(V) - F.avg(V).over(Window.partitionBy("period", "sector")),
         "ma2": _moving(2),

@@ -22,10 +22,14 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_registry(actors: DataFrame, path: str, **metadata) -> None:
-    """The registry as one JSON object; a registry is a few hundred rows."""
-    rows = [json.loads(r) for r in actors.orderBy("position").drop("position").toJSON().collect()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({**metadata, "actors": rows}, f, indent=2)
+    """The registry as one JSON object with its metadata, written by Spark to any file system: ``path`` is a folder with one part.
+
+    A registry is a few hundred rows, which meet in one value.
+    """
+    one = F.struct("position", F.to_json(F.struct(*(c for c in actors.columns if c != "position"))).alias("a"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["a"]), ", ")
+    head = json.dumps({**metadata, "actors": []}).removesuffix("]}")
+    actors.agg(F.concat(F.lit(head), listed, F.lit("]}")).alias("value")).write.mode("overwrite").text(path)
 
 
 def taxonomy_actors(markdown: str) -> list[dict[str, str]]:

@@ -13,6 +13,7 @@ from panelloom.operators import windows as W
 from panelloom.plans import standins as st
 from panelloom.plans.book import Book
 from panelloom.plans.panel_queries import rounded
+from panelloom.session import kept
 
 BOOK = Book()
 page = BOOK.page
@@ -48,14 +49,12 @@ def method_comparison_r2(spark: SparkSession, d: str) -> DataFrame:
 
 @page()
 def placebo_test(spark: SparkSession, d: str) -> DataFrame:
-    scores = sc.r_squared(fc.placebo(_rows(spark, d), N_PLACEBO), ["test_year", "variant", "arch"])
-    return rounded(fc.placebo_summary(scores), "real", "mean", "sd", "z", "p")
+    return rounded(fc.placebo_summary(kept(spark, d, "placebo", lambda: fc.placebo(_rows(spark, d), N_PLACEBO))), "real", "mean", "sd", "z", "p")
 
 
 @page()
 def stratified_placebo_test(spark: SparkSession, d: str) -> DataFrame:
-    scores = sc.r_squared(fc.placebo(_rows(spark, d), N_PLACEBO, fixed=("REMAINDER",)), ["test_year", "variant", "arch"])
-    return rounded(fc.placebo_summary(scores), "real", "mean", "sd", "z", "p")
+    return rounded(fc.placebo_summary(kept(spark, d, "stratified_placebo", lambda: fc.placebo(_rows(spark, d), N_PLACEBO, fixed=("REMAINDER",)))), "real", "mean", "sd", "z", "p")
 
 
 @page()

@@ -129,7 +129,23 @@ for _name, _expr in _TARGETS.items():
     )
 
 
-@page(dates="period")
+def _quantile_sql(p: str) -> str:
+    """The standard normal's quantile of ``p``, as operators.normalise.normal_quantile has it."""
+
+    def poly(x: str, terms: tuple[float, ...]) -> str:
+        out = repr(terms[0]) + "::DOUBLE"
+        for t in terms[1:]:
+            out = f"({out} * {x} + ({t!r}::DOUBLE))"
+        return out
+
+    ratio = lambda x, top, bottom: f"{poly(x, top)} / {poly(x, (*bottom, 1.0))}"
+    tail = lambda u: ratio(f"sqrt(-2 * ln({u}))", *N.NORMAL_TAIL)
+    q = f"(({p}) - 0.5)"
+    top, bottom = N.NORMAL_MIDDLE
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 1 - 0.02425 THEN -{tail(f'(1 - {p})')} ELSE {poly(f'({q} * {q})', top)} * {q} / {poly(f'({q} * {q})', (*bottom, 1.0))} END"
+
+
+@page(sql(f"SELECT actor, period, round({_quantile_sql('p')}, 6) AS target FROM x", "gappy", "registry", x=f"SELECT actor, period, CASE WHEN value IS NOT NULL THEN greatest(least({_PCT}, 0.995), 0.005) END AS p FROM gappy JOIN registry USING (actor)"), dates="period")
 def target_normal_quantiles(spark: SparkSession, d: str) -> DataFrame:
     p = st.gappy(spark, d).join(st.registry(spark, d).select("actor", "sector"), "actor")
     return rounded(N.transformed(p, "normal_quantiles").select("actor", "period", "target"), "target")

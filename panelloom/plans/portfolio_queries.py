@@ -11,6 +11,7 @@ from panelloom.plans import standins as st
 from panelloom.plans.book import Book
 from panelloom.plans.panel_queries import rounded
 from panelloom.plans.standins import sql
+from panelloom.session import kept
 
 BOOK = Book()
 page = BOOK.page
@@ -166,7 +167,20 @@ def sharpe_moments(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(p, "ann_return", "ann_vol", "sharpe", "hit_rate", digits=5), "skew", "kurt", digits=3)
 
 
-@page()
+def _cdf(x: str) -> str:
+    """As functions.semantics.normal_cdf."""
+    t = f"(1 / (1 + 0.2316419::DOUBLE * abs({x})))"
+    tail = f"(exp(-pow({x}, 2) / 2) / sqrt(2 * pi()) * {t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE)))))"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@page(sql(
+    f"SELECT actor_id, round(CASE WHEN n < 3 OR skew IS NULL THEN 0.5 WHEN se2 > 0 THEN {_cdf('(sharpe / sqrt(se2))')} WHEN sharpe > 0 THEN 1 ELSE 0 END, 5) AS psr, round(CASE WHEN fall > 0 THEN ann / fall ELSE 0 END, 5) AS calmar FROM e JOIN falls USING (actor_id)", "rets",
+    cum=_CUM, falls="SELECT actor_id, max((peak - c) / peak) AS fall FROM (SELECT *, max(c) OVER (PARTITION BY actor_id ORDER BY quarter ROWS UNBOUNDED PRECEDING) AS peak FROM cum) GROUP BY 1",
+    m="SELECT *, return_q - avg(return_q) OVER (PARTITION BY actor_id) AS x FROM rets",
+    s="SELECT actor_id, count(*) AS n, avg(return_q) AS mean, coalesce(stddev_samp(return_q), 0) AS sd, avg(pow(x, 3)) / nullif(pow(avg(x * x), 1.5), 0) AS skew, avg(pow(x, 4)) / nullif(pow(avg(x * x), 2), 0) AS kurt, exp(sum(ln(1 + return_q)) * 4 / count(*)) - 1 AS ann FROM m GROUP BY 1",
+    e0="SELECT *, CASE WHEN sd > 1e-15 THEN mean / sd * 2 ELSE 0 END AS sharpe FROM s", e="SELECT *, (1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n - 1) AS se2 FROM e0",
+))
 def probabilistic_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.performance(_series(spark, d), ["actor_id"]).select("actor_id", "psr", "calmar"), "psr", "calmar", digits=5)
 
@@ -222,10 +236,10 @@ def regime_rotation(spark: SparkSession, d: str) -> DataFrame:
 def strategy_table(spark: SparkSession, d: str) -> DataFrame:
     """Three strategies' figures in one table."""
     out = None
-    preds, rets = st.predictions(spark, d).persist(), st.returns(spark, d).persist()
+    preds, rets = st.predictions(spark, d), st.returns(spark, d)
     for name in ("disagreement", "momentum", "m2"):
         signal = G.SIGNALS[name](preds, rets).withColumn("score", F.round("score", 9))
-        # Six figures are taken from each sort: one value a quarter and actor, kept for the while.
-        one = P.strategy(P.quintile_sort(signal, rets).persist(), name)
+        # Six figures are taken from each sort: one value a quarter and actor.
+        one = P.strategy(kept(spark, d, f"sorted_{name}", lambda s=signal: P.quintile_sort(s, rets)), name)
         out = one if out is None else out.unionByName(one)
     return rounded(out, *[c for c, t in out.dtypes if t == "double"], digits=4)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelloom.functions import semantics as S
 from panelloom.operators import autoregression as ar
 from panelloom.operators import portfolio, windows
+from panelloom.session import kept
 
 TEST_YEARS = [1998, 1999, 2000, 2001]
 TRAIN_YEARS = 3
@@ -53,7 +54,14 @@ def dealt_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(quarter, actor_id, sector, actual, pred_g0, pred_g1, pred_m2, pred_ar1): pooled, layer, block and own slopes."""
+    """(quarter, actor_id, sector, actual, pred_g0, pred_g1, pred_m2, pred_ar1): pooled, layer, block and own slopes.
+
+    Signals, scores and portfolios all start here, so it is computed once a run.
+    """
+    return kept(spark, sf_dir, "predictions", lambda: _predictions(spark, sf_dir))
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = {"pred_g0": [], "pred_g1": ["layer"], "pred_m2": ["block"], "pred_ar1": ["actor"]}
     out = ar.forecasts(dealt_in_blocks(spark, sf_dir), levels)
     return out.select(
@@ -63,7 +71,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(quarter, actor_id, return_q): change of the quarter's mean unit price."""
+    """(quarter, actor_id, return_q): change of the quarter's mean unit price. Computed once a run."""
+    return kept(spark, sf_dir, "returns", lambda: _returns(spark, sf_dir))
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("actor_id"), S.quarter(F.col("l_shipdate")).alias("quarter")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("price"))
     before = F.lag("price").over(Window.partitionBy("actor_id").orderBy("quarter"))
     return li.withColumn("return_q", F.round(F.col("price") / before - 1, 9)).where("return_q is not null").select("quarter", "actor_id", "return_q")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def session(name: str = "panelloom", **conf: str) -> SparkSession:
@@ -11,3 +16,32 @@ def session(name: str = "panelloom", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The run's folder in the one that driver and executors share (spark.checkpoint.dir); whoever owns that may clear it after the run.
+
+    Where it is unset, a local session gets a new folder of the machine; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/panelloom-{spark.sparkContext.applicationId}"
+
+
+#: (application, source, name) -> where the table lies, and its schema.
+_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries start from, written once an application and source, and read by all that follow."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _KEPT:
+        df, path = build(), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _KEPT[key] = path, df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)

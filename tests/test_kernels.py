@@ -75,3 +75,16 @@ def test_boosting_fits_a_step():
     x = np.linspace(0, 1, 60)[:, None]
     y = (x[:, 0] > 0.5).astype(float)
     assert np.abs(K.boosted_stumps(x, y)(x) - y).mean() < 0.1
+
+
+def test_ridge_among_rows_equals_the_normal_equations():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(9, 14))
+    a, b = x[:-1], x[1:]
+    dense = np.linalg.solve(a.T @ a + 0.7 * np.eye(14), a.T @ b).T
+    assert np.allclose(K.ridge(x, 0.7), dense)
+    left, s, right = K.singular(*K.ridge_factors(x, 0.7))
+    assert np.allclose((left * s) @ right, dense) and np.allclose(s[:5], np.linalg.svd(dense)[1][:5])
+    _, vectors = np.linalg.eigh(x.T @ x)
+    u, _ = K.factor_var(x, 3)
+    assert np.allclose(u @ u.T, vectors[:, -3:] @ vectors[:, -3:].T)

@@ -14,6 +14,8 @@ SOME = [
     "xs_pct_rank", "recursive_minmax", "ffill_limit1", "ratio_panel", "target_ma4", "estimation_windows", "block_ar1", "se_rho_block", "oos_r2_by_block", "dm_hac_stat_bw2", "rank_stability",
     "lowo_selection", "gap_fe_clustered", "interval_join_future", "pit_asof_query", "pit_asof_panel", "coverage_matrix", "gap_islands", "stratified_quotas", "io_coefficients", "weekly_weighted_tone",
     "signal_mom_plus_disagr", "signal_disagr_combined", "quintile_sort", "turnover", "sector_rotation", "max_drawdown",
+    "bootstrap_interval", "block_bootstrap_interval", "sign_flip_p", "holm_p", "ljung_box", "variance_ratio", "bootstrap_sharpe", "split_performance", "csv_round_trip", "json_round_trip",
+    "target_normal_quantiles", "probabilistic_sharpe",
 ]
 
 
