@@ -15,7 +15,8 @@ SOME = [
     "lowo_selection", "gap_fe_clustered", "interval_join_future", "pit_asof_query", "pit_asof_panel", "coverage_matrix", "gap_islands", "stratified_quotas", "io_coefficients", "weekly_weighted_tone",
     "signal_mom_plus_disagr", "signal_disagr_combined", "quintile_sort", "turnover", "sector_rotation", "max_drawdown",
     "bootstrap_interval", "block_bootstrap_interval", "sign_flip_p", "holm_p", "ljung_box", "variance_ratio", "bootstrap_sharpe", "split_performance", "csv_round_trip", "json_round_trip",
-    "target_normal_quantiles", "probabilistic_sharpe",
+    "target_normal_quantiles", "probabilistic_sharpe", "volatility_scaled_grid", "top_n_sub_samples", "held_out_selection", "held_out_gain", "leak_test", "win_condition",
+    "perturbed_rank_stability", "labelled_flows", "listed_actors", "expanded_registry", "sector_numbers", "not_cached",
 ]
 
 
