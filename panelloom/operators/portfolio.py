@@ -21,31 +21,34 @@ def matched(signal: DataFrame, returns: DataFrame) -> DataFrame:
     return signal.join(returns.select("quarter", "actor_id", "return_q"), ["quarter", "actor_id"]).where("score is not null and return_q is not null")
 
 
-def quintile_sort(signal: DataFrame, returns: DataFrame) -> DataFrame:
-    return S.quantile_bucket(matched(signal, returns), "score", "quarter", "quintile")
+def quintile_sort(signal: DataFrame, returns: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by``: columns that tell signals apart which are sorted side by side."""
+    return S.quantile_bucket(matched(signal, returns), "score", [*(by or []), "quarter"], "quintile")
 
 
-def long_short(sorted_: DataFrame, top: int = 5, bottom: int = 1) -> DataFrame:
-    """(quarter, long, short, spread). If no quarter at all has the top or bottom bucket, the greatest or least one there is stands in."""
-    ends = sorted_.agg(F.max("quintile").alias("hi"), F.min("quintile").alias("lo"), F.max(F.col("quintile") == top).alias("has_top"), F.max(F.col("quintile") == bottom).alias("has_bottom"))
-    x = sorted_.crossJoin(F.broadcast(ends)).withColumn("t", F.when(F.col("has_top"), F.lit(top)).otherwise(F.col("hi"))).withColumn("b", F.when(F.col("has_bottom"), F.lit(bottom)).otherwise(F.col("lo")))
-    g = x.groupBy("quarter").agg(F.avg(F.when(F.col("quintile") == F.col("t"), F.col("return_q"))).alias("long"), F.avg(F.when(F.col("quintile") == F.col("b"), F.col("return_q"))).alias("short"))
+def long_short(sorted_: DataFrame, top: int = 5, bottom: int = 1, by: list[str] | None = None) -> DataFrame:
+    """(*by, quarter, long, short, spread). If no quarter at all has the top or bottom bucket, the greatest or least one there is stands in."""
+    by = by or []
+    ends = sorted_.groupBy(*by).agg(F.max("quintile").alias("hi"), F.min("quintile").alias("lo"), F.max(F.col("quintile") == top).alias("has_top"), F.max(F.col("quintile") == bottom).alias("has_bottom"))
+    x = (sorted_.join(ends, by) if by else sorted_.crossJoin(F.broadcast(ends))).withColumn("t", F.when(F.col("has_top"), F.lit(top)).otherwise(F.col("hi"))).withColumn("b", F.when(F.col("has_bottom"), F.lit(bottom)).otherwise(F.col("lo")))
+    g = x.groupBy(*by, "quarter").agg(F.avg(F.when(F.col("quintile") == F.col("t"), F.col("return_q"))).alias("long"), F.avg(F.when(F.col("quintile") == F.col("b"), F.col("return_q"))).alias("short"))
     return g.where("long is not null and short is not null").withColumn("spread", F.col("long") - F.col("short"))
 
 
-def long_only(sorted_: DataFrame, top: int = 5) -> DataFrame:
-    """(quarter, long, equal_weight, active)."""
-    g = sorted_.groupBy("quarter").agg(F.avg(F.when(F.col("quintile") == top, F.col("return_q"))).alias("long"), F.avg("return_q").alias("equal_weight"))
+def long_only(sorted_: DataFrame, top: int = 5, by: list[str] | None = None) -> DataFrame:
+    """(*by, quarter, long, equal_weight, active)."""
+    g = sorted_.groupBy(*(by or []), "quarter").agg(F.avg(F.when(F.col("quintile") == top, F.col("return_q"))).alias("long"), F.avg("return_q").alias("equal_weight"))
     return g.where("long is not null").withColumn("active", F.col("long") - F.col("equal_weight"))
 
 
-def turnover(holdings: DataFrame) -> DataFrame:
-    """(quarter, turnover) of (quarter, actor_id): 1 less what is kept over the larger of this and the last holding; 1 at the start."""
-    sets = holdings.groupBy("quarter").agg(F.collect_set("actor_id").alias("now"))
-    w = Window.orderBy("quarter")  # one row a quarter
+def turnover(holdings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, quarter, turnover) of (*by, quarter, actor_id): 1 less what is kept over the larger of this and the last holding; 1 at the start."""
+    by = by or []
+    sets = holdings.groupBy(*by, "quarter").agg(F.collect_set("actor_id").alias("now"))
+    w = Window.partitionBy(*by).orderBy("quarter")  # one row a quarter
     was = F.coalesce(F.lag("now").over(w), F.array().cast(sets.schema["now"].dataType))
     kept = F.size(F.array_intersect("now", "was"))
-    return sets.withColumn("was", was).select("quarter", F.when(F.size("was") == 0, F.lit(1.0)).otherwise(1 - kept / F.greatest(F.size("now"), F.size("was"))).alias("turnover"))
+    return sets.withColumn("was", was).select(*by, "quarter", F.when(F.size("was") == 0, F.lit(1.0)).otherwise(1 - kept / F.greatest(F.size("now"), F.size("was"))).alias("turnover"))
 
 
 def top_n(signal: DataFrame, returns: DataFrame, n: int | None = None, fraction: float | None = None, least: int = 1, sides: int = 2) -> DataFrame:
@@ -168,12 +171,18 @@ def regime_rotation(hits: DataFrame, groups: DataFrame, heavy: float = 0.7, widt
     return up.select("quarter", "lag_hit", mix(F.col("up")).alias("overweight"), mix(~F.col("up")).alias("underweight"), "equal_weight")
 
 
-def strategy(sorted_: DataFrame, name: str) -> DataFrame:
-    """One row of a strategy's figures: spread and long-only performance, information ratio, mean turnover without the first quarter."""
-    tag = F.lit(name).alias("strategy")
-    spread = performance(long_short(sorted_).select(tag, "quarter", F.col("spread").alias("r")), ["strategy"])
-    longs = long_only(sorted_)
-    top = performance(longs.select(tag, "quarter", F.col("long").alias("r")), ["strategy"]).select("strategy", F.col("ann_return").alias("lo_ann_return"), F.col("sharpe").alias("lo_sharpe"))
-    ir = information_ratio(longs.select(tag, "active"), ["strategy"]).select("strategy", "ir")
-    t = turnover(sorted_.where("quintile = 5")).withColumn("k", F.row_number().over(Window.orderBy("quarter"))).where("k > 1").agg(F.avg("turnover").alias("mean_turnover"))
-    return spread.join(top, "strategy").join(ir, "strategy").crossJoin(F.broadcast(t))
+def strategies(sorted_: DataFrame, by: str = "strategy") -> DataFrame:
+    """One row a strategy: spread and long-only performance, information ratio, mean turnover without the first quarter."""
+    spread = performance(long_short(sorted_, by=[by]).select(by, "quarter", F.col("spread").alias("r")), [by])
+    longs = long_only(sorted_, by=[by])
+    top = performance(longs.select(by, "quarter", F.col("long").alias("r")), [by]).select(by, F.col("ann_return").alias("lo_ann_return"), F.col("sharpe").alias("lo_sharpe"))
+    ir = information_ratio(longs.select(by, "active"), [by]).select(by, "ir")
+    turns = turnover(sorted_.where("quintile = 5"), [by]).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("quarter")))
+    mean_turnover = turns.where("k > 1").groupBy(by).agg(F.avg("turnover").alias("mean_turnover"))
+    return spread.join(top, by, "left").join(ir, by, "left").join(mean_turnover, by, "left")
+
+
+def long_enough(signals: DataFrame, by: str = "strategy", at_least: int = 20) -> DataFrame:
+    """Rows with a score, of signals that have at least so many."""
+    x = signals.where("score is not null")
+    return x.join(x.groupBy(by).agg(F.count(F.lit(1)).alias("n__")).where(F.col("n__") >= at_least).select(by), by, "left_semi")

@@ -232,14 +232,45 @@ def regime_rotation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "lag_hit", "overweight", "underweight", "equal_weight")
 
 
-@page()
+_EVERY = " UNION ALL ".join(f"SELECT '{name}' AS strategy, quarter, actor_id, round(score, 9) AS score FROM ({q}) WHERE score IS NOT NULL" for name, q in _ORACLES.items())
+_TABLE = {
+    "sigs": _EVERY,
+    "pairs_": "SELECT strategy, quarter, actor_id, score, return_q FROM sigs JOIN rets USING (quarter, actor_id)",
+    "edges": f"SELECT strategy, quarter, list_distinct([{_EDGES}]) AS e FROM pairs_ GROUP BY 1, 2",
+    "sorted_": "SELECT strategy, quarter, actor_id, return_q, CAST(greatest(1, len(list_filter(e, lambda x: x < score))) AS INTEGER) AS quintile FROM pairs_ JOIN edges USING (strategy, quarter)",
+    "ends": "SELECT strategy, CASE WHEN bool_or(quintile = 5) THEN 5 ELSE max(quintile) END AS t, CASE WHEN bool_or(quintile = 1) THEN 1 ELSE min(quintile) END AS b FROM sorted_ GROUP BY 1",
+    "ls": "SELECT strategy, quarter, avg(return_q) FILTER (quintile = t) - avg(return_q) FILTER (quintile = b) AS r FROM sorted_ JOIN ends USING (strategy) GROUP BY 1, 2",
+    "lo": "SELECT strategy, quarter, avg(return_q) FILTER (quintile = 5) AS r, avg(return_q) FILTER (quintile = 5) - avg(return_q) AS active FROM sorted_ GROUP BY 1, 2",
+    "series": "SELECT * FROM ls WHERE r IS NOT NULL UNION ALL SELECT 'equal_weight', quarter, avg(return_q) FROM rets GROUP BY quarter",
+    "cum": "SELECT strategy, quarter, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY quarter ROWS UNBOUNDED PRECEDING)) AS c FROM series",
+    "falls": "SELECT strategy, max((peak - c) / peak) AS fall FROM (SELECT *, max(c) OVER (PARTITION BY strategy ORDER BY quarter ROWS UNBOUNDED PRECEDING) AS peak FROM cum) GROUP BY 1",
+    "m": "SELECT *, r - avg(r) OVER (PARTITION BY strategy) AS x FROM series",
+    "s": "SELECT strategy, count(*) AS n, avg(r) AS mean, coalesce(stddev_samp(r), 0) AS sd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(pow(x, 3)) / nullif(pow(avg(x * x), 1.5), 0) AS skew, avg(pow(x, 4)) / nullif(pow(avg(x * x), 2), 0) AS kurt, exp(sum(ln(1 + r)) * 4 / count(*)) - 1 AS ann FROM m GROUP BY 1",
+    "e0": "SELECT *, CASE WHEN sd > 1e-15 THEN mean / sd * 2 ELSE 0 END AS sharpe FROM s",
+    "e": "SELECT *, (1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n - 1) AS se2 FROM e0",
+    "longs": "SELECT strategy, exp(sum(ln(1 + r)) * 4 / count(*)) - 1 AS lo_ann_return, CASE WHEN stddev_samp(r) > 1e-15 THEN avg(r) / stddev_samp(r) * 2 ELSE 0 END AS lo_sharpe, CASE WHEN stddev_samp(active) > 1e-15 THEN avg(active) / stddev_samp(active) * 2 ELSE 0 END AS ir FROM lo WHERE r IS NOT NULL GROUP BY 1",
+    "held": "SELECT strategy, quarter, list(DISTINCT actor_id) AS a FROM sorted_ WHERE quintile = 5 GROUP BY 1, 2",
+    "turns": "SELECT strategy, avg(1 - len(list_intersect(a, p)) / greatest(len(a), len(p))) AS mean_turnover FROM (SELECT *, lag(a) OVER (PARTITION BY strategy ORDER BY quarter) AS p FROM held) WHERE p IS NOT NULL GROUP BY 1",
+}
+
+
+@page(sql(
+    f"SELECT strategy, n, round(ann, 4) AS ann_return, round(sd * 2, 4) AS ann_vol, round(sharpe, 4) AS sharpe, round(fall, 4) AS max_drawdown, round(CASE WHEN fall > 0 THEN ann / fall ELSE 0 END, 4) AS calmar, round(hit_rate, 4) AS hit_rate, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round(CASE WHEN n < 3 OR skew IS NULL THEN 0.5 WHEN se2 > 0 THEN {_cdf('(sharpe / sqrt(se2))')} WHEN sharpe > 0 THEN 1 ELSE 0 END, 4) AS psr, round(lo_ann_return, 4) AS lo_ann_return, round(lo_sharpe, 4) AS lo_sharpe, round(ir, 4) AS ir, round(mean_turnover, 4) AS mean_turnover FROM e JOIN falls USING (strategy) LEFT JOIN longs USING (strategy) LEFT JOIN turns USING (strategy)",
+    "preds", "rets", **_TABLE,
+))
 def strategy_table(spark: SparkSession, d: str) -> DataFrame:
-    """Three strategies' figures in one table."""
-    out = None
+    """All signals' figures in one table, and those of all actors weighted alike."""
     preds, rets = st.predictions(spark, d), st.returns(spark, d)
-    for name in ("disagreement", "momentum", "m2"):
-        signal = G.SIGNALS[name](preds, rets).withColumn("score", F.round("score", 9))
-        # Six figures are taken from each sort: one value a quarter and actor.
-        one = P.strategy(kept(spark, d, f"sorted_{name}", lambda s=signal: P.quintile_sort(s, rets)), name)
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, *[c for c, t in out.dtypes if t == "double"], digits=4)
+
+    def sorts() -> DataFrame:
+        out = None
+        for name, signal in (G.SIGNALS | G.COMBINATIONS).items():
+            one = signal(preds, rets).select(F.lit(name).alias("strategy"), "quarter", "actor_id", F.round("score", 9).alias("score"))
+            out = one if out is None else out.unionByName(one)
+        return P.quintile_sort(P.long_enough(out), rets, ["strategy"])
+
+    # Six figures are taken from the sort: one value a strategy, quarter and actor.
+    table = P.strategies(kept(spark, d, "sorted_strategies", sorts))
+    alike = rets.groupBy("quarter").agg(F.avg("return_q").alias("r")).withColumn("strategy", F.lit(G.EQUAL_WEIGHT))
+    table = table.unionByName(P.performance(alike, ["strategy"]), allowMissingColumns=True)
+    return rounded(table, *[c for c, t in table.dtypes if t == "double"], digits=4)
