@@ -180,3 +180,17 @@ class MapperRegistry:
         if not mine.take(1):
             raise KeyError(actor)
         return mine
+
+    def mapped(self, panel: DataFrame, kind: str = "actor_type") -> DataFrame:
+        """``panel`` with the intensity of every row by the mapper of its ``kind``; null for a kind without one.
+
+        A mapper that several types share runs once, over all actors of the cross-section.
+        """
+        shared: dict[Mapper, list[str]] = {}
+        for actor_type, mapper in self._mappers.items():
+            shared.setdefault(mapper, []).append(actor_type)
+        out, value = panel, F.lit(None).cast("double")
+        for k, (mapper, types) in enumerate(shared.items()):
+            out = mapper(out).withColumnRenamed("intensity", f"m{k}__")
+            value = F.when(F.col(kind).isin(types), F.col(f"m{k}__")).otherwise(value)
+        return out.withColumn("intensity", value).drop(*(f"m{k}__" for k in range(len(shared))))

@@ -17,6 +17,8 @@ SOME = [
     "bootstrap_interval", "block_bootstrap_interval", "sign_flip_p", "holm_p", "ljung_box", "variance_ratio", "bootstrap_sharpe", "split_performance", "csv_round_trip", "json_round_trip",
     "target_normal_quantiles", "probabilistic_sharpe", "volatility_scaled_grid", "top_n_sub_samples", "held_out_selection", "held_out_gain", "leak_test", "win_condition",
     "perturbed_rank_stability", "labelled_flows", "listed_actors", "expanded_registry", "sector_numbers", "not_cached",
+    "company_facts_parsed", "first_tag_of_facts", "statements_parsed", "observations_parsed", "io_table_parsed", "nested_years_parsed", "sdmx_parsed", "day_first_parsed", "news_lines_parsed",
+    "long_prices_parsed", "nearest_slots", "weekly_tone_windows", "mapped_intensities",
 ]
 
 
