@@ -224,37 +224,59 @@ def forecast_window(train: np.ndarray, test: np.ndarray, block: np.ndarray, k_bl
     return {a: np.array(out[a]) for a in wanted}
 
 
+def lag_correlation(x: np.ndarray) -> np.ndarray:
+    """Correlation of each column with itself a row later; 0 for fewer than three rows or a column that doesn't move."""
+    if len(x) < 3:
+        return np.zeros(x.shape[1])
+    a, b = x[:-1] - x[:-1].mean(axis=0), x[1:] - x[1:].mean(axis=0)
+    scale = np.sqrt((a**2).sum(axis=0) * (b**2).sum(axis=0))
+    moves = (x[:-1].std(axis=0) > 1e-10) & (scale > 0)
+    return np.divide((a * b).sum(axis=0), scale, out=np.zeros(x.shape[1]), where=moves)
+
+
+def transition(z: np.ndarray, alpha: float) -> np.ndarray:
+    """C of next = C now by ridge regression, solved among the columns: for factors, and penalties near 0."""
+    a, b = z[:-1], z[1:]
+    return np.linalg.solve(a.T @ a + alpha * np.eye(z.shape[1]), a.T @ b).T
+
+
 def method_window(train: np.ndarray, test: np.ndarray, k: int = 8) -> dict[str, np.ndarray]:
-    """Second stages side by side on the pooled first: PCA or DMD bases with diagonal, full or ridge dynamics, raw and reduced-rank ridge."""
+    """Thirteen forecasts side by side: PCA or DMD bases with diagonal, full or ridge dynamics, raw and reduced-rank ridge, and three references.
+
+    All but two references add to the pooled first stage what they expect of its residual; everything is re-estimated after each test row. They start
+    from the last forecast's residual, which is 0 at the year's start. ``_filtered`` ones start there from factors at rest instead; their filter starts
+    anew with each re-estimation, so that it comes to the projection of that residual.
+    """
     out: dict[str, list[np.ndarray]] = {}
-    y = train
+    y, before = train, None
     for actual in test:
         slope, mean = ar_fit(y)
         resid, pool = y[1:] - one_step(y[:-1], slope, mean), one_step(y[-1], slope, mean)
-        centre = ewm_mean(resid)
+        centre, level = ewm_mean(resid), resid.mean(axis=0)
         d = resid - centre
         n = d.shape[1]
-        kk = max(1, min(k, n - 2, len(d) - 1))
+        kk = max(1, min(k, n - 2))
         modes = dmd(d.T, 15)
-        u_dmd, a_dmd = modes["u"][:, : min(kk, len(modes["operator"]))], modes["operator"][:kk, :kk].real
-        u_pca, a_pca = factor_var(d, kk)
+        u_dmd, a_dmd = modes["u"][:, :kk], modes["operator"][:kk, :kk].real
+        u_pca = np.linalg.svd(d, full_matrices=False)[2][:kk].T
         z = d @ u_pca
-        own = np.divide((z[1:] * z[:-1]).sum(0), (z[:-1] ** 2).sum(0), out=np.zeros(z.shape[1]), where=(z[:-1] ** 2).sum(0) > 1e-12)
-        full = np.linalg.lstsq(z[:-1], z[1:], rcond=None)[0].T
+        phi = np.diag(np.clip(lag_correlation(z), -0.99, 0.99))
+        diagonal = within_radius(np.diag(np.diag(a_dmd)))
         p, q = ridge_factors(d, max(1.0, 0.1 * n))
         left, s, right = singular(*ridge_factors(d, max(1.0, 0.01 * n)))
-        own_slope = ar_fit(y, np.arange(n))[0]
-        last = d[-1]
+        last = (np.zeros(n) if before is None else before) - centre
+        rest = np.zeros(n) if before is None else last
+        near = lambda u, a, x: pool + centre + u @ (a @ (u.T @ x))  # noqa: B023, E731
         forecasts = {
-            "pooled": pool, "ar1": one_step(y[-1], own_slope, mean),
-            "pca_diag": pool + centre + u_pca @ (own * (u_pca.T @ last)), "pca_var": pool + centre + u_pca @ (within_radius(full) @ (u_pca.T @ last)),
-            "pca_ridge": pool + centre + u_pca @ (a_pca @ (u_pca.T @ last)),
-            "dmd_diag": pool + centre + u_dmd @ (np.diag(a_dmd) * (u_dmd.T @ last)), "dmd_full": pool + centre + u_dmd @ (within_radius(a_dmd) @ (u_dmd.T @ last)),
-            "dmd_ridge": pool + centre + u_dmd @ (ridge(d @ u_dmd, 1.0) @ (u_dmd.T @ last)),
-            "ridge": pool + centre + p @ (q @ last), "reduced_rank": pool + centre + (left[:, :kk] * s[:kk]) @ (right[:kk] @ last),
+            "pooled": pool, "ar1": one_step(y[-1], lag_correlation(y), mean), "residual_ar1": pool + level + lag_correlation(resid) * (last + centre - level),
+            "pca_diag": near(u_pca, phi, last), "pca_diag_filtered": near(u_pca, phi, rest), "pca_var": near(u_pca, transition(z, 1e-8), last), "pca_ridge": near(u_pca, transition(z, 1.0), last),
+            "dmd_diag": near(u_dmd, diagonal, last), "dmd_diag_filtered": near(u_dmd, diagonal, rest), "dmd_full_filtered": near(u_dmd, within_radius(a_dmd), rest),
+            "dmd_ridge": near(u_dmd, transition(d @ u_dmd, 1.0), last),
+            "ridge": pool + centre + p @ (q @ last), "reduced_rank": pool + centre + (left[:, :k] * s[:k]) @ (right[:k] @ last),
         }
         for name, pred in forecasts.items():
             out.setdefault(name, []).append(pred)
+        before = actual - pool
         y = np.vstack([y, actual])
     return {a: np.array(p) for a, p in out.items()}
 

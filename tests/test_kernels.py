@@ -88,3 +88,37 @@ def test_ridge_among_rows_equals_the_normal_equations():
     _, vectors = np.linalg.eigh(x.T @ x)
     u, _ = K.factor_var(x, 3)
     assert np.allclose(u @ u.T, vectors[:, -3:] @ vectors[:, -3:].T)
+
+
+def test_thirteen_methods():
+    rng = np.random.default_rng(5)
+    train, test = rng.random((14, 9)), rng.random((3, 9))
+    got = K.method_window(train, test, k=4)
+    assert len(got) == 13 and all(p.shape == test.shape and np.isfinite(p).all() for p in got.values())
+    # At the year's start nothing is known of the last residual: filtered factors are at rest, others see minus its centre.
+    slope, mean = K.ar_fit(train)
+    resid = train[1:] - K.one_step(train[:-1], slope, mean)
+    start = K.one_step(train[-1], slope, mean) + K.ewm_mean(resid)
+    for name in ("pca_diag_filtered", "dmd_diag_filtered", "dmd_full_filtered"):
+        assert np.allclose(got[name][0], start)
+    for name in ("pca_diag", "dmd_diag"):
+        assert not np.allclose(got[name][0], got[name + "_filtered"][0]) and np.allclose(got[name][1:], got[name + "_filtered"][1:])
+    # The references, written out plainly for the second row.
+    seen = np.vstack([train, test[:1]])
+    slope2, mean2 = K.ar_fit(seen)
+    resid2 = seen[1:] - K.one_step(seen[:-1], slope2, mean2)
+    rho = np.array([np.corrcoef(r[:-1], r[1:])[0, 1] for r in resid2.T])
+    before = test[0] - K.one_step(train[-1], slope, mean)
+    level = resid2.mean(axis=0)
+    assert np.allclose(got["residual_ar1"][1], K.one_step(seen[-1], slope2, mean2) + level + rho * (before - level))
+    own = np.array([np.corrcoef(c[:-1], c[1:])[0, 1] for c in seen.T])
+    assert np.allclose(got["ar1"][1], mean2 + own * (seen[-1] - mean2))
+    # Ridge against the plain normal equations.
+    centre = K.ewm_mean(resid2)
+    d = resid2 - centre
+    c = np.linalg.solve(d[:-1].T @ d[:-1] + max(1.0, 0.9) * np.eye(9), d[:-1].T @ d[1:]).T
+    assert np.allclose(got["ridge"][1], K.one_step(seen[-1], slope2, mean2) + centre + c @ (before - centre))
+
+
+def test_lag_correlation_of_what_does_not_move():
+    assert K.lag_correlation(np.ones((5, 2))).tolist() == [0.0, 0.0] and K.lag_correlation(np.eye(2)).tolist() == [0.0, 0.0]
