@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, chat, html_text, mixing, ngram_join, pii, quality_rules, topk, url_filter, warc
+from panelloom.llm import bpe, chat, decontamination, html_text, mixing, ngram_join, pii, quality_rules, topk, url_filter, warc
 from panelloom.llm.common import table
 
 
@@ -76,7 +76,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_to_targets, op3_exact_top_k, op4_pii, op5_chat_format, op6_warc, op7_quality_rules, op8_bpe, op9_html_text, op10_url_filter)}
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    o = F.col("overlap")
+    return found.select(
+        "doc_id", o["n_words"].alias("n_words"), o["n_hit"].alias("n_hit"), F.size(o["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(o["items"], ","), 256).alias("items_sha256"), (o["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_to_targets, op3_exact_top_k, op4_pii, op5_chat_format, op6_warc, op7_quality_rules, op8_bpe, op9_html_text, op10_url_filter, op13_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -180,3 +189,24 @@ SELECT page_id, host, path, rule,
        CAST(strict_hits AS INTEGER) AS strict_hits, CAST(soft_hits AS INTEGER) AS soft_hits
 FROM r
 """.replace("STRICT", ", ".join(f"'{x}'" for x in url_filter.STRICT), 1).replace("SOFT", ", ".join(f"'{x}'" for x in url_filter.SOFT), 1)
+
+ORACLE_SQL["op13_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), 'WORD') AS w FROM documents
+), b AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), 'WORD') AS w FROM benchmark) WHERE len(w) > 0
+), p AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM b)
+), o AS (
+  SELECT k, n, s, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT k, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS s FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)
+), m AS (
+  SELECT k, n, s, item_id FROM o JOIN p USING (n, g)
+), h AS (
+  SELECT k, count(DISTINCT x) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS x FROM (SELECT DISTINCT k, n, s FROM m)) GROUP BY k
+), i AS (
+  SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS id FROM m WHERE item_id IS NOT NULL) GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN i USING (k)
+""".replace("WORD", decontamination.WORD).replace("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").replace("LOWER", "abcdefghijklmnopqrstuvwxyz")
