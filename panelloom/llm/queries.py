@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, chat, decontamination, html_text, mixing, ngram_join, pii, quality_rules, topk, url_filter, warc
+from panelloom.llm import bpe, chat, decontamination, html_text, merkle, mixing, ngram_join, pii, quality_rules, topk, url_filter, warc
 from panelloom.llm.common import table
 
 
@@ -76,6 +76,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    claimed = merkle.leaf([F.when(tampered, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in columns])
+    found = merkle.manifest(docs, columns, "lang", "doc_id", {"claimed": claimed}).withColumn("folded_root", merkle.refolded("claimed"))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select(
+        "doc_id", text("leaf"), text("subroot"), text("root"), F.sha2(F.array_join(merkle.proof(), ""), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.lower(F.hex("root"))).alias("verified"),
+    )
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     o = F.col("overlap")
@@ -85,7 +97,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_to_targets, op3_exact_top_k, op4_pii, op5_chat_format, op6_warc, op7_quality_rules, op8_bpe, op9_html_text, op10_url_filter, op13_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_to_targets, op3_exact_top_k, op4_pii, op5_chat_format, op6_warc, op7_quality_rules, op8_bpe, op9_html_text, op10_url_filter, op12_merkle_manifest, op13_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -210,3 +222,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (k) LEFT JOIN i USING (k)
 """.replace("WORD", decontamination.WORD).replace("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").replace("LOWER", "abcdefghijklmnopqrstuvwxyz")
+
+ORACLE_SQL["op12_merkle_manifest"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(0, 256)) AS b)
+), d AS (
+  SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 7 = 0 AS tampered
+  FROM documents, crc_table
+), l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN coalesce(tampered, FALSE) THEN n_chars + 1 ELSE n_chars END AS said, head, tail FROM d
+), p AS (
+  SELECT doc_id, lang, leaf, sha256(head || coalesce(strlen(CAST(said AS VARCHAR)) || ':' || said, '-') || tail) AS claimed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l
+), up AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY place) AS h FROM p GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], ''))) FROM up WHERE len(h) > 1
+), subs AS (
+  SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM up WHERE len(h) = 1
+), high AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS h FROM subs
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], ''))) FROM high WHERE len(h) > 1
+), steps AS (
+  SELECT doc_id, p.lang, p.place, up.level, h[xor(p.place >> up.level, 1) + 1] AS sibling, (p.place >> up.level) & 1 AS right_side FROM p JOIN up ON p.lang IS NOT DISTINCT FROM up.lang WHERE len(h) > 1
+), tops AS (
+  SELECT lang, 1000 + level AS level, h[xor(subs.place >> level, 1) + 1] AS sibling, (subs.place >> level) & 1 AS right_side FROM subs, high WHERE len(h) > 1
+), proofs AS (
+  SELECT p.lang, p.place, list({'s': x.sibling, 'r': x.right_side} ORDER BY x.level) FILTER (x.level IS NOT NULL) AS path
+  FROM p LEFT JOIN (SELECT lang, place, level, sibling, right_side FROM steps UNION ALL SELECT p.lang, p.place, t.level, t.sibling, t.right_side FROM p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang) x
+    ON p.lang IS NOT DISTINCT FROM x.lang AND p.place = x.place
+  GROUP BY p.lang, p.place
+), f AS (
+  SELECT p.*, path, list_reduce(list_prepend({'s': p.claimed, 'r': 0}, coalesce(path, [])),
+    lambda a, x: {'s': sha256(CASE WHEN x.s IS NULL THEN a.s WHEN x.r = 1 THEN x.s || a.s ELSE a.s || x.s END), 'r': 0}).s AS folded_root
+  FROM p JOIN proofs ON p.lang IS NOT DISTINCT FROM proofs.lang AND p.place = proofs.place
+)
+SELECT doc_id, leaf, subroot, (SELECT h[1] FROM high WHERE len(h) = 1) AS root,
+       sha256(array_to_string(list_transform(list_filter(coalesce(path, []), lambda x: x.s IS NOT NULL), lambda x: x.s), '')) AS proof_sha256,
+       folded_root, folded_root = (SELECT h[1] FROM high WHERE len(h) = 1) AS verified
+FROM f JOIN subs ON f.lang IS NOT DISTINCT FROM subs.lang
+"""
