@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, chat, decontamination, html_text, merkle, mixing, ngram_join, pii, quality_rules, topk, url_filter, warc
+from panelloom.llm import bpe, chat, decontamination, html_text, merkle, mixing, ngram_join, pii, quality_rules, spelling, topk, url_filter, warc
 from panelloom.llm.common import table
 
 
@@ -76,6 +76,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    at = (F.col("h") % F.length("word")).cast("int")
+    less = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    noisy = found.select("word", h.alias("h")).select(F.when(F.col("h") % 97 == 0, less).otherwise(F.col("word")).alias("word"))
+    return spelling.variants(spelling.vocabulary(noisy))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
@@ -97,7 +106,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_to_targets, op3_exact_top_k, op4_pii, op5_chat_format, op6_warc, op7_quality_rules, op8_bpe, op9_html_text, op10_url_filter, op12_merkle_manifest, op13_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_to_targets, op3_exact_top_k, op4_pii, op5_chat_format, op6_warc, op7_quality_rules, op8_bpe, op9_html_text, op10_url_filter, op11_spelling_variants, op12_merkle_manifest, op13_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -266,3 +275,34 @@ SELECT doc_id, leaf, subroot, (SELECT h[1] FROM high WHERE len(h) = 1) AS root,
        folded_root, folded_root = (SELECT h[1] FROM high WHERE len(h) = 1) AS verified
 FROM f JOIN subs ON f.lang IS NOT DISTINCT FROM subs.lang
 """
+
+ORACLE_SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(0, 256)) AS b)
+), r AS (
+  SELECT doc_id, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL
+), h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+           lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [192 + (CAST(ord(x) AS BIGINT) >> 6), 128 + (CAST(ord(x) AS BIGINT) & 63)] END))),
+           lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS h
+  FROM r, crc_table
+), words AS (
+  SELECT w, sum(n) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substring(w, 1, CAST(h % length(w) AS BIGINT)) || substring(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS w, n FROM h)
+  WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3
+), cut AS (
+  SELECT w, n, i, substring(w, 1, i) AS a, substring(w, i + 2) AS b FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM words)
+), near AS (
+  SELECT x.w, y.w AS v, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+  UNION SELECT x.w, y.w, y.n FROM cut x JOIN words y ON x.a || x.b = y.w
+  UNION SELECT y.w, x.w, x.n FROM cut x JOIN words y ON x.a || x.b = y.w
+), best AS (
+  SELECT w, count(*) AS n_near, arg_min(v, {'m': -m, 'v': v}) AS form, max(m) AS form_n FROM near GROUP BY w
+), f AS (
+  SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (w)
+), walk AS (
+  SELECT w, w AS at FROM f UNION ALL SELECT walk.w, f.form FROM walk JOIN f ON walk.at = f.w WHERE f.form IS NOT NULL
+)
+SELECT f.w AS word, f.form, walk.at AS root, CAST(f.n AS BIGINT) AS n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN walk USING (w) JOIN f AS l ON walk.at = l.w WHERE l.form IS NULL
+"""
