@@ -1,123 +1,72 @@
-"""Tail probabilities and resampling for series of a few dozen values, such as one per window."""
+"""Tail probabilities as column expressions: the incomplete beta function, and the tails of Student's t, of F and of the binomial that it gives."""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
-
-import numpy as np
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by Lentz's continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d, f = 1e-300, 1.0, 0.0, 1.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            num = 1.0
-        elif i % 2 == 0:
-            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + num * d or tiny)
-        c = 1 + num / c or tiny
-        f *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * (f - 1)
-
-
-def t_tail(t: float, df: float) -> float:
-    """P(T > t)."""
-    half = beta_inc(df / 2, 0.5, df / (df + t * t)) / 2
-    return half if t >= 0 else 1 - half
-
-
-def t_two_sided(t: float, df: float) -> float:
-    return min(1.0, 2 * t_tail(abs(t), df))
-
-
-def gamma_tail(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function."""
-    if x <= 0:
-        return 1.0
-    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > abs(total) * 1e-15:
-            n += 1
-            term *= x / n
-            total += term
-        return 1 - total * scale
-    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return scale * h
-
-
-def chi2_tail(x: float, df: float) -> float:
-    return gamma_tail(df / 2, x / 2)
-
-
-def normal_ppf(p: float) -> float:
-    return NormalDist().inv_cdf(p)
-
-
-def bootstrap_interval(x, draws: int = 10_000, seed: int = 42, block: int = 1, level: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of the mean, by single values or by moving blocks cut to length. The generator starts anew in each call."""
-    x = np.asarray(x, dtype=float)
-    rng, n = np.random.default_rng(seed), len(x)
-    if block == 1:
-        means = x[rng.integers(0, n, (draws, n))].mean(axis=1)
-    else:
-        starts = rng.integers(0, n - block + 1, (draws, math.ceil(n / block)))
-        means = x[(starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n]].mean(axis=1)
-    low, high = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
-    return float(low), float(high)
-
-
-def sign_flip_p(x, draws: int = 9999, seed: int = 42) -> float:
-    """One-sided permutation p of a mean above 0 under random signs."""
-    x = np.asarray(x, dtype=float)
-    flips = np.random.default_rng(seed).choice([-1.0, 1.0], (draws, len(x)))
-    return float(((flips * x).mean(axis=1) >= x.mean()).sum() + 1) / (draws + 1)
-
-
-def ljung_box(x, lags: int = 8) -> tuple[float, float]:
-    """(Q, p) of the autocorrelations up to ``lags``; no variance gives (0, 1)."""
-    x = np.asarray(x, dtype=float)
-    d, n = x - x.mean(), len(x)
-    var = float(d @ d)
-    if var < 1e-15 * n:
-        return 0.0, 1.0
-    rho = [float(d[k:] @ d[:-k]) / var for k in range(1, lags + 1)]
-    q = n * (n + 2) * sum(r * r / (n - k) for k, r in enumerate(rho, 1))
-    return q, chi2_tail(q, lags)
-
-
-def variance_ratio(x, q: int) -> float:
-    x = np.asarray(x, dtype=float)
-    one = np.diff(x).var(ddof=1)
-    return float((x[q:] - x[:-q]).var(ddof=1) / (q * one)) if one > 0 else float("nan")
-
-
-def holm(ps: list[float]) -> list[float]:
-    """Holm-Bonferroni adjusted p values, in the order given."""
-    order, out, most = sorted(range(len(ps)), key=ps.__getitem__), [0.0] * len(ps), 0.0
-    for k, i in enumerate(order):
-        most = max(most, min(1.0, (len(ps) - k) * ps[i]))
-        out[i] = most
-    return out
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Steps of the continued fraction; it settles after a multiple of the square root of the larger parameter where x is on its shorter side.
+_STEPS = 400
+
+
+def log_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0: Stirling's series (error below 1e-12) at z + 8, taken back by the recurrence."""
+    product = z
+    for k in range(1, 8):
+        product = product * (z + k)
+    y = z + 8
+    # The series' coefficients.
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(product)
+
+
+def beta_inc(a: Column, b: Column, x: Column, rest: Column | None = None) -> Column:
+    """Regularised incomplete beta function of a, b > 0 at x; below 0 as at 0, above 1 as at 1. ``rest`` is 1 - x, where it is known more exactly.
+
+    The continued fraction is folded over a sequence of its steps, from the left half of the distribution or, mirrored, from the right one.
+    """
+    # All in one array, so that the fold's steps read ready values.
+    rest = 1 - x if rest is None else rest
+    mirrored = x > (a + 1) / (a + b + 2)
+    ready = F.array(F.when(mirrored, b).otherwise(a).cast("double"), F.when(mirrored, a).otherwise(b).cast("double"), F.when(mirrored, rest).otherwise(x).cast("double"))
+    solid = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def at(p: Column) -> Column:
+        a, b, x = p[0], p[1], p[2]
+
+        def step(s: Column, i: Column) -> Column:
+            m = F.floor(i / 2)
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            grown = F.transform(F.array(F.when(i % 2 == 0, even).otherwise(odd)), lambda n: F.struct((1 / solid(1 + n * s["d"])).alias("d"), solid(1 + n / s["c"]).alias("c"), s["h"].alias("h")))
+            return F.transform(grown, lambda g: F.struct(g["d"].alias("d"), g["c"].alias("c"), (g["h"] * g["d"] * g["c"]).alias("h")))[0]
+
+        first = 1 / solid(1 - (a + b) * x / (a + 1))
+        fraction = F.aggregate(F.sequence(F.lit(2), F.lit(_STEPS)), F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h")), step, lambda s: s["h"])
+        return F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x)) / a * fraction
+
+    side = F.element_at(F.transform(F.array(ready), at), 1)
+    return F.when(x <= 0, 0.0).when(rest <= 0, 1.0).otherwise(F.when(mirrored, 1 - side).otherwise(side))
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) of Student's t; null for a null or less than one degree of freedom."""
+    return F.when(df >= 1, beta_inc(df / 2, F.lit(0.5), df / (df + t * t), t * t / (df + t * t)))
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """P(T > t) of Student's t."""
+    half = t_two_sided(t, df) / 2
+    return F.when(t >= 0, half).otherwise(1 - half)
+
+
+def f_tail(f: Column, first: Column, second: Column) -> Column:
+    """P(X > f) of the F distribution with ``first`` and ``second`` degrees of freedom."""
+    return F.when((first >= 1) & (second >= 1), F.when(f <= 0, 1.0).otherwise(beta_inc(second / 2, first / 2, second / (second + first * f), first * f / (second + first * f))))
+
+
+def binomial_tail(hits: Column, n: Column, p: float = 0.5) -> Column:
+    """P(X >= hits) of ``n`` trials."""
+    return F.when(hits <= 0, 1.0).when(hits > n, 0.0).otherwise(beta_inc(hits, n - hits + 1, F.lit(p)))

@@ -1,17 +1,20 @@
 """Point-in-time store: bitemporal observations, queried as of a date.
 
-Storage is append-only Parquet partitioned by source, so all vintages stay; which one counts is decided when
-reading. ``legacy`` reading keeps one row a key regardless of the date asked for.
+All vintages stay; which one counts is decided when reading. ``legacy`` reading keeps one row a key regardless of
+the date asked for. Files lie by source and year of publication, so that ingesting touches only the years that new
+rows were published in, and a query as of a date never opens later ones.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.schema import PIT, assert_columns
+from panelloom.session import shared_dir
 
 KEY = ["actor_id", "signal_id", "event_date", "source"]
 REQUIRED = [f.name for f in PIT if f.name != "vintage_id"]
@@ -32,28 +35,83 @@ def latest(obs: DataFrame, key: list[str] = KEY) -> DataFrame:
     return obs.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__")
 
 
+#: Files' folders: rows without a date of publication lie in one of their own.
+_FOLDERS = ["source", "published"]
+
+
+def _year(pub_date: Column) -> Column:
+    return F.year(pub_date).alias("published")
+
+
 class PointInTimeStore:
+    """Parquet files under ``root``, one row for each key and publication."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
+    def append(self, obs: DataFrame) -> None:
+        """Adds rows as they are: for rows that can't be there yet. ``ingest`` later tidies what repeats."""
+        self._write(normalised(obs).withColumn("published", _year(F.col("pub_date"))), "append")
+
     def ingest(self, obs: DataFrame) -> None:
-        normalised(obs).write.mode("append").partitionBy("source").parquet(self.root)
+        """Adds rows; a row of a key and publication that is there already takes the old one's place, so that ingesting twice changes nothing.
+
+        Folders (source, year of publication) without a new row are neither read nor written. Of new rows alike in key and publication the greater
+        value stays. What replaces a folder is written to the shared folder first and is whole there if the run ends in between. One writer at a time.
+        """
+        new = normalised(obs).withColumn("published", _year(F.col("pub_date"))).withColumn("__new", F.lit(1))
+        staged = f"{shared_dir(self.spark)}/store-{uuid.uuid4().hex}"
+        if self._there():
+            new.write.parquet(f"{staged}/new")
+            new = self.spark.read.parquet(f"{staged}/new")
+            touched = new.select(*_FOLDERS).distinct().alias("t")
+            old = self._files().alias("o")
+            same = F.col("o.source").eqNullSafe(F.col("t.source")) & F.col("o.published").eqNullSafe(F.col("t.published"))
+            new = old.join(touched, same, "left_semi").withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+        one = Window.partitionBy(*KEY, "pub_date").orderBy(F.col("__new").desc(), F.col("value").desc_nulls_last())
+        merged = new.withColumn("__k", F.row_number().over(one)).where("__k = 1").drop("__k", "__new")
+        order = [*_FOLDERS, "actor_id", "signal_id", "event_date", "pub_date"]
+        # A file holds a range of keys in order, so that a reader of few keys skips the other files' row groups.
+        merged.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{staged}/merged")
+        self._write(self.spark.read.parquet(f"{staged}/merged"), "overwrite")
 
     def bulk_ingest(self, frames: list[DataFrame]) -> None:
+        """Several frames in one pass; a column that some lack is null there."""
         if frames:
             self.ingest(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
 
+    def snapshot(self, path: str, as_of=None) -> None:
+        """Writes each key's row as of a date (None: the last one) as a table of its own, for readers that always ask for the same."""
+        found = self.query(as_of)
+        found.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").partitionBy("source").parquet(path)
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*_FOLDERS).parquet(self.root)
+
+    def _there(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _files(self) -> DataFrame:
+        """All rows with their folder's year; a frame with columns that others lack is read as well."""
+        rows = self.spark.read.option("mergeSchema", "true").parquet(self.root)
+        return normalised(rows).withColumn("published", F.col("published").cast("int"))
+
     def table(self) -> DataFrame:
-        return normalised(self.spark.read.parquet(self.root))
+        return self._files().drop("published")
 
     def query(self, as_of=None, sources=None, actor_ids=None, signal_ids=None, date_range=None, legacy: bool = False) -> DataFrame:
-        return query(self.table(), as_of, sources, actor_ids, signal_ids, date_range, legacy)
+        """As ``pit.query``; folders of later publications are not read, unless ``legacy`` needs every key's last one."""
+        rows = self._files()
+        if as_of is not None and not legacy and not isinstance(as_of, Column):
+            rows = rows.where(F.col("published") <= F.year(F.lit(as_of).cast("timestamp_ntz")))
+        return query(rows.drop("published"), as_of, sources, actor_ids, signal_ids, date_range, legacy)
 
     def query_signals(self, signal_ids: list[str], **more) -> DataFrame:
         return self.query(signal_ids=signal_ids, **more)
 
-    def query_intensity(self, actor_id: str, **more) -> DataFrame:
-        return self.query(actor_ids=[actor_id], **more)
+    def query_intensity(self, actor_ids: str | list[str], **more) -> DataFrame:
+        return self.query(actor_ids=[actor_ids] if isinstance(actor_ids, str) else actor_ids, **more)
 
     def list_actors(self) -> DataFrame:
         return catalogue(self.table(), "actor_id")

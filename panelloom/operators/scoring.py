@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import distributions as D
 from panelloom.functions import semantics as S
 
 
@@ -21,24 +22,25 @@ def r_squared(preds: DataFrame, by: list[str], pred: str = "pred", actual: str =
 
 
 def paired_t(deltas: DataFrame, by: list[str], delta: str = "delta", at_least: int = 3) -> DataFrame:
-    """(*by, n, mean, t) of non-null differences; t is null below ``at_least`` of them or without spread."""
+    """(*by, n, mean, t, p) of non-null differences; t and its two-sided p (n - 1 degrees) are null below ``at_least`` of them or without spread."""
     n, se = F.count(delta), F.stddev_samp(delta) / F.sqrt(F.count(delta))
-    return deltas.groupBy(*by).agg(n.alias("n"), F.avg(delta).alias("mean"), F.when((n >= at_least) & (se >= 1e-15), F.avg(delta) / se).alias("t"))
+    out = deltas.groupBy(*by).agg(n.alias("n"), F.avg(delta).alias("mean"), F.when((n >= at_least) & (se >= 1e-15), F.avg(delta) / se).alias("t"))
+    return out.withColumn("p", D.t_two_sided(F.col("t"), F.col("n") - 1))
 
 
 def dm_test(errors: DataFrame, by: list[str], first: str, second: str, horizon: int = 1) -> DataFrame:
-    """(*by, dm): Diebold-Mariano on squared errors of two forecasts, with the small-sample correction of Harvey et al.
+    """(*by, dm, p, n): Diebold-Mariano on squared errors of two forecasts, with the small-sample correction of Harvey et al., and its two-sided p.
 
-    0 where there are fewer than two rows or no variance.
+    0 and 1 where there are fewer than two rows or no variance; p is of Student's t with n - 1 degrees.
     """
     d = errors.withColumn("d__", F.col(first) ** 2 - F.col(second) ** 2)
     n, var = F.count("d__"), F.var_samp("d__")
     fix = F.sqrt((n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n)
-    return d.groupBy(*by).agg(F.when((n >= 2) & (var > 0), F.avg("d__") / F.sqrt(var / n) * fix).otherwise(F.lit(0.0)).alias("dm"), n.alias("n"))
+    return d.groupBy(*by).agg(F.when((n >= 2) & (var > 0), F.avg("d__") / F.sqrt(var / n) * fix).otherwise(F.lit(0.0)).alias("dm"), n.alias("n")).withColumn("p", F.coalesce(D.t_two_sided(F.col("dm"), F.col("n") - 1), F.lit(1.0)))
 
 
 def dm_hac(deltas: DataFrame, by: list[str], order: str, delta: str = "delta", bandwidth: int = 1) -> DataFrame:
-    """(*by, n, mean, t): mean over its Newey-West error with Bartlett weights.
+    """(*by, n, mean, t, p): mean over its Newey-West error with Bartlett weights, and the two-sided p of Student's t with n - 1 degrees.
 
     The zero-lag term is the sample variance (ddof 1); lag h averages products of deviations over n - h terms; the long-run
     variance is at least 1e-12.
@@ -51,7 +53,8 @@ def dm_hac(deltas: DataFrame, by: list[str], order: str, delta: str = "delta", b
     lrv = F.var_samp(delta)
     for h in range(1, bandwidth + 1):
         lrv = lrv + 2 * (1 - h / (bandwidth + 1)) * F.coalesce(F.sum(f"g{h}__") / F.when(n > h, n - h), F.lit(0.0))
-    return d.groupBy(*by).agg(n.alias("n"), F.avg(delta).alias("mean"), F.when(n >= 2, F.avg(delta) / F.sqrt(F.greatest(lrv, F.lit(1e-12)) / n)).alias("t"))
+    out = d.groupBy(*by).agg(n.alias("n"), F.avg(delta).alias("mean"), F.when(n >= 2, F.avg(delta) / F.sqrt(F.greatest(lrv, F.lit(1e-12)) / n)).alias("t"))
+    return out.withColumn("p", D.t_two_sided(F.col("t"), F.col("n") - 1))
 
 
 def rank_ic(preds: DataFrame, by: list[str], pred: str = "pred", actual: str = "actual") -> DataFrame:

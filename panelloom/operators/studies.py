@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import distributions as D
 from panelloom.functions import semantics as S
 from panelloom.operators.inference import PRIME, drawn
 from panelloom.operators.portfolio import PERIODS, matched
@@ -81,14 +82,19 @@ def error_correlation(preds: DataFrame, by: list[str], first: str, second: str)
     return preds.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(sq(first), sq(second)).alias("corr"))
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of ``n`` pairs: null for fewer than three, 0 for a perfect one."""
+    t = r * F.sqrt((n - 2) / (1 - r * r))
+    return F.when((n > 2) & r.isNotNull(), F.when(F.abs(r) >= 1, 0.0).otherwise(D.t_two_sided(t, n - 2)))
+
+
 def leak_test(preds: DataFrame, pred: str) -> DataFrame:
-    """(against, n, r, p): correlation of a forecast with the same quarter's value and with the one before; two-sided p by the normal limit of Fisher's z."""
+    """(against, n, r, p): correlation of a forecast with the same quarter's value and with the one before; two-sided p of Student's t with n - 2 degrees."""
     before = F.lag("actual").over(Window.partitionBy("actor_id").orderBy("quarter"))
     x = preds.withColumn("before__", before)
     pairs = x.select(F.col(pred).alias("x"), F.inline(F.array(F.struct(F.lit("same").alias("against"), F.col("actual").alias("y")), F.struct(F.lit("lagged").alias("against"), F.col("before__").alias("y")))))
     g = pairs.where("x is not null and y is not null").groupBy("against").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
-    z = F.abs(0.5 * F.ln((1 + F.col("r")) / (1 - F.col("r")))) * F.sqrt(F.col("n") - 3)
-    return g.withColumn("p", F.when((F.col("n") > 3) & (F.abs("r") < 1), 2 * (1 - S.normal_cdf(z))))
+    return g.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
 def perturbed(panel: DataFrame, sigmas: list[float], key: str = "actor", period: str = "period", value: str = "value") -> DataFrame:

@@ -237,29 +237,43 @@ def r2_deltas(spark: SparkSession, d: str) -> DataFrame:
     return rounded(block_deltas(spark, d), "delta")
 
 
-@page(sql("SELECT arch, count(delta) AS n, round(avg(delta), 6) AS mean, round(CASE WHEN count(delta) >= 3 AND stddev_samp(delta) / sqrt(count(delta)) >= 1e-15 THEN avg(delta) / (stddev_samp(delta) / sqrt(count(delta))) END, 4) AS t FROM delta_ GROUP BY 1", "preds", **_DELTA_PARTS))
+def t_p(t: str, df: str, steps: int = 4000) -> str:
+    """SQL of P(|T| > |t|): Simpson's rule on the density in the angle atan(t / sqrt(df))."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    weight = f"CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"sum({weight} * pow(greatest(cos({angle} + (pi() / 2 - {angle}) * k / {steps}.0), 0), {df} - 1)) * (pi() / 2 - {angle}) / {3 * steps}"
+    return f"(SELECT 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {area} FROM range(0, {steps + 1}) AS g(k))"
+
+
+_T = "SELECT arch, count(delta) AS n, avg(delta) AS mean, CASE WHEN count(delta) >= 3 AND stddev_samp(delta) / sqrt(count(delta)) >= 1e-15 THEN avg(delta) / (stddev_samp(delta) / sqrt(count(delta))) END AS t FROM delta_ GROUP BY 1"
+
+
+@page(sql(f"SELECT arch, n, round(mean, 6) AS mean, round(t, 4) AS t, CASE WHEN t IS NOT NULL THEN round({t_p('t', '(n - 1)')}, 6) END AS p FROM t_", "preds", **_DELTA_PARTS, t_=_T))
 def paired_t_stat(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(sc.paired_t(block_deltas(spark, d), ["arch"]), "mean"), "t", digits=4)
+    return rounded(rounded(sc.paired_t(block_deltas(spark, d), ["arch"]), "mean", "p"), "t", digits=4)
+
+
+_DM = "SELECT test_year, CASE WHEN count(*) >= 2 AND var_samp(e) > 0 THEN avg(e) / sqrt(var_samp(e) / count(*)) * sqrt((count(*) + 1 - 2) / count(*)) ELSE 0 END AS dm, count(*) AS n FROM x GROUP BY 1"
 
 
-@page(sql("SELECT test_year, round(CASE WHEN count(*) >= 2 AND var_samp(e) > 0 THEN avg(e) / sqrt(var_samp(e) / count(*)) * sqrt((count(*) + 1 - 2) / count(*)) ELSE 0 END, 4) AS dm, count(*) AS n FROM x GROUP BY 1", "preds", x="SELECT year AS test_year, pow(actual - pred_g0, 2) - pow(actual - pred_m2, 2) AS e FROM preds"))
+@page(sql(f"SELECT test_year, round(dm, 4) AS dm, round({t_p('dm', '(n - 1)')}, 6) AS p, n FROM ({_DM})", "preds", x="SELECT year AS test_year, pow(actual - pred_g0, 2) - pow(actual - pred_m2, 2) AS e FROM preds"))
 def dm_stat(spark: SparkSession, d: str) -> DataFrame:
     e = st.predictions(spark, d).select(F.col("year").alias("test_year"), (F.col("actual") - F.col("pred_g0")).alias("a"), (F.col("actual") - F.col("pred_m2")).alias("b"))
-    return rounded(sc.dm_test(e, ["test_year"], "a", "b"), "dm", digits=4)
+    return rounded(rounded(sc.dm_test(e, ["test_year"], "a", "b"), "p"), "dm", digits=4)
 
 
 def _hac(bandwidth: int) -> str:
     terms = "".join(f" + 2 * {1 - h / (bandwidth + 1)} * coalesce(sum(e * l{h}) / nullif(count(*) - {h}, 0), 0)" for h in range(1, bandwidth + 1))
     lags = ", ".join(f"lag(e, {h}) OVER (PARTITION BY block ORDER BY quarter) AS l{h}" for h in range(1, bandwidth + 1))
     return sql(
-        f"SELECT block, count(*) AS n, round(avg(dd), 6) AS mean, round(avg(dd) / sqrt(greatest(var_samp(dd){terms}, 1e-12) / count(*)), 4) AS t FROM y GROUP BY 1", "preds",
+        f"SELECT block, n, round(mean, 6) AS mean, round(t, 4) AS t, round({t_p('t', '(n - 1)')}, 6) AS p FROM (SELECT block, count(*) AS n, avg(dd) AS mean, avg(dd) / sqrt(greatest(var_samp(dd){terms}, 1e-12) / count(*)) AS t FROM y GROUP BY 1)", "preds",
         q="SELECT CASE WHEN sector IN ('AMERICA', 'ASIA', 'EUROPE') THEN sector ELSE 'REMAINDER' END AS block, quarter, round(100 * avg(pow(actual - pred_g0, 2) - pow(actual - pred_m2, 2)), 9) AS dd FROM preds GROUP BY 1, 2",
         x="SELECT *, dd - avg(dd) OVER (PARTITION BY block) AS e FROM q", y=f"SELECT *, {lags} FROM x",
     )
 
 
 for _bw in (1, 2):
-    BOOK.add(f"dm_hac_stat_bw{_bw}", lambda spark, d, bw=_bw: rounded(rounded(sc.dm_hac(_quarterly_gain(spark, d), ["block"], "quarter", "dd", bw), "mean"), "t", digits=4), _hac(_bw))
+    BOOK.add(f"dm_hac_stat_bw{_bw}", lambda spark, d, bw=_bw: rounded(rounded(sc.dm_hac(_quarterly_gain(spark, d), ["block"], "quarter", "dd", bw), "mean", "p"), "t", digits=4), _hac(_bw))
 
 
 def _quarterly_gain(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from panelloom.plans import standins as st
 from panelloom.plans.book import Book
 from panelloom.plans.panel_queries import rounded
 from panelloom.plans.standins import sql
+from panelloom.session import shared_dir
 
 BOOK = Book()
 page = BOOK.page
@@ -72,6 +75,57 @@ def vintage_merge(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.groupBy("signal_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "total", digits=4)
 
 
+# --- the store's files: three frames, two of which overlap and one of which comes twice --------------------------------
+
+
+#: Two frames of two thirds of the events each; where they meet the second counts, whose values are 1 greater.
+_ONE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY actor_id, signal_id, event_date, source, pub_date ORDER BY later DESC, value DESC) AS j FROM frames_) WHERE j = 1"
+_STORED = {
+    "frames_": "SELECT CAST(user_id AS VARCHAR) AS actor_id, event_type AS signal_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date, CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_days(CAST((event_id % 6) * 80 - 1 AS INTEGER)) AS pub_date, value + later AS value, CASE WHEN event_type IN ('purchase', 'refund') THEN 'billing' ELSE 'site' END AS source, later FROM events, (SELECT unnest([0, 1]) AS later) WHERE event_id % 3 <> 2 * (1 - later)",
+    "stored_": _ONE,
+}
+
+
+def _store(spark: SparkSession, d: str) -> pit.PointInTimeStore:
+    """A new store of all events, published over more than a year, in frames that overlap."""
+    e = st.table(spark, d, "events").select("event_id", F.col("event_type").alias("signal_id"), F.col("ts").cast("date").alias("day"), F.col("user_id").cast("string").alias("actor_id"), "value")
+    rows = e.select(
+        "event_id", "actor_id", "signal_id", F.col("day").cast("timestamp_ntz").alias("event_date"), F.date_add("day", ((F.col("event_id") % 6) * 80 - 1).cast("int")).cast("timestamp_ntz").alias("pub_date"),
+        "value", F.when(F.col("signal_id").isin("purchase", "refund"), "billing").otherwise("site").alias("source"),
+    )
+    first, second = rows.where("event_id % 3 <> 2").drop("event_id"), rows.where("event_id % 3 <> 0").withColumn("value", F.col("value") + 1).drop("event_id")
+    store = pit.PointInTimeStore(spark, f"{shared_dir(spark)}/pit-{uuid.uuid4().hex}")
+    store.ingest(first)
+    store.bulk_ingest([second.where("source = 'site'"), second.where("source = 'billing'")])
+    store.ingest(second)
+    return store
+
+
+@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('q')})", **_STORED, q="SELECT * FROM stored_ WHERE pub_date <= TIMESTAMP '2024-09-30'"), dates="event_date pub_date")
+def store_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_store(spark, d).query("2024-09-30"))
+
+
+@page(sql(f"SELECT {_SHOWN} FROM ({_LATEST.format('stored_')}) WHERE pub_date <= TIMESTAMP '2024-09-30'", **_STORED), dates="event_date pub_date")
+def store_legacy(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_store(spark, d).query("2024-09-30", legacy=True))
+
+
+@page(sql("SELECT source, year(pub_date) AS year, count(*) AS n, round(sum(value), 4) AS total FROM stored_ GROUP BY 1, 2", **_STORED))
+def store_vintages(spark: SparkSession, d: str) -> DataFrame:
+    """What lies in the files: one row a key and publication, however often it came."""
+    g = _store(spark, d).table().groupBy("source", F.year("pub_date").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return rounded(g, "total", digits=4)
+
+
+@page(sql(f"SELECT 'signal' AS what, {_SHOWN} FROM ({_LATEST.format('q')}) WHERE signal_id IN ('click', 'refund') UNION ALL SELECT 'actor', {_SHOWN} FROM ({_LATEST.format('q')}) WHERE actor_id IN ('3', '14')", **_STORED, q="SELECT * FROM stored_ WHERE pub_date <= TIMESTAMP '2024-12-31'"), dates="event_date pub_date")
+def store_selections(spark: SparkSession, d: str) -> DataFrame:
+    store = _store(spark, d)
+    by = {"signal": store.query_signals(["click", "refund"], as_of="2024-12-31"), "actor": store.query_intensity(["3", "14"], as_of="2024-12-31")}
+    parts = [_shown(rows).select(F.lit(what).alias("what"), "*") for what, rows in by.items()]
+    return parts[0].unionByName(parts[1])
+
+
 # --- audits ----------------------------------------------------------------------------------------------------------
 
 

@@ -12,8 +12,8 @@ from panelloom.operators import signals as G
 from panelloom.plans import standins as st
 from panelloom.plans.book import Book
 from panelloom.plans.inference_queries import _SERIES, _of_arch, _resampled
-from panelloom.plans.panel_queries import _DELTA_PARTS, block_deltas, rounded
-from panelloom.plans.portfolio_queries import _HIT, _PARTS, _cdf, _signal
+from panelloom.plans.panel_queries import _DELTA_PARTS, block_deltas, rounded, t_p
+from panelloom.plans.portfolio_queries import _HIT, _PARTS, _signal
 from panelloom.plans.standins import sql
 from panelloom.sources import payloads
 
@@ -118,11 +118,11 @@ def error_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @page(sql(
-    f"SELECT against, n, round(r, 6) AS r, round(2 * (1 - {_cdf('z')}), 5) AS p FROM (SELECT *, abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) AS z FROM (SELECT against, count(*) AS n, corr(pred_m2, y) AS r FROM (SELECT 'same' AS against, pred_m2, actual AS y FROM preds UNION ALL SELECT 'lagged', pred_m2, lag(actual) OVER (PARTITION BY actor_id ORDER BY quarter) FROM preds) WHERE y IS NOT NULL GROUP BY 1))",
+    f"SELECT against, n, round(r, 6) AS r, round({t_p('t', '(n - 2)')}, 6) AS p FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT against, count(*) AS n, corr(pred_m2, y) AS r FROM (SELECT 'same' AS against, pred_m2, actual AS y FROM preds UNION ALL SELECT 'lagged', pred_m2, lag(actual) OVER (PARTITION BY actor_id ORDER BY quarter) FROM preds) WHERE y IS NOT NULL GROUP BY 1))",
     "preds",
 ))
 def leak_test(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(studies.leak_test(st.predictions(spark, d), "pred_m2"), "r"), "p", digits=5)
+    return rounded(studies.leak_test(st.predictions(spark, d), "pred_m2"), "r", "p")
 
 
 @page(sql(
