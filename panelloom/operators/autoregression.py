@@ -10,7 +10,7 @@ def _order() -> WindowSpec:
     return Window.partitionBy("test_year", "actor").orderBy("period")
 
 
-def _deviations(rows: DataFrame) -> DataFrame:
+def deviations(rows: DataFrame) -> DataFrame:
     """Training mean of each actor, and this and the last period's deviation from it."""
     mean = F.coalesce(F.avg(F.when(F.col("train"), F.col("value"))).over(Window.partitionBy("test_year", "actor")), F.lit(0.5))
     return rows.withColumn("mean", mean).withColumn("dev", F.col("value") - F.col("mean")).withColumn("prev", F.lag("dev").over(_order()))
@@ -28,7 +28,7 @@ def _slopes(d: DataFrame, by: list[str]) -> DataFrame:
 
 def rho(rows: DataFrame, by: list[str]) -> DataFrame:
     """(test_year, *by, rho, n): sum of products of successive deviations over the sum of squares, on training rows."""
-    return _slopes(_deviations(rows), by)
+    return _slopes(deviations(rows), by)
 
 
 def rho_correlation(rows: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def rho_correlation(rows: DataFrame) -> DataFrame:
 
 def rho_error(rows: DataFrame, by: list[str]) -> DataFrame:
     """(test_year, *by, rho, se): the slope's standard error, from n - 2 degrees of freedom."""
-    d = _deviations(rows).where("train and prev is not null").join(rho(rows, by), ["test_year", *by])
+    d = deviations(rows).where("train and prev is not null").join(rho(rows, by), ["test_year", *by])
     error = F.sum((F.col("dev") - F.col("rho") * F.col("prev")) ** 2)
     n = F.count(F.lit(1))
     return d.groupBy("test_year", *by).agg(F.first("rho").alias("rho"), F.when((n > 2) & (F.sum(F.col("prev") ** 2) > 1e-12), F.sqrt(error / ((n - 2) * F.sum(F.col("prev") ** 2)))).alias("se"))
@@ -52,7 +52,7 @@ def forecasts(rows: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     mean + rho * last deviation, estimates frozen at the year's start. Deviations are taken once for all levels;
     slopes are aggregates, small next to the rows that they are joined to.
     """
-    d = _deviations(rows)
+    d = deviations(rows)
     out = d.where(~F.col("train"))
     for name, by in levels.items():
         s = _slopes(d, by).select("test_year", *by, F.col("rho").alias("rho__"))

@@ -136,7 +136,7 @@ def win_condition(spark: SparkSession, d: str) -> DataFrame:
 
 # --- perturbed targets --------------------------------------------------------------------------------------------------------
 
-_SIGMAS = [0.0, 0.01, 0.02, 0.05, 0.1]
+SIGMAS = [0.0, 0.01, 0.02, 0.05, 0.1]
 
 
 def _noise(key: str) -> str:
@@ -147,15 +147,21 @@ def _noise(key: str) -> str:
     return f"((({c} * {c} + {b}) % {I.PRIME}) % {I.PRIME - 1})"
 
 
+#: The noisy panel's rows from one named panel.
+NOISE = {
+    "keyed": "SELECT CAST(actor AS BIGINT) AS actor, period, value, CAST(year(period) * 4 + quarter(period) AS BIGINT) AS place FROM panel WHERE value IS NOT NULL",
+    "normal": f"SELECT actor, period, value, sqrt(-2 * ln(({_noise('actor')} + 1) / {I.PRIME}::DOUBLE)) * cos(2 * pi() * ({_noise('actor + 1000003')} / {I.PRIME}::DOUBLE)) AS z FROM keyed",
+    "noisy_": f"SELECT sigma, actor, period, value, round(CASE WHEN sigma = 0 THEN value ELSE greatest(0, least(1, value + sigma * z)) END, 9) AS noisy FROM normal, (SELECT unnest({SIGMAS})::DOUBLE AS sigma)",
+}
+
+
 @page(sql(
     "SELECT sigma, period, round(corr(r, s), 5) AS rho FROM (SELECT sigma, period, (rank() OVER w + count(*) OVER (PARTITION BY sigma, period, value) / 2) AS r, (rank() OVER v + count(*) OVER (PARTITION BY sigma, period, noisy) / 2) AS s FROM noisy_ WINDOW w AS (PARTITION BY sigma, period ORDER BY value), v AS (PARTITION BY sigma, period ORDER BY noisy)) GROUP BY 1, 2 HAVING count(*) > 5",
-    "panel", keyed="SELECT CAST(actor AS BIGINT) AS actor, period, value, CAST(year(period) * 4 + quarter(period) AS BIGINT) AS place FROM panel WHERE value IS NOT NULL",
-    normal=f"SELECT actor, period, value, sqrt(-2 * ln(({_noise('actor')} + 1) / {I.PRIME}::DOUBLE)) * cos(2 * pi() * ({_noise('actor + 1000003')} / {I.PRIME}::DOUBLE)) AS z FROM keyed",
-    noisy_=f"SELECT sigma, actor, period, value, round(CASE WHEN sigma = 0 THEN value ELSE greatest(0, least(1, value + sigma * z)) END, 9) AS noisy FROM normal, (SELECT unnest({_SIGMAS})::DOUBLE AS sigma)",
+    "panel", **NOISE,
 ), dates="period")
 def perturbed_rank_stability(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation, in each quarter, of values with and without noise."""
-    x = studies.perturbed(st.panel(spark, d), _SIGMAS).withColumn("noisy", F.round("noisy", 9))
+    x = studies.perturbed(st.panel(spark, d), SIGMAS).withColumn("noisy", F.round("noisy", 9))
     ranked = x.withColumn("r", S.pct_rank(F.col("value"), ["sigma", "period"])).withColumn("s", S.pct_rank(F.col("noisy"), ["sigma", "period"]))
     return rounded(ranked.groupBy("sigma", "period").agg(F.corr("r", "s").alias("rho"), F.count(F.lit(1)).alias("n")).where("n > 5").drop("n"), "rho", digits=5)
 
