@@ -2,8 +2,8 @@
 
 Markup is stripped to lines, one a block, with elements that never hold the article left out. Text
 lengths (without links) are summed over sliding windows of lines; the first surge and the last dive mark the ends of
-the article, and all lines between stay. That holds for every page. What a page marks as its article only changes weights:
-a line in it weighs a fixed bonus more, and lines outside weigh nothing.
+the article, and all lines between stay. What a page marks as its article weighs a little more and takes nothing from
+the lines outside.
 """
 
 from __future__ import annotations
@@ -229,39 +229,45 @@ def _raw_end(html: str, name: str, at: int) -> int:
     return m.end() if m else len(html)
 
 
-def weights(lines: list[Line], bonus: int) -> list[int]:
-    """Characters outside links; where lines are marked as the article's, ``bonus`` more in it and nothing outside."""
-    marked = any(x.inside for x in lines)
-    return [x.weight + bonus if x.inside else 0 if marked else x.weight for x in lines]
+def densest(weight: list[float], window: int) -> float:
+    """The greatest sum of ``window`` lines next to each other, or of all if there are fewer."""
+    now = most = sum(weight[:window])
+    for k in range(window, len(weight)):
+        now += weight[k] - weight[k - window]
+        most = max(most, now)
+    return most
+
+
+def ends(lines: list[Line], window: int, surge: float) -> tuple[int, int]:
+    """First line of the article and the one behind its last; (0, 0) if there is none.
+
+    A line starts it if it and the ``window`` - 1 lines after it weigh the surge together; it ends with the last line for which that holds of it and the
+    lines before. Lines weigh their characters outside links. The surge is ``surge`` characters, on a page of little text a quarter of its densest
+    window. What a page marks as its article weighs a bonus more a line, which makes nine tenths of a surge by itself: it decides where text is thin, and nothing without text.
+    """
+    text = [x.weight for x in lines]
+    least = min(surge, densest(text, window) / 4)
+    if least <= 0:
+        return 0, 0
+    weight = [w + (0.9 * least / window if x.inside else 0) for w, x in zip(text, lines, strict=True)]
+    n, sums = len(lines), [0.0]
+    for w in weight:
+        sums.append(sums[-1] + w)
+    first = next(i for i in range(n) if weight[i] and sums[min(n, i + window)] - sums[i] >= least)
+    last = next(i for i in range(n - 1, -1, -1) if weight[i] and sums[i + 1] - sums[max(0, i + 1 - window)] >= least)
+    return first, max(first, last) + 1
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 60) -> str:
     """The article's blocks, joined by an empty line; empty if the page has none.
 
-    A line starts the article if it and the ``window`` - 1 lines after it weigh ``surge`` together and it weighs something
-    itself; the article ends with the last line for which that holds of it and the lines before. The bonus of a line in a marked article is
-    surge / window: it counts as much as a line of the least prose. Headings right before the surge belong to it. If all lines of a page weigh less
-    than the surge, the page is short, and all that weigh something are its text.
+    The lines between surge and dive (see ``ends``), whatever they weigh, and the headings right before them.
     """
     lines = lines_of(html or "")
-    weight = weights(lines, -(-surge // window))
-    n = len(lines)
-    sums = [0]
-    for w in weight:
-        sums.append(sums[-1] + w)
-    least = min(surge, max(1, sums[-1]))
-    if sums[-1] < surge:
-        window = n
-    after = lambda i: sums[min(n, i + window)] - sums[i]
-    before = lambda i: sums[i + 1] - sums[max(0, i + 1 - window)]
-    first = next((i for i in range(n) if weight[i] and after(i) >= least), None)
-    if first is None:
-        return ""
-    last = next(i for i in range(n - 1, -1, -1) if weight[i] and (before(i) >= least or i == first))
-    marked = any(x.inside for x in lines)
-    while not marked and first and lines[first - 1].heading:
+    first, end = ends(lines, window, surge)
+    while end and first and lines[first - 1].heading:
         first -= 1
-    return "\n\n".join(x.text for x, w in zip(lines[first : last + 1], weight[first : last + 1], strict=True) if w or not marked)
+    return "\n\n".join(x.text for x in lines[first:end])
 
 
 def extract(pages: DataFrame, column: str = "text") -> DataFrame:

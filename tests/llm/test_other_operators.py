@@ -203,24 +203,54 @@ def test_a_mark_on_a_wrapper_keeps_the_article(head):
     assert html_text.main_text(f"<main><h1>Title</h1><p>{LONG}</p>{comments}</main>") == f"Title\n\n{LONG.strip()}"
 
 
-def test_surge_and_dive_on_every_page(spark):
-    """The text against windows counted one by one, on all pages, with their marks and without."""
+def windowed(blocks, article):
+    """The article of (text, characters in links, heading) blocks, those numbered ``article`` marked; windows of three blocks counted one by one."""
+    bare = [len(t) - k for t, k, _ in blocks]
+    peak = max(sum(bare[i : i + 3]) for i in range(max(1, len(bare) - 2)))
+    surge = min(60, peak / 4)
+    if surge == 0:
+        return ""
+    w = [x + (0.3 * surge if i in article else 0) for i, x in enumerate(bare)]
+    first = min(i for i in range(len(w)) if w[i] and sum(w[i : i + 3]) >= surge - 1e-9)
+    last = max([first] + [i for i in range(len(w)) if w[i] and sum(w[max(0, i - 2) : i + 1]) >= surge - 1e-9])
+    while first and blocks[first - 1][2]:
+        first -= 1
+    return "\n\n".join(t for t, _, _ in blocks[first : last + 1])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_windows_decide(seed):
+    """Pages made of blocks whose lengths are known: the ends are where the windows say, with a marked article and without, and they do cut."""
+    rng, cut = random.Random(seed), 0
+    for _ in range(20):
+        blocks, html = [], []
+        start = rng.randrange(8)
+        article = set(range(start, start + rng.choice([0, 0, 2, 5])))
+        for i in range(rng.randint(1, 16)):
+            text = " ".join("x" * rng.randint(1, 9) for _ in range(rng.choice([1, 1, 1, 2, 3, 30]))) + str(i)
+            link, tag = rng.random() < 0.3, rng.choice(["p", "div", "h2"])
+            blocks.append((text, len(text) if link else 0, tag == "h2"))
+            html.append(("<article>" if i == start and article else "") + f"<{tag}>" + (f"<a href=u>{text}</a>" if link else text) + f"</{tag}>" + ("</article>" if article and i == max(article) else ""))
+        want = windowed(blocks, article)
+        assert html_text.main_text("<body>" + "".join(html)) == want
+        cut += want != "\n\n".join(t for t, _, _ in blocks)
+    assert cut > 3
+
+
+def test_a_marked_card_takes_nothing_from_the_prose():
+    prose = "Some sentence here. " * 40
+    assert html_text.main_text(f"<div><h1>T</h1><p>{prose}</p></div><article><p>card</p></article>") == f"T\n\n{prose.strip()}\n\ncard"
+    # A mark without text doesn't make an article, nor does one on links alone.
+    far = "<p>a</p>" * 5
+    assert html_text.main_text(f"<p>{prose}</p>{far}<article><p><a>one</a></p><p><a>two</a></p><p><a>three</a></p></article>") == f"{prose.strip()}\n\na\n\na"
+    assert html_text.main_text("<article><p>One.</p><p>Two.</p><p>3</p></article>") == "One.\n\nTwo.\n\n3"
+
+
+def test_all_text_of_the_given_articles_stays(spark):
+    """On the given pages nothing but the article is left when markup is gone: windows must cut none of it, thin lines at its ends included."""
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
-        for page in (r["html"], (r["html"] or "").replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div")):
-            lines = html_text.lines_of(page or "")
-            w = html_text.weights(lines, 20)
-            total = sum(w)
-            width, least = (3, 60) if total >= 60 else (len(lines), max(total, 1))
-            up = [i for i in range(len(w)) if w[i] and sum(w[i : i + width]) >= least]
-            down = [i for i in range(len(w)) if w[i] and (sum(w[max(0, i + 1 - width) : i + 1]) >= least or i == up[0])]
-            marked = any(x.inside for x in lines)
-            kept = []
-            if up:
-                a = up[0]
-                while not marked and a and lines[a - 1].heading:
-                    a -= 1
-                kept = [x.text for x, v in list(zip(lines, w, strict=True))[a : down[-1] + 1] if v or not marked]
-            assert html_text.main_text(page) == "\n\n".join(kept)
+        lines = html_text.lines_of(r["html"] or "")
+        assert html_text.main_text(r["html"]) == "\n\n".join(x.text for x in lines)
 
 
 def test_pages_long_repeated_and_none(spark):
