@@ -302,10 +302,11 @@ def _pairs(members: DataFrame, block: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, block: int = 1024, anchors: int = 8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) for every row of ``docs`` (doc_id, text; others are ignored).
+    """(doc_id, n_shingles, component_id, set_id, class_id) for every row of ``docs`` (doc_id, text; others are ignored).
 
     Two documents link when intersection/union of their n-gram sets is at least num/den (whole numbers, so
-    that a pair exactly at the threshold links). component_id is the smallest doc_id that links lead to.
+    that a pair exactly at the threshold links). component_id is the smallest doc_id that links lead to. class_id names the component by
+    one of its sets: components have different ones even where rows with the same doc_id make their smallest doc_ids the same.
     Texts that are null or without a word have size 0 and link with nothing. Rows with a null doc_id are
     returned with their size, a null component and no links. Repeated rows each come back. An
     empty table gives an empty result. Texts are taken whole: the set of one text is in memory at a time.
@@ -371,11 +372,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bl
     joined = connected_components(links).select(F.col("node").alias("set_id"), F.col("component").alias("class"))
     by_class = sets.select("set_id", "doc_id").join(joined, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
     least = by_class.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    result = by_class.join(dealt_anew(least, "class"), "class").select("set_id", "component_id")
+    result = by_class.join(dealt_anew(least, "class"), "class").select("set_id", "component_id", F.col("class").alias("class_id"))
     rows = info.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     return rows.join(result, "set_id", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "set_id",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "set_id", "class_id",
     )
 
 
@@ -392,20 +393,27 @@ def _set_of(n: int):
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but the first document of each component; columns stay.
+    """``docs`` without all but the first document of each component; columns stay, others than doc_id and text may hold anything.
 
-    Rows without a doc_id can't be told apart and stay. Rows that share a doc_id are judged text by text; of those that
-    are their component's first document, one stays.
+    Rows without a doc_id can't be told apart and stay. Rows that share a doc_id are judged text by text: of each component whose first document has that id
+    one row stays, so that unlinked texts under one id all do. Of rows alike in id and word set, and of rows alike in id and text without a word (null
+    and empty are different texts), the one with the least text stays, of equal ones the one with the least hash of all columns. Texts are taken whole; an
+    empty table gives an empty result.
     """
     found = stored(ngram_components(docs, **options).where("doc_id is not null"), "found")
     many = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     drop = found.where("doc_id <> component_id").select("doc_id").unionByName(many).distinct()
     kept = docs.where("doc_id is not null").join(drop, "doc_id", "left_anti").select(*docs.columns)
 
-    # Repeated ids: the set of each row's text tells which row is meant.
-    first = found.where("doc_id = component_id and set_id is not null").join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("set_id").alias("set__"))
-    rows = docs.join(many, "doc_id", "left_semi").select(*docs.columns)
-    named = rows.withColumn("of__", _set_of(options.get("n", 5))(F.col("text").cast("string")))
-    again = named.where("of__ is not null").join(first, "doc_id").where("of__ = set__").dropDuplicates(["doc_id"]).select(*docs.columns)
-    blank = named.where("of__ is null").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    # Repeated ids: the set of each row's text tells which row is meant. Rows are packed, whatever their columns are called.
+    first = found.where("doc_id = component_id and set_id is not null").join(many, "doc_id", "left_semi").groupBy("doc_id", "class_id").agg(F.min("set_id").alias("set")).select(F.col("doc_id").alias("id"), "set")
+    rows = docs.join(many, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    named = rows.withColumn("set", _set_of(options.get("n", 5))(F.col("text")))
+    again = _one_of(named.where("set is not null").join(first, ["id", "set"], "left_semi"), "set")
+    blank = _one_of(named.where("set is null"), "text")
     return kept.unionByName(again).unionByName(blank).unionByName(docs.where("doc_id is null"))
+
+
+def _one_of(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each id and ``key``; combined where rows lie, so that very many alike meet nowhere."""
+    return rows.groupBy("id", key).agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row")).select("row.*")

@@ -168,3 +168,29 @@ def test_keep_one_judges_repeated_ids_by_text(spark):
     rows = [(1, one), (5, one), (5, two), (5, two.upper()), (7, two), (8, ""), (8, "")]
     kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["text"].lower()) for r in kept.collect()) == [(1, one), (5, two), (8, "")]
+
+
+def test_keep_one_keeps_unlinked_texts_under_one_id(spark):
+    """Texts without a word in common stay whatever ids they share; of linked ones under one id, one stays."""
+    base = [f"{x}{k}" for k in range(12) for x in "ab"]
+    near = [*base[:-1], "other"]
+    rows = [(5, "one two three four five six", "x"), (5, "red green blue black white grey", "y"), (6, "sun moon star sky cloud rain", "z"), (7, "cat dog cow pig hen fox", "w")]
+    rows += [(5, " ".join(base), "p"), (5, " ".join(near), "q"), (4, None, "n"), (4, "", "e"), (4, "  ", "s"), (4, "", "e2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __set string")
+    kept = ngram_join.keep_one(df, den=10, num=8)
+    got = sorted((r["doc_id"], r["text"], r["__set"]) for r in kept.where("text is not null and trim(text) <> ''").collect())
+    assert kept.columns == df.columns
+    assert {g[2] for g in got} >= set("xyzw")
+    assert len(got) == 5 and {g[2] for g in got} - set("xyzw") <= {"p", "q"}
+    assert sorted((r["text"] is None, r["text"] or "") for r in kept.where("doc_id = 4").collect()) == [(False, ""), (False, "  "), (True, "")]
+
+
+def test_keep_one_of_no_rows_long_texts_and_repeats(spark):
+    schema = "doc_id long, text string, lang string"
+    assert ngram_join.keep_one(spark.createDataFrame([], schema)).collect() == []
+    long = " ".join(f"w{k}" for k in range(100_000))
+    rows = [(2, long, "b"), (2, long, "a"), (2, long.upper(), "c"), (3, long + " end", "d")] + [(9, "a b c d e f", "z")] * 50
+    for _ in range(2):  # the same rows whatever the order of the table
+        kept = sorted((r["doc_id"], r["text"] == long.upper(), r["lang"]) for r in ngram_join.keep_one(spark.createDataFrame(rows, schema)).collect())
+        assert kept == [(2, True, "c"), (9, False, "z")]
+        rows.reverse()
