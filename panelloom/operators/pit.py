@@ -167,6 +167,19 @@ def as_of_panel(obs: DataFrame, period_ends: DataFrame, keys: list[str] | None =
     return both.withColumn("known", F.last("value", ignorenulls=True).over(order)).where("grid = 1").select(*keys, F.col("t").cast("date").alias("period_end"), F.col("known").alias("value"))
 
 
+def on_union_of_calendars(obs: DataFrame, calendar: DataFrame, keys: list[str], time: str = "t", value: str = "value") -> DataFrame:
+    """(*keys, time, value, observed, asked): each key's last known value on every date of its observations or of its own ``calendar`` (*keys, time).
+
+    Keys may have calendars of different dates, or be in one table only: without an observation by then the value is null. Of several values of a
+    date the greatest counts. One sort a key; dates of other keys are never met.
+    """
+    seen = obs.select(*keys, time, F.col(value).alias("v__"), F.lit(True).alias("o__"), F.lit(False).alias("c__"))
+    asked = calendar.select(*keys, time, F.lit(None).cast(obs.schema[value].dataType).alias("v__"), F.lit(False).alias("o__"), F.lit(True).alias("c__"))
+    dates = seen.unionByName(asked).groupBy(*keys, time).agg(F.max("v__").alias("v__"), F.max("o__").alias("observed"), F.max("c__").alias("asked"))
+    past = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    return dates.select(*keys, time, F.last("v__", ignorenulls=True).over(past).alias(value), "observed", "asked")
+
+
 #: Days from an event to its publication.
 LAGS = {"fred": 30, "news_weekly": 7, "io_tables": 548, "weo": 365, "oecd_monthly": 45, "oecd_quarterly": 75, "ifs_monthly": 30, "ifs_quarterly": 90}
 

@@ -1,12 +1,7 @@
-"""Text and column files with a schema of their own: CSV with a header, JSON lines, Parquet; metrics; members of ZIP archives."""
+"""Text and column files with a schema of their own: CSV with a header, JSON lines, Parquet; metrics."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -28,26 +23,4 @@ def read(spark: SparkSession, path: str, kind: str, schema: StructType | str) ->
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """One JSON line a row, in one file: metrics are a few dozen rows."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
-
-
-def zipped_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(path, member, line, text): the lines of all members of ZIP archives, an archive a task, streamed line by line."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for where, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        with archive.open(member) as raw:
-                            rows: list[tuple] = []
-                            for k, text in enumerate(io.TextIOWrapper(raw, encoding=encoding, errors="replace", newline="\n")):
-                                rows.append((where, member, k, text.rstrip("\r\n")))
-                                if len(rows) == 10_000:
-                                    yield pd.DataFrame(rows, columns=["path", "member", "line", "text"])
-                                    rows = []
-                            if rows:
-                                yield pd.DataFrame(rows, columns=["path", "member", "line", "text"])
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return found.mapInPandas(run, "path string, member string, line long, text string")
+    metrics.repartition(1).write.mode("overwrite").json(path)

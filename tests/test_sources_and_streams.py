@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.operators import universe as U
-from panelloom.sources import files
+from panelloom.sources import archives, files
 from panelloom.sources import payloads as P
 from panelloom.streaming import jobs
 
@@ -91,7 +91,7 @@ def test_zip_members_and_metrics(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
             z.writestr("a.tsv", f"one\t{k}\r\ntwo\n")
             z.writestr("empty.tsv", "")
-    found = files.zipped_lines(spark, str(tmp_path / "*.zip"))
+    found = archives.lines(archives.members(spark, str(tmp_path / "*.zip")))
     assert rows(found, "member", "line", "text") == [("a.tsv", 0, "one\t0"), ("a.tsv", 0, "one\t1"), ("a.tsv", 1, "two"), ("a.tsv", 1, "two")]
     files.write_metrics(spark.createDataFrame([("r2", 0.5)], "name string, value double"), str(tmp_path / "m"))
     assert rows(files.read(spark, str(tmp_path / "m"), "json", "name string, value double"), "name", "value") == [("r2", 0.5)]
