@@ -69,3 +69,16 @@ def summary(found: DataFrame, by: list[str]) -> DataFrame:
     """(*by, n, mean, t, p, base_r2, mixed_r2, wins) over the windows: mean gain, its t and two-sided p, mean R2, and windows with a gain."""
     means = found.groupBy(*by).agg(F.avg("base_r2").alias("base_r2"), F.avg("mixed_r2").alias("mixed_r2"), F.count_if(F.col("delta") > 0).alias("wins"))
     return scoring.paired_t(found, by).join(means, by)
+
+
+def merged_gain(found: DataFrame, first: str, second: str, both: str, by: list[str] | None = None, least: float = 0.005) -> DataFrame:
+    """(*by, n, first, second, parts, merged, excess, finding): does one block of two gain more than the two as blocks of their own?
+
+    Mean gains of three variants over the windows that all have. A block has one slope in each, so nothing but the pooling differs. finding:
+    shared where the merged gain exceeds the parts' sum by ``least``, apart where it falls short by as much, else unclear.
+    """
+    by = by or []
+    wide = found.groupBy(*by, "test_year").agg(*(F.max(F.when(F.col("variant") == v, F.col("delta"))).alias(f"{k}__") for k, v in (("a", first), ("b", second), ("m", both))))
+    g = wide.where("a__ is not null and b__ is not null and m__ is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("a__").alias("first"), F.avg("b__").alias("second"), F.avg("m__").alias("merged"))
+    g = g.withColumn("parts", F.col("first") + F.col("second")).withColumn("excess", F.col("merged") - F.col("parts"))
+    return g.withColumn("finding", F.when(F.col("excess") > least, "shared").when(F.col("excess") < -least, "apart").otherwise("unclear"))

@@ -87,6 +87,18 @@ def robustness_summary(spark: SparkSession, d: str) -> DataFrame:
     return _summary(sufficient.scores(_statistics(spark, d), _members(spark, d, SET | CANDIDATES)), ["variant"])
 
 
+_PARTS_OF = {"africa": CANDIDATES["africa"], "europe": CANDIDATES["europe"], "africa_and_europe": CANDIDATES["africa_and_europe"]}
+
+
+@page(sql(
+    "SELECT n, round(first, 6) AS first, round(second, 6) AS second, round(first + second, 6) AS parts, round(merged, 6) AS merged, round(merged - first - second, 6) AS excess, CASE WHEN merged - first - second > 0.005 THEN 'shared' WHEN merged - first - second < -0.005 THEN 'apart' ELSE 'unclear' END AS finding FROM (SELECT count(DISTINCT test_year) AS n, avg(mixed_r2 - base_r2) FILTER (variant = 'africa') AS first, avg(mixed_r2 - base_r2) FILTER (variant = 'europe') AS second, avg(mixed_r2 - base_r2) FILTER (variant = 'africa_and_europe') AS merged FROM scored_)",
+    "dev", "registry", **_scores_sql(_PARTS_OF, _DEV),
+))
+def merged_block_gain(spark: SparkSession, d: str) -> DataFrame:
+    found = sufficient.scores(_statistics(spark, d), _members(spark, d, _PARTS_OF))
+    return rounded(sufficient.merged_gain(found, "africa", "europe", "africa_and_europe"), "first", "second", "parts", "merged", "excess")
+
+
 # --- the panel itself changed: each version's sums are taken in the same run ------------------------------------------
 
 

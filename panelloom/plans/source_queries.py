@@ -116,6 +116,30 @@ def nested_years_parsed(spark: SparkSession, d: str) -> DataFrame:
     return P.nested_years(raw.select(F.to_json(F.struct(F.create_map("source", "countries").alias("values"))).alias("payload")), [])
 
 
+@page(sql("SELECT key, CAST(year(event_date) AS VARCHAR) || '-Q' || q AS period, round(sum(value), 4) AS value FROM quarters WHERE q <> 3 GROUP BY ALL", quarters=_QUARTERS))
+def sdmx_csv_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """A supplier's year as CSV, columns in one order for even and another for odd keys; titles with commas and quotes, a quarter without a number."""
+    q = _quarters(spark, d).groupBy("key", "year", F.quarter("period").alias("q")).agg(F.sum("value").alias("value"))
+    time, value = F.concat(F.col("year").cast("string"), F.lit("-Q"), F.col("q").cast("string")), F.when(F.col("q") == 3, "n/a").otherwise(F.col("value").cast("string"))
+    title, even = F.lit('"Sales, ""gross"", all"'), F.col("key") % 2 == 0
+    line = F.when(even, F.concat_ws(",", F.lit("K"), title, time, value)).otherwise(F.concat_ws(",", value, F.lit("K"), time, title))
+    head = F.when(even, 'KEY,TITLE,TIME_PERIOD,OBS_VALUE').otherwise('OBS_VALUE,KEY,"TIME_PERIOD",TITLE')
+    raw = q.select("key", "year", head.alias("head"), line.alias("line")).groupBy("key", "year", "head").agg(F.collect_list("line").alias("lines"))
+    return rounded(P.sdmx_csv(raw.select("key", F.concat("head", F.lit("\r\n"), F.array_join("lines", "\r\n"), F.lit("\r\n")).alias("payload")), ["key"]), "value", digits=4)
+
+
+@page(sql("SELECT key, 'A' || key AS area, tag AS indicator, CAST(year(event_date) AS VARCHAR) || '-Q' || q AS period, round(value, 4) AS value FROM quarters", quarters=_QUARTERS))
+def sdmx_compact_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """A supplier's year as compact SDMX: a series or an observation that is alone comes as an object, several as a list."""
+    q = _quarters(spark, d).withColumn("p", F.concat(F.col("year").cast("string"), F.lit("-Q"), F.quarter("period").cast("string")))
+    one = F.to_json(F.struct(F.col("p").alias("@TIME_PERIOD"), F.col("value").cast("string").alias("@OBS_VALUE")))
+    alone = lambda c: F.when(F.size(c) == 1, F.get(c, 0)).otherwise(F.concat(F.lit("["), F.array_join(c, ","), F.lit("]")))
+    series = q.groupBy("key", "year", "tag").agg(F.collect_list(one).alias("o")).withColumn("o", alone("o"))
+    text = F.format_string('{"@REF_AREA":"A%d","@INDICATOR":"%s","Obs":%s}', "key", "tag", "o")
+    sets = series.groupBy("key", "year").agg(F.collect_list(text).alias("s")).withColumn("s", alone("s"))
+    return rounded(P.sdmx_compact(sets.select("key", F.concat(F.lit('{"CompactData":{"DataSet":{"Series":'), "s", F.lit("}}}")).alias("payload")), ["key"]), "value", digits=4)
+
+
 @page(sql("SELECT key, tag AS area, event_date AS period, round(value, 4) AS value FROM quarters WHERE tag <> 'N'", quarters=_QUARTERS), dates="period")
 def sdmx_parsed(spark: SparkSession, d: str) -> DataFrame:
     """A supplier's year as SDMX: series and observations named by their places in the dimensions' lists."""

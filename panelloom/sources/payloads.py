@@ -118,6 +118,26 @@ def sdmx_compact(raw: DataFrame, keys: list[str]) -> DataFrame:
     return o.select(*keys, "area", "indicator", F.col("o.`@TIME_PERIOD`").alias("period"), number(F.col("o.`@OBS_VALUE`")).alias("value")).where("value is not null")
 
 
+#: A comma that isn't inside quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def sdmx_csv(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """SDMX as CSV to (*keys, period, value): columns are found by the names in each payload's own header, in whatever order.
+
+    Payloads without TIME_PERIOD or OBS_VALUE give nothing, rows without a period or a number neither. Quoted values may hold commas and doubled quotes,
+    but no line ends.
+    """
+    plain = lambda v: F.regexp_replace(F.trim(v), r'^"|"$', "")
+    lines = F.split(F.regexp_replace("payload", "\r", ""), "\n")
+    named = raw.select(*keys, lines.alias("l__"), F.transform(F.split(F.get(lines, 0), _COMMA), plain).alias("h__"))
+    placed = named.select(*keys, "l__", F.array_position("h__", "TIME_PERIOD").alias("t__"), F.array_position("h__", "OBS_VALUE").alias("v__")).where("t__ > 0 AND v__ > 0")
+    rows = placed.select(*keys, "t__", "v__", F.explode(F.slice("l__", 2, F.greatest(F.size("l__") - 1, F.lit(0)))).alias("line__"))
+    cut = rows.withColumn("c__", F.split("line__", _COMMA))
+    out = cut.select(*keys, plain(F.get("c__", F.col("t__").cast("int") - 1)).alias("period"), plain(F.get("c__", F.col("v__").cast("int") - 1)).try_cast("double").alias("value"))
+    return out.where("period <> '' AND value IS NOT NULL AND NOT isnan(value)")
+
+
 # --- news, prices, lists -----------------------------------------------------------------------------------------------
 
 
