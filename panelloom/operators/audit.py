@@ -42,7 +42,7 @@ def missing_weeks(rows: DataFrame, by: list[str], date: str, at_least: int = 4)
 def coverage_matrix(rows: DataFrame, row: str, column: str, date: str, stale_before: int) -> DataFrame:
     """Every (row, column) pair: n, first and last year, stale. Pairs without rows have n = 0."""
     seen = rows.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"), F.min(F.year(date)).alias("first_year"), F.max(F.year(date)).alias("last_year"))
-    pairs = rows.select(row).distinct().crossJoin(F.broadcast(rows.select(column).distinct()))  # a report's labels
+    pairs = rows.select(row).distinct().crossJoin(rows.select(column).distinct())  # a report's labels
     return pairs.join(seen, [row, column], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("stale", F.coalesce(F.col("last_year") < stale_before, F.lit(True)))
 
 

@@ -58,7 +58,7 @@ def growth(panel: DataFrame, periods: int = 4, out: str = "growth") -> DataFrame
 def grid(panel: DataFrame) -> DataFrame:
     """Every actor in every period that the panel holds: (actor, period, value, others null)."""
     periods, actors = panel.select("period").distinct(), panel.select("actor").distinct()
-    return actors.crossJoin(F.broadcast(periods)).join(panel, ["actor", "period"], "left")  # periods: a calendar's length
+    return actors.crossJoin(periods).join(panel, ["actor", "period"], "left")  # periods: a calendar's length
 
 
 def forward_fill(panel: DataFrame, limit: int | None = None, out: str = "filled") -> DataFrame:

@@ -161,7 +161,7 @@ def as_of_panel(obs: DataFrame, period_ends: DataFrame, keys: list[str] | None =
     """
     keys = keys or ["actor_id"]
     rows = obs.select(*keys, F.col("pub_date").cast("timestamp_ntz").alias("t"), F.lit(0).alias("grid"), F.col("event_date"), F.col("value"))
-    ends = obs.select(*keys).distinct().crossJoin(F.broadcast(period_ends.select(F.col("t").cast("timestamp_ntz").alias("t"))))
+    ends = obs.select(*keys).distinct().crossJoin(period_ends.select(F.col("t").cast("timestamp_ntz").alias("t")))
     both = rows.unionByName(ends.withColumn("grid", F.lit(1)), allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("t", "grid", "event_date", "value").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("known", F.last("value", ignorenulls=True).over(order)).where("grid = 1").select(*keys, F.col("t").cast("date").alias("period_end"), F.col("known").alias("value"))

@@ -67,7 +67,7 @@ def rank_ic(preds: DataFrame, by: list[str], pred: str = "pred", actual: str = "
 def rank_stability(panel: DataFrame, least_common: int = 5) -> DataFrame:
     """(period, rho, n): Spearman correlation of each cross-section with the one before, on actors in both."""
     order = panel.select("period").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("period")))  # one row a period
-    rows = panel.where("value is not null").join(F.broadcast(order), "period")
+    rows = panel.where("value is not null").join(order, "period")
     before = rows.select("actor", (F.col("k") + 1).alias("k"), F.col("value").alias("before"))
     both = rows.join(before, ["actor", "k"]).withColumn("a__", S.average_rank(F.col("value"), "period")).withColumn("b__", S.average_rank(F.col("before"), "period"))
     return both.groupBy("period").agg(F.corr("a__", "b__").alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_common)

@@ -155,9 +155,9 @@ def conviction(preds: DataFrame, returns: DataFrame) -> DataFrame:
     return _scored(_conviction(_with_gap(preds)), F.col("d") * F.col("c__"), False)
 
 
-def combined(preds: DataFrame, returns: DataFrame) -> DataFrame:
-    """Block filter, hit rate (0.5 if unknown) and conviction in one."""
-    x = _with_hit(preds).withColumn("rate__", F.coalesce(hit_rate(), F.lit(0.5))).withColumn("most", F.max(F.abs("d")).over(Window.partitionBy("actor_id"))).where("most > 0.005")
+def combined(preds: DataFrame, returns: DataFrame, least: float = 0.005) -> DataFrame:
+    """Block filter (disagreement that ever exceeds ``least``), hit rate (0.5 if unknown) and conviction in one."""
+    x = _with_hit(preds).withColumn("rate__", F.coalesce(hit_rate(), F.lit(0.5))).withColumn("most", F.max(F.abs("d")).over(Window.partitionBy("actor_id"))).where(F.col("most") > least)
     return _scored(_conviction(x), F.col("d") * F.col("rate__") * F.col("c__"), False)
 
 

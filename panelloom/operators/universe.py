@@ -104,7 +104,7 @@ def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed: int = 4
     """Exactly each group's quota of rows, drawn by a seeded hash order: the same rows on any cluster."""
     q = quotas(df, group, n)
     w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.join(F.broadcast(q.select(group, "quota")), group).withColumn("n__", F.row_number().over(w)).where("n__ <= quota").drop("n__", "quota")
+    return df.join(q.select(group, "quota"), group).withColumn("n__", F.row_number().over(w)).where("n__ <= quota").drop("n__", "quota")
 
 
 def shuffled(keys: list[str], seed: int = 42) -> list[str]:

@@ -71,6 +71,15 @@ for _name, _signal in (G.SIGNALS | G.COMBINATIONS).items():
         "quarter",
     )
 
+# The tables' disagreements stay below .005: with a gap that they do reach, the two filters show rows.
+for _name, _signal_of in {"disagr_block_only": G.block_only, "disagr_combined": G.combined}.items():
+    BOOK.add(
+        f"signal_{_name}_small_gap",
+        lambda spark, d, s=_signal_of: rounded(s(st.predictions(spark, d), st.returns(spark, d), least=0.0003).where("score is not null"), "score", digits=7),
+        sql(f"SELECT quarter, actor_id, round(score, 7) AS score FROM ({_ORACLES[_name].replace('0.005', '0.0003')}) WHERE score IS NOT NULL", "preds", "rets"),
+        "quarter",
+    )
+
 # --- portfolios of the disagreement signal -----------------------------------------------------------------------------
 
 _EDGES = ", ".join(f"quantile_cont(score, {p!r})" for p in (i * 0.2 for i in range(6)))

@@ -32,13 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/panelloom-{spark.sparkContext.applicationId}"
 
 
-#: (application, source, name) -> where the table lies, and its schema.
-_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+#: (application, source, what lies there, name) -> where the table lies, and its schema.
+_KEPT: dict[tuple[str, str, int, str], tuple[str, StructType]] = {}
+
+
+def _state(spark: SparkSession, source: str) -> int:
+    """A number of the names, lengths and times of what lies in a folder: it changes when a table there is written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return hash(tuple(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)))
 
 
 def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that many queries start from, written once an application and source, and read by all that follow."""
-    key = (spark.sparkContext.applicationId, source, name)
+    """A table that many queries start from, written once an application and source, and read by all that follow until the source is written anew."""
+    key = (spark.sparkContext.applicationId, source, _state(spark, source), name)
     if key not in _KEPT:
         df, path = build(), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
