@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelloom.llm.common import tidied
+
 #: Fixed value: the pattern that cuts a text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _KEPT_WORDS = 300_000
@@ -237,9 +239,10 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
         for batch in batches:
             ids = [[int(x) for x in row.split(",")] if row else [] for part in _batches(batch.column("text").to_pylist()) for row in coder.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in where), pa.array(ids, pa.list_(pa.int32()))], names=[*where, column])
+        coder.known.clear()
 
     _once(docs)
-    return docs.mapInArrow(run, _with(docs, column, T.ArrayType(T.IntegerType()))).select(*(docs.columns if column in docs.columns else [*docs.columns, column]))
+    return docs.mapInArrow(tidied(run), _with(docs, column, T.ArrayType(T.IntegerType()))).select(*(docs.columns if column in docs.columns else [*docs.columns, column]))
 
 
 def decode(tokens: DataFrame, path: str, column: str = "ids", into: str = "text") -> DataFrame:
@@ -256,7 +259,7 @@ def decode(tokens: DataFrame, path: str, column: str = "ids", into: str = "text"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in where), pa.array(texts, pa.string())], names=[*where, into])
 
     _once(tokens)
-    return tokens.mapInArrow(run, _with(tokens, into, T.StringType())).select(*(tokens.columns if into in tokens.columns else [*tokens.columns, into]))
+    return tokens.mapInArrow(tidied(run), _with(tokens, into, T.StringType())).select(*(tokens.columns if into in tokens.columns else [*tokens.columns, into]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -277,8 +280,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((doc_id, len(numbers), hashlib.sha256(row.encode()).hexdigest(), hashlib.sha256(coder.decode(numbers).encode()).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.known.clear()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:

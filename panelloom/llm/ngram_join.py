@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import dealt_anew, stored
+from panelloom.llm.common import dealt_anew, stored, tidied
 from panelloom.llm.components import connected_components
 from panelloom.llm.signature_tree import linked
 
@@ -280,7 +280,7 @@ def _link_units(num: int, den: int):
 
 def _links(units: DataFrame, num: int, den: int) -> DataFrame:
     dealt = units.select("unit", "set_id", "tokens", "class").repartition("unit").sortWithinPartitions("unit")
-    return dealt.mapInPandas(_link_units(num, den), "a long, b long").where("a <> b")
+    return dealt.mapInPandas(tidied(_link_units(num, den)), "a long, b long").where("a <> b")
 
 
 def _pairs(members: DataFrame, block: int) -> DataFrame:
@@ -320,8 +320,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bl
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size, 1) / _BUCKET_BYTES)), _BITS[0]), _BITS[1])
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / _PART_BYTES))
-    dealt = plain.mapInArrow(_deal(n, num, den, bits), _DEALT_SQL).repartition(parts, "spread").sortWithinPartitions("bucket")
-    found = stored(dealt.mapInArrow(_shared, _FOUND_SQL), "tokens")
+    dealt = plain.mapInArrow(tidied(_deal(n, num, den, bits)), _DEALT_SQL).repartition(parts, "spread").sortWithinPartitions("bucket")
+    found = stored(dealt.mapInArrow(tidied(_shared), _FOUND_SQL), "tokens")
     info = found.where("token is null").select("doc_id", "set_id", "n", "n_half", "rest")
     shared = found.where("token is not null and set_id is not null and df is not null").select("set_id", "token", "df")
     # A set may have met a hot token in several tasks.
@@ -348,7 +348,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bl
     sized = labels.join(dealt_anew(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label"), "label")
     wanted = left.select("set_id", "doc_id").join(sized, "set_id")
     texts = plain.join(wanted, "doc_id")
-    members = stored(texts.select("text", "label", "set_id", "size").mapInArrow(_sets_of(n), "label long, set_id long, size long, tokens binary"), "members")
+    members = stored(texts.select("text", "label", "set_id", "size").mapInArrow(tidied(_sets_of(n)), "label long, set_id long, size long, tokens binary"), "members")
 
     n_blocks = F.ceil(F.col("size") / F.lit(block)).cast("long")
     members = members.withColumn("blocks", n_blocks).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("set_id"), F.col("blocks"))).otherwise(F.lit(0).cast("long")))
@@ -408,7 +408,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     # Repeated ids: the set of each row's text tells which row is meant. Rows are packed, whatever their columns are called.
     first = found.where("doc_id = component_id and set_id is not null").join(many, "doc_id", "left_semi").groupBy("doc_id", "class_id").agg(F.min("set_id").alias("set")).select(F.col("doc_id").alias("id"), "set")
     rows = docs.join(many, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
-    named = rows.withColumn("set", _set_of(options.get("n", 5))(F.col("text")))
+    named = stored(rows.withColumn("set", _set_of(options.get("n", 5))(F.col("text"))), "repeated-ids")
     again = _one_of(named.where("set is not null").join(first, ["id", "set"], "left_semi"), "set")
     blank = _one_of(named.where("set is null"), "text")
     return kept.unionByName(again).unionByName(blank).unionByName(docs.where("doc_id is null"))
