@@ -1,62 +1,11 @@
-"""Ranks, quantile buckets, guarded windows and min-max rules with exact tie, null and edge behaviour."""
+"""Guarded windows and min-max rules with exact null and edge behaviour. Ranks and quantile buckets are in ``order``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-Names = str | list[str]
-
-
-def _list(names: Names) -> list[str]:
-    return [names] if isinstance(names, str) else list(names)
-
-
-def pct_rank(value: Column, by: Names) -> Column:
-    """Average rank over the count of non-null values within ``by``; null stays null.
-
-    Neither percent_rank nor cume_dist gives this: ties share the mean of their places.
-    """
-    keys = _list(by)
-    ordered = Window.partitionBy(*keys).orderBy(value.asc_nulls_last())
-    ties = Window.partitionBy(*keys, value)
-    return F.when(value.isNotNull(), (F.rank().over(ordered) + (F.count(value).over(ties) - 1) / 2) / F.count(value).over(Window.partitionBy(*keys)))
-
-
-def average_rank(value: Column, by: Names) -> Column:
-    keys = _list(by)
-    return F.when(value.isNotNull(), F.rank().over(Window.partitionBy(*keys).orderBy(value.asc_nulls_last())) + (F.count(value).over(Window.partitionBy(*keys, value)) - 1) / 2)
-
-
-#: The probabilities of five buckets as i * 0.2 adds up in floating point; .6 is not the literal.
-QUINTILES = tuple(i * 0.2 for i in range(6))
-
-
-def quantile_edges(value: Column, probabilities: tuple[float, ...] = QUINTILES) -> Column:
-    """Aggregate: linearly interpolated quantiles, repeated edges dropped."""
-    s = F.sort_array(F.collect_list(value))
-
-    def edge(p: float) -> Column:
-        at = (F.size(s) - 1) * F.lit(p)
-        lo = F.floor(at).cast("int")
-        low, high = F.get(s, lo), F.coalesce(F.get(s, lo + 1), F.get(s, lo))
-        return low + (high - low) * (at - lo)
-
-    return F.array_distinct(F.array(*(edge(p) for p in probabilities)))
-
-
-def quantile_bucket(df: DataFrame, value: str, by: Names, name: str = "bucket", probabilities: tuple[float, ...] = QUINTILES) -> DataFrame:
-    """Right-closed quantile buckets from 1 within ``by``; tied edges merge, so there can be fewer buckets.
-
-    Each group's values are gathered to interpolate its edges: a group is one cross-section (all actors of one
-    period), whose size is the number of actors.
-    """
-    edges = df.where(F.col(value).isNotNull()).groupBy(*_list(by)).agg(quantile_edges(F.col(value), probabilities).alias("edges__"))
-    below = F.size(F.filter("edges__", lambda e: e < F.col(value)))
-    return df.join(edges, _list(by), "left").withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(F.lit(1), below))).drop("edges__")
-
-
 def rolling(agg, value: Column, frame: WindowSpec, at_least: int) -> Column:
     """``agg(value)`` over ``frame`` where it holds ``at_least`` non-null values, else null."""
     return F.when(F.count(value).over(frame) >= at_least, agg(value).over(frame))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import order as O
 from panelloom.functions import semantics as S
 
 EQUITY = ("large_firm", "sector_leader", "sme", "retail_investor")
@@ -92,9 +93,9 @@ def _scaled(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ranked = F.col("method").isin([r.method for r in rules if r.scale == "rank"])
     # A time series is scaled over all quarters; its rows have the actor for a pool, so that no cross-section holds them.
     rows = rows.withColumn("pool__", F.when(ranked, F.concat(F.lit("q"), pool)).otherwise(F.concat(F.lit("a"), F.col("actor").cast("string"))))
-    rank = S.pct_rank(F.col("measure"), ["method", "period", "pool__"])
+    rows = O.ranked(rows.withColumn("of__", F.when(ranked, F.col("measure"))), {"place__": "of__"}, ["method", "period", "pool__"], share=True)
     span = S.minmax(F.col("measure"), Window.partitionBy("actor", "method"))
-    return rows.withColumn("intensity", F.when(ranked, rank).otherwise(span)).drop("pool__")
+    return rows.withColumn("intensity", F.when(ranked, F.col("place__")).otherwise(span)).drop("pool__", "of__", "place__")
 
 
 def intensities(registry: DataFrame, values: DataFrame, first: dt.date, last: dt.date, rules: Sequence[Rule] = RULES, wins: str = "actor") -> DataFrame:

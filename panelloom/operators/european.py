@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import order as O
 from panelloom.functions import semantics as S
 from panelloom.operators import normalise as N
 
@@ -30,7 +31,7 @@ def firm_intensities(statements: DataFrame, first: dt.date, last: dt.date) -> Da
         "actor", "date", F.when(F.col("statement") == "BS", F.col("total_assets")).alias("assets"), F.when(F.col("statement") == "CF", F.col("capex")).alias("capex"),
     )
     ratio = N.capex_ratio(_on_quarters(own, ["assets", "capex"], first, last, 1), signed=True)
-    ranked = ratio.withColumn("intensity", S.pct_rank(F.col("ratio"), "period"))
+    ranked = O.ranked(ratio, {"intensity": "ratio"}, "period", share=True)
     return ranked.where("intensity is not null").select("actor", "period", "intensity", F.lit("capex_assets_xsrank").alias("method"))
 
 

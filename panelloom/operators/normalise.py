@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import order as O
 from panelloom.functions import semantics as S
 
 V = "value"
 
 
 def cross_section_rank(panel: DataFrame, out: str = "rank") -> DataFrame:
-    return panel.withColumn(out, S.pct_rank(F.col(V), "period"))
+    return O.ranked(panel, {out: V}, "period", share=True)
 
 
 def cross_section_minmax(panel: DataFrame, out: str = "scaled") -> DataFrame:
@@ -131,13 +132,12 @@ def normal_quantile(p: Column) -> Column:
 
 
 def target_transforms() -> dict[str, Callable[[DataFrame], Column]]:
-    """Name -> column over (actor, period, value, sector)."""
+    """Name -> column over (actor, period, value, sector, and rank__, the cross-section rank, for the first two)."""
     cross = Window.partitionBy("period")
-    ranks = lambda _: S.pct_rank(F.col(V), "period")
     return {
-        "ranks": ranks,
+        "ranks": lambda _: F.col("rank__"),
         # least and greatest pass over nulls, which must stay.
-        "normal_quantiles": lambda df: F.when(F.col(V).isNotNull(), normal_quantile(F.greatest(F.least(ranks(df), F.lit(0.995)), F.lit(0.005)))),
+        "normal_quantiles": lambda _: F.when(F.col(V).isNotNull(), normal_quantile(F.greatest(F.least("rank__", F.lit(0.995)), F.lit(0.005)))),
         "winsorized_z": lambda _: F.greatest(F.least(S.zscore(F.col(V), cross), F.lit(2.0)), F.lit(-2.0)),
         "sector_relative": lambda _: F.col(V) - F.avg(V).over(Window.partitionBy("period", "sector")),
         "ma2": _moving(2),
@@ -148,7 +148,8 @@ def target_transforms() -> dict[str, Callable[[DataFrame], Column]]:
 
 
 def transformed(panel: DataFrame, name: str, out: str = "target") -> DataFrame:
-    return panel.withColumn(out, target_transforms()[name](panel))
+    rows = cross_section_rank(panel, "rank__") if name in ("ranks", "normal_quantiles") else panel
+    return rows.withColumn(out, target_transforms()[name](rows)).drop("rank__")
 
 
 # --- mappers: one actor's intensity, by its type -------------------------------------------------------------

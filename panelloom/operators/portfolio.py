@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import order as O
 from panelloom.functions import semantics as S
 
 PERIODS = 4
@@ -23,7 +24,7 @@ def matched(signal: DataFrame, returns: DataFrame) -> DataFrame:
 
 def quintile_sort(signal: DataFrame, returns: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``by``: columns that tell signals apart which are sorted side by side."""
-    return S.quantile_bucket(matched(signal, returns), "score", [*(by or []), "quarter"], "quintile")
+    return O.quantile_bucket(matched(signal, returns), "score", [*(by or []), "quarter"], "quintile")
 
 
 def long_short(sorted_: DataFrame, top: int = 5, bottom: int = 1, by: list[str] | None = None) -> DataFrame:

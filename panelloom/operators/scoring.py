@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import distributions as D
+from panelloom.functions import order as O
 from panelloom.functions import semantics as S
 
 
@@ -60,7 +61,7 @@ def dm_hac(deltas: DataFrame, by: list[str], order: str, delta: str = "delta", b
 def rank_ic(preds: DataFrame, by: list[str], pred: str = "pred", actual: str = "actual") -> DataFrame:
     """(*by, ic, n): Spearman correlation of forecast and outcome."""
     rows = preds.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
-    ranked = rows.withColumn("a__", S.average_rank(F.col(pred), by)).withColumn("b__", S.average_rank(F.col(actual), by))
+    ranked = O.ranked(rows, {"a__": pred, "b__": actual}, by)
     return ranked.groupBy(*by).agg(F.corr("a__", "b__").alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
@@ -69,7 +70,7 @@ def rank_stability(panel: DataFrame, least_common: int = 5) -> DataFrame:
     order = panel.select("period").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("period")))  # one row a period
     rows = panel.where("value is not null").join(order, "period")
     before = rows.select("actor", (F.col("k") + 1).alias("k"), F.col("value").alias("before"))
-    both = rows.join(before, ["actor", "k"]).withColumn("a__", S.average_rank(F.col("value"), "period")).withColumn("b__", S.average_rank(F.col("before"), "period"))
+    both = O.ranked(rows.join(before, ["actor", "k"]), {"a__": "value", "b__": "before"}, "period")
     return both.groupBy("period").agg(F.corr("a__", "b__").alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_common)
 
 

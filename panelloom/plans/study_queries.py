@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.functions import semantics as S
+from panelloom.functions import order as O
 from panelloom.operators import inference as I
 from panelloom.operators import scoring, studies
 from panelloom.operators import signals as G
@@ -162,7 +162,7 @@ NOISE = {
 def perturbed_rank_stability(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation, in each quarter, of values with and without noise."""
     x = studies.perturbed(st.panel(spark, d), SIGMAS).withColumn("noisy", F.round("noisy", 9))
-    ranked = x.withColumn("r", S.pct_rank(F.col("value"), ["sigma", "period"])).withColumn("s", S.pct_rank(F.col("noisy"), ["sigma", "period"]))
+    ranked = O.ranked(x, {"r": "value", "s": "noisy"}, ["sigma", "period"], share=True)
     return rounded(ranked.groupBy("sigma", "period").agg(F.corr("r", "s").alias("rho"), F.count(F.lit(1)).alias("n")).where("n > 5").drop("n"), "rho", digits=5)
 
 

@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/panelloom-{spark.sparkContext.applicationId}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, alike for all that read it, and not again when executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: (application, source, what lies there, name) -> where the table lies, and its schema.
 _KEPT: dict[tuple[str, str, int, str], tuple[str, StructType]] = {}
 

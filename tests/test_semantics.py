@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import distributions as D
+from panelloom.functions import order as O
 from panelloom.functions import semantics as S
 from panelloom.operators import autoregression as ar
 from panelloom.operators import flows, pit, portfolio, scoring, studies, windows
@@ -37,7 +38,7 @@ def test_pct_rank_ties_and_nulls(spark):
 @pytest.mark.parametrize("values", [list(range(1, 11)), [5, 8, 5, 7, 3, 1], [1, 1, 1, 1], [2], [3, 1, 2, 2, 2, 9, 9, 4]])
 def test_quantile_buckets_equal_qcut(spark, values):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)] + [(1, 99, None)], "g int, i int, x double")
-    got = {r["i"]: r["bucket"] for r in S.quantile_bucket(df, "x", "g").collect()}
+    got = {r["i"]: r["bucket"] for r in O.quantile_bucket(df, "x", "g").collect()}
     try:
         want = (pd.qcut(pd.Series(values, dtype=float), 5, labels=False, duplicates="drop") + 1).tolist()
     except (ValueError, IndexError):
