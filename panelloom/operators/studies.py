@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import distributions as D
+from panelloom.functions import order as O
 from panelloom.functions import semantics as S
 from panelloom.operators.inference import PRIME, drawn
 from panelloom.operators.portfolio import PERIODS, matched
+from panelloom.session import written
 
 EPS = 1e-8
 
@@ -156,3 +158,53 @@ def group_numbers(rows: DataFrame, group: str = "sector", missing: str = "unknow
     all_ = Window.partitionBy(F.lit(1))  # one row a group
     numbers = names.withColumn("index", F.row_number().over(all_.orderBy(group)) - 1).withColumn("n_groups", F.count(F.lit(1)).over(all_))
     return x.join(numbers, group)
+
+
+def timed_signals(preds: DataFrame, returns: DataFrame) -> DataFrame:
+    """(variant, quarter, actor_id, score) of every timing at once: what is known ``k`` quarters late, and signals that must or must not work.
+
+    local is pred_m2 - pred_g1, change pred_m2 less the last value, level pred_m2; each by lag, as it is (high) or with its sign turned (low).
+    same_return and next_return look ahead and must score high; random is drawn from whole-number arithmetic on (actor_id, quarter) and must not.
+    All lags of a table are read off one sort by actor.
+    """
+    own = Window.partitionBy("actor_id").orderBy("quarter")
+    base = preds.withColumn("local", F.col("pred_m2") - F.col("pred_g1")).withColumn("change", F.col("pred_m2") - F.lag("actual").over(own)).withColumn("level", F.col("pred_m2"))
+    of = lambda name, score: F.struct(F.lit(name).alias("variant"), score.alias("score"))
+    lags = {"local": (4, 3), "change": (4, 3), "level": (3, 3)}
+    at = lambda c, k: F.lag(c, k).over(own) if k else F.col(c)
+    cells = [of(f"{c}_{side}_lag{k}", sign * at(c, k)) for c, many in lags.items() for side, sign, n in zip(("high", "low"), (1, -1), many) for k in range(n)]
+    place = F.year("quarter") * 4 + F.quarter("quarter")
+    controls = [of("same_return", F.col("return_q")), of("next_return", F.lead("return_q").over(own)), of("random", drawn(F.col("actor_id"), place, F.lit(PRIME - 1)).cast("double"))]
+    rows = [t.select("quarter", "actor_id", F.array(*of_t).alias("of")) for t, of_t in ((base, cells), (returns, controls))]
+    return rows[0].unionByName(rows[1]).select("quarter", "actor_id", F.inline("of")).where("score is not null").select("variant", "quarter", "actor_id", "score")
+
+
+def timing_variants(preds: DataFrame, returns: DataFrame, fraction: float = 0.33, least: int = 3, names: int = 4, quarters: int = 4) -> DataFrame:
+    """(variant, n, sharpe, ir, t, p, hit_rate): each timing's best ``fraction`` of a quarter's names against all of them.
+
+    At least ``least`` names are held; quarters of fewer than ``names`` and variants of fewer than ``quarters`` quarters are left out.
+    Ties go to the greater actor_id. Cross-sections are ranked in ranges, so that no task sorts a whole quarter.
+    """
+    by = ["variant", "quarter"]
+    x = written(timed_signals(preds, returns).join(returns.select("quarter", "actor_id", "return_q"), ["quarter", "actor_id"]).where("return_q is not null"))
+    size = x.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= names)
+    x = O.ranked(x.withColumn("at", F.struct("score", "actor_id")), {"place": "at"}, by).join(size, by)
+    held = F.col("place") > F.col("size") - F.greatest(F.lit(least), F.floor(F.col("size") * F.lit(fraction)))
+    q = x.groupBy(*by).agg(F.avg(F.when(held, F.col("return_q"))).alias("r"), F.avg("return_q").alias("equal_weight")).withColumn("active", F.col("r") - F.col("equal_weight"))
+    sd, n, rsd = F.stddev_samp("active"), F.count(F.lit(1)), F.stddev_samp("r")
+    annual = F.sqrt(F.lit(float(PERIODS)))
+    out = q.groupBy("variant").agg(
+        n.alias("n"), F.when(rsd > 1e-15, F.avg("r") / rsd * annual).otherwise(F.lit(0.0)).alias("sharpe"), F.when(sd > 1e-15, F.avg("active") / sd * annual).otherwise(F.lit(0.0)).alias("ir"),
+        F.when(sd > 1e-15, F.avg("active") / (sd / F.sqrt(n))).alias("t"), F.avg(F.when(F.col("active") > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
+    ).where(F.col("n") >= quarters)
+    return out.select("variant", "n", "sharpe", "ir", "t", D.t_two_sided(F.col("t"), F.col("n") - 1).alias("p"), "hit_rate")
+
+
+def timing_correlations(preds: DataFrame, returns: DataFrame, first: int = -2, last: int = 4, least: int = 10) -> DataFrame:
+    """(lag, n, r, p): correlation of pred_m2 - pred_g1 ``lag`` quarters late (negative: early, which leaks) with the quarter's return."""
+    own = Window.partitionBy("actor_id").orderBy("quarter")
+    both = preds.join(returns.select("quarter", "actor_id", "return_q"), ["quarter", "actor_id"]).withColumn("local", F.col("pred_m2") - F.col("pred_g1"))
+    cells = F.array(*(F.struct(F.lit(k).alias("lag"), F.lag("local", k).over(own).alias("x")) for k in range(first, last + 1)))
+    x = both.select("return_q", cells.alias("of")).select("return_q", F.inline("of")).where("x is not null and return_q is not null")
+    g = x.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "return_q").alias("r")).where(F.col("n") >= least)
+    return g.withColumn("p", correlation_p(F.col("r"), F.col("n")))

@@ -166,6 +166,48 @@ def perturbed_rank_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ranked.groupBy("sigma", "period").agg(F.corr("r", "s").alias("rho"), F.count(F.lit(1)).alias("n")).where("n > 5").drop("n"), "rho", digits=5)
 
 
+_OWN = "OVER (PARTITION BY actor_id ORDER BY quarter)"
+_LOCAL = "pred_m2 - pred_g1"
+_TIMED = " UNION ALL ".join(
+    [
+        f"SELECT '{c}_{side}_lag{k}' AS variant, quarter, actor_id, {sign} * lag({c}, {k}) {_OWN} AS score FROM base"
+        for c, many in (("local", (4, 3)), ("change", (4, 3)), ("level", (3, 3))) for side, sign, n in zip(("high", "low"), (1, -1), many) for k in range(n)
+    ]
+    + [
+        "SELECT 'same_return', quarter, actor_id, return_q FROM rets", f"SELECT 'next_return', quarter, actor_id, lead(return_q) {_OWN} FROM rets",
+        f"SELECT 'random', quarter, actor_id, CAST({_noise('actor_id')} AS DOUBLE) FROM (SELECT quarter, CAST(actor_id AS BIGINT) AS actor_id, CAST(year(quarter) * 4 + quarter(quarter) AS BIGINT) AS place FROM rets)",
+    ]
+)
+
+
+def _nine_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts whose values end after nine digits, so that any engine ranks their differences alike."""
+    return st.predictions(spark, d).withColumn("actual", F.round("actual", 9))
+
+
+@page(sql(
+    f"SELECT variant, n, round(sharpe, 5) AS sharpe, round(ir, 5) AS ir, round(t, 5) AS t, round({t_p('t', '(n - 1)')}, 6) AS p, round(hit_rate, 6) AS hit_rate FROM stats",
+    "preds", "rets",
+    base=f"SELECT quarter, actor_id, {_LOCAL} AS local, pred_m2 - lag(round(actual, 9)) {_OWN} AS change, pred_m2 AS level FROM preds", timed=_TIMED,
+    placed="SELECT variant, quarter, return_q, row_number() OVER (PARTITION BY variant, quarter ORDER BY score, actor_id) AS place, count(*) OVER (PARTITION BY variant, quarter) AS size FROM timed JOIN rets USING (quarter, actor_id) WHERE score IS NOT NULL",
+    quarters="SELECT variant, quarter, avg(return_q) FILTER (place > size - greatest(3, floor(size * 0.33))) AS r, avg(return_q) AS ew FROM placed WHERE size >= 4 GROUP BY 1, 2",
+    stats="SELECT variant, count(*) AS n, CASE WHEN stddev_samp(r) > 1e-15 THEN avg(r) / stddev_samp(r) * 2 ELSE 0 END AS sharpe, CASE WHEN stddev_samp(r - ew) > 1e-15 THEN avg(r - ew) / stddev_samp(r - ew) * 2 ELSE 0 END AS ir, CASE WHEN stddev_samp(r - ew) > 1e-15 THEN avg(r - ew) / (stddev_samp(r - ew) / sqrt(count(*))) END AS t, avg(CASE WHEN r > ew THEN 1.0 ELSE 0.0 END) AS hit_rate FROM quarters GROUP BY 1 HAVING count(*) >= 4",
+))
+def timing_variants(spark: SparkSession, d: str) -> DataFrame:
+    """All timings of the local component, the predicted change and the level, with foresight, leak and random controls."""
+    out = studies.timing_variants(_nine_digits(spark, d), st.returns(spark, d))
+    return rounded(rounded(out, "p", "hit_rate"), "sharpe", "ir", "t", digits=5)
+
+
+@page(sql(
+    f"SELECT CAST(lag AS INTEGER) AS lag, n, round(r, 6) AS r, round({t_p('t', '(n - 2)')}, 6) AS p FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT lag, count(*) AS n, corr(x, return_q) AS r FROM cells WHERE x IS NOT NULL GROUP BY 1 HAVING count(*) >= 10))",
+    "preds", "rets", both_=f"SELECT quarter, actor_id, return_q, {_LOCAL} AS local FROM preds JOIN rets USING (quarter, actor_id)",
+    cells=" UNION ALL ".join(f"SELECT {k} AS lag, return_q, {'lag' if k >= 0 else 'lead'}(local, {abs(k)}) {_OWN} AS x FROM both_" for k in range(-2, 5)),
+))
+def timing_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(studies.timing_correlations(st.predictions(spark, d), st.returns(spark, d)), "r", "p")
+
+
 # --- coverage, flows, registries ------------------------------------------------------------------------------------------------
 
 
