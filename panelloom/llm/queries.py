@@ -187,7 +187,7 @@ SELECT conv_id, n AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) A
 FROM g
 """
 
-ORACLE_SQL["op10_url_filter"] = """
+ORACLE_SQL["op10_url_filter"] = r"""
 WITH u AS (
   SELECT page_id, lower(url_decode(coalesce(url, ''))) AS low,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -200,8 +200,8 @@ WITH u AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-    len(list_filter([STRICT], lambda t: regexp_matches(low, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)'))) AS strict_hits,
-    len(list_filter([SOFT], lambda t: regexp_matches(low, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)'))) AS soft_hits
+    len(list_filter([STRICT], lambda t: regexp_matches(low, '(^|[^\p{L}\p{N}])' || t || '([^\p{L}\p{N}]|$)'))) AS strict_hits,
+    len(list_filter([SOFT], lambda t: regexp_matches(low, '(^|[^\p{L}\p{N}])' || t || '([^\p{L}\p{N}]|$)'))) AS soft_hits
   FROM u
 )
 SELECT page_id, host, path, rule,

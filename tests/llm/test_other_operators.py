@@ -292,3 +292,16 @@ def test_url_parts_rules_and_words(spark):
         assert got[c[0]] == (c[0], *c[2:]), c
     assert url_filter.judge(df.where("false")).collect() == []
     assert url_filter.hits("http://sex-free.org/sexy") == (0, 2)
+
+
+def test_url_words_end_at_letters_of_any_script(spark, tmp_path):
+    """The operator and its SQL alike: an accented or other letter, or a digit of any script, goes on with the word."""
+    duckdb = pytest.importorskip("duckdb")
+    urls = ["http://x.org/casino", "http://x.org/casinoé", "http://x.org/écasino", "http://x.org/casino٣", "http://x.org/casino_1", "http://x.org/яfree/win", "http://x.org/free-win", "http://x.org/caf%C3%A9casino", "http://x.org/дом casino", None]
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    want = {r[0]: r[1:] for r in c.sql(f"SELECT page_id, verdict, strict_hits, soft_hits FROM ({queries.ORACLE_SQL['op10_url_filter']})").fetchall()}
+    got = {r["page_id"]: (r["verdict"], r["strict_hits"], r["soft_hits"]) for r in url_filter.judge(df).collect()}
+    assert got == want and [got[i][0] for i in range(len(urls))] == ["block", "allow", "allow", "allow", "block", "allow", "block", "allow", "block", "allow"]
