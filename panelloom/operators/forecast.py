@@ -241,6 +241,11 @@ def split_half(rows: DataFrame, splits: int, seed: int = 42, arch: str = "G1") -
     dealt = numbered.withColumn("variant", F.concat_ws(":", "split", half))
     preds = run_windows(dealt, lambda a, b, block, _: kernels.forecast_window(a, b, block, wanted=(arch,)) if a.shape[1] >= 5 else {})
     scores = r_squared(preds, ["test_year", "variant"]).select("test_year", F.split("variant", ":")[0].alias("split"), F.split("variant", ":")[1].alias("half"), "r2")
+    return stepped_up(scores)
+
+
+def stepped_up(scores: DataFrame) -> DataFrame:
+    """(rho, reliability, n) of (split, half, test_year, r2): the splits' mean correlation over years, stepped up to the whole; halves are "0" and "1"."""
     both = scores.groupBy("split", "test_year").agg(F.max(F.when(F.col("half") == "0", F.col("r2"))).alias("a"), F.max(F.when(F.col("half") == "1", F.col("r2"))).alias("b")).where("a is not null and b is not null")
     rho = both.groupBy("split").agg(F.corr("a", "b").alias("rho")).where("rho is not null and not isnan(rho)")
     mean = F.avg("rho")

@@ -52,9 +52,14 @@ def scores(stats: DataFrame, members: DataFrame, by: list[str] | None = None) ->
     The slope for all is over the variant's actors, those in blocks too. R2 is about the mean of all test values, 0 if they are equal. One join of
     (window, actor) rows with the variants, then a row a block.
     """
+    return scores_of(stats.join(members, "actor"), by)
+
+
+def scores_of(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same of rows (*by, variant, test_year, block, *SUMS) that are joined already, one an actor. What is shuffled are sums a block."""
     by = by or []
     keys = [*by, "variant", "test_year"]
-    g = stats.join(members, "actor").groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("actors"), *(F.sum(c).alias(c) for c in SUMS))
+    g = rows.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("actors"), *(F.sum(c).alias(c) for c in SUMS))
     all_ = Window.partitionBy(*keys)
     base = ar.slope(F.sum("xy").over(all_), F.sum("xx").over(all_))
     g = g.withColumn("base", base).withColumn("own", F.when(F.col("block").isNotNull(), ar.slope(F.col("xy"), F.col("xx"))).otherwise(F.col("base")))

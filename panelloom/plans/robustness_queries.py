@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators import normalise as N
-from panelloom.operators import studies, sufficient
+from panelloom.operators import placebo, studies, sufficient
+from panelloom.operators.inference import PRIME
 from panelloom.plans import standins as st
 from panelloom.plans import study_queries as sq
 from panelloom.plans.book import Book
@@ -99,6 +100,74 @@ def merged_block_gain(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sufficient.merged_gain(found, "africa", "europe", "africa_and_europe"), "first", "second", "parts", "merged", "excess")
 
 
+# --- placebos and halves: draws as rows of the kept sums -----------------------------------------------------------------
+
+DRAWS, SPLITS = 1000, 30
+_LAYERED = "sector = 'AMERICA'"
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return st.registry(spark, d).select("actor", F.expr(SET["three_blocks"][0]).alias("block"), "sector", "layer")
+
+
+def _drawn_sql(draw: str, place: str, n: str, seed: int) -> str:
+    return f"(SELECT ((c * c + b) % {PRIME}) % {n} FROM (SELECT a, b, (b * b + a) % {PRIME} AS c FROM (SELECT a, (a * a + 12345) % {PRIME} AS b FROM (SELECT ({draw} * 7919 + {place} * 104729 + {seed}) % {PRIME} AS a))))"
+
+
+def _placebo_sql(draws: int, stratum: str = "0", fixed: str = "false") -> dict[str, str]:
+    """Each draw's permutation, a round an expression, then slopes and forecasts row by row."""
+    before = {
+        "at_": f"SELECT actor, block, f, s, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY f, s) AS total FROM (SELECT actor, {SET['three_blocks'][0]} AS block, {fixed} AS f, {stratum} AS s FROM registry) WINDOW w AS (PARTITION BY f, s ORDER BY block NULLS FIRST, actor)",
+        "rounds_": f"SELECT draw, i, {_drawn_sql('draw', 'i', PRIME, placebo.SHIFT)} AS shift, {_drawn_sql('draw', 'i', PRIME, placebo.BIT)} AS key FROM (SELECT range AS draw FROM range({draws})), (SELECT range AS i FROM range({placebo.ROUNDS}))",
+        "x0": f"SELECT draw, actor, f, s, total, place AS x FROM at_, (SELECT range AS draw FROM range(-1, {draws}))",
+    }
+    for i in range(placebo.ROUNDS):
+        swap = f"SELECT x{i}.*, key, (((shift - x) % total) + total) % total AS p FROM x{i} LEFT JOIN rounds_ ON x{i}.draw = rounds_.draw AND i = {i}"
+        before[f"x{i + 1}"] = f"SELECT draw, actor, f, s, total, CASE WHEN NOT f AND (h * h) % {PRIME} % 2 = 1 THEN p ELSE x END AS x FROM (SELECT *, (greatest(x, p) * 104729 + key) % {PRIME} AS h FROM ({swap}))"
+    members = f"SELECT x.draw AS variant, x.actor, at_.block FROM x{placebo.ROUNDS} x JOIN at_ ON at_.f = x.f AND at_.s = x.s AND at_.place = x.x"
+    means = {"means_": "SELECT variant AS draw, count(*) AS n_windows, round(avg(mixed_r2 - base_r2), 9) AS delta FROM scored_ GROUP BY 1"}
+    return before | _scores_sql(SET, _DEV) | {"members_": members} | means
+
+
+_AMONG = "SELECT round(real, 6) AS real, round(avg(delta), 6) AS mean, round(stddev_pop(delta), 6) AS sd, round((real - avg(delta)) / stddev_pop(delta), 3) AS z, avg(CASE WHEN delta >= real THEN 1.0 ELSE 0.0 END)::DOUBLE AS p, count(*) AS n FROM means_, (SELECT delta AS real FROM means_ WHERE draw = -1) WHERE draw >= 0 GROUP BY real"
+
+
+def _among(means: DataFrame) -> DataFrame:
+    return rounded(rounded(placebo.placebo_summary(means), "real", "mean", "sd"), "z", digits=3)
+
+
+@page(sql("SELECT draw, n_windows, round(delta, 6) AS delta FROM means_", "dev", "registry", **_placebo_sql(100)))
+def block_placebo_draws(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(placebo.placebo_means(placebo.placebo_scores(_statistics(spark, d), _blocks(spark, d), 100)), "delta")
+
+
+@page(sql(_AMONG, "dev", "registry", **_placebo_sql(DRAWS)))
+def block_placebo(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand permutations of the actors' blocks."""
+    return _among(placebo.placebo_means(placebo.placebo_scores(_statistics(spark, d), _blocks(spark, d), DRAWS)))
+
+
+@page(sql(_AMONG, "dev", "registry", **_placebo_sql(DRAWS, "layer", _LAYERED)))
+def stratified_block_placebo(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand permutations within layers; one sector's actors stay where they are."""
+    found = placebo.placebo_scores(_statistics(spark, d), _blocks(spark, d), DRAWS, ["layer"], F.expr(_LAYERED))
+    return _among(placebo.placebo_means(found))
+
+
+_HALVES = {
+    "numbered_": f"SELECT actor, {SET['three_blocks'][0]} AS block, row_number() OVER (ORDER BY {SET['three_blocks'][0]} NULLS FIRST, actor) - 1 AS place FROM registry",
+} | _scores_sql(SET, _DEV) | {
+    "members_": f"SELECT split || ':' || {_drawn_sql('split', 'place', '2', placebo.HALF)} AS variant, actor, block FROM numbered_, (SELECT range AS split FROM range({SPLITS}))",
+    "halves_": "SELECT split_part(variant, ':', 1) AS split, test_year, max(mixed_r2) FILTER (variant LIKE '%:0') AS a, max(mixed_r2) FILTER (variant LIKE '%:1') AS b FROM scored_ GROUP BY 1, 2 HAVING a IS NOT NULL AND b IS NOT NULL",
+    "rhos_": "SELECT * FROM (SELECT split, corr(a, b) AS rho FROM halves_ GROUP BY 1) WHERE rho IS NOT NULL AND NOT isnan(rho)",
+}
+
+
+@page(sql("SELECT round(m, 6) AS rho, round(CASE WHEN m > 0 THEN 2 * m / (1 + m) ELSE 0 END, 6) AS reliability, n FROM (SELECT avg(rho) AS m, count(*) AS n FROM rhos_)", "dev", "registry", **_HALVES))
+def split_half_of_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(placebo.split_half(_statistics(spark, d), _blocks(spark, d), SPLITS), "rho", "reliability")
+
+
 # --- the panel itself changed: each version's sums are taken in the same run ------------------------------------------
 
 
