@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from panelloom.plans import standins as st
 from panelloom.plans.book import Book
 from panelloom.plans.panel_queries import rounded
 from panelloom.plans.standins import sql
-from panelloom.session import shared_dir
+from panelloom.session import shared_dir, written
 from panelloom.sources import archives, html_tables
+from panelloom.streaming import jobs
 from panelloom.streaming.ingest import ingest_available
 
 BOOK = Book()
@@ -117,6 +119,42 @@ def resumed_ingestion(spark: SparkSession, d: str) -> DataFrame:
     return rounded(store.table().select("actor_id", "signal_id", F.col("event_date").cast("date").alias("event_date"), F.col("pub_date").cast("date").alias("pub_date"), "source", "value"), "value")
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, time: str, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What ``job`` puts out of ``rows`` that arrive in three thirds of their time, the stream ended and started anew in between."""
+    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+    first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
+    third = F.when(F.lit(first).isNull() | (seconds == last), F.lit(2)).otherwise(F.floor(3 * (seconds - F.lit(first)) / F.lit(max((last or 0) - (first or 0), 1)))).cast("int")
+    folder, out = _folder(spark, "arriving"), _folder(spark, "put")
+    for k in range(3):
+        rows.where(third == k).write.mode("append").parquet(folder)
+        jobs.put_available(job(spark.readStream.schema(rows.schema).parquet(folder)), out, f"{folder}-checkpoint", mode)
+    return spark.read.parquet(out)
+
+
+@page(sql("SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week_start, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"), dates="week_start")
+def streamed_tone_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly sums of a stream in update mode: a week that a restart cuts in two is put out twice, and the later row counts."""
+    events = st.table(spark, d, "events").where("ts is not null").select("event_type", "ts", "value")
+    put = _streamed(spark, events, "ts", jobs.weekly_tone, "update")
+    return rounded(jobs.latest(put, ["event_type", "week_start"]), "total", digits=4)
+
+
+_FILTERED = "(WITH RECURSIVE y AS (SELECT actor, value, row_number() OVER (PARTITION BY actor ORDER BY period) AS step FROM panel), k AS (SELECT DISTINCT actor, CAST(0 AS BIGINT) AS step, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS predicted, 0.0::DOUBLE AS a, 1.0::DOUBLE AS p, 0.5::DOUBLE AS q FROM y UNION ALL SELECT actor, step, value, a1, a1 + s, (1 - g) * (1 - g) * p1 + 0.1 * g * g, 0.7 * q + 0.3 * s * s + 1e-6 FROM (SELECT *, g * (value - a1) AS s FROM (SELECT *, p1 / (p1 + 0.1) AS g FROM (SELECT y.actor, y.step, y.value, 0.9 * k.a AS a1, 0.81 * k.p + k.q AS p1, k.q FROM k JOIN y ON y.actor = k.actor AND y.step = k.step + 1)))) SELECT * FROM k WHERE step > 0)"
+
+
+@page(sql(f"SELECT actor, CAST(step AS INTEGER) AS step, round(value, 6) AS value, round(predicted, 6) AS predicted FROM {_FILTERED}", "panel"))
+def streamed_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Each actor's filter over a stream of quarters, its state taken along over two restarts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, jobs.ROCKSDB)
+    try:
+        put = _streamed(spark, written(st.panel(spark, d)), "period", jobs.online_filter, "append")
+    finally:
+        spark.conf.set(key, before)
+    return rounded(put.drop("batch"), "value", "predicted")
+
+
 @page(sql(
     "SELECT actor, t, round(last_value(v IGNORE NULLS) OVER (PARTITION BY actor ORDER BY t), 6) AS value, o AS observed, c AS asked FROM (SELECT actor, t, max(v) AS v, bool_or(o) AS o, bool_or(c) AS c FROM (SELECT actor, period AS t, value AS v, true AS o, false AS c FROM gappy UNION ALL SELECT s_suppkey, CAST(t AS DATE), NULL, false, true FROM supplier, LATERAL (SELECT unnest(generate_series(DATE '1996-01-01' + CAST(20 * (s_suppkey % 4) AS INTEGER), DATE '1999-12-31', INTERVAL 2 MONTH)) AS t)) GROUP BY 1, 2)",
     "gappy",

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: weekly tone as a windowed aggregate, and a keyed Kalman filter as custom state."""
+"""Structured Streaming forms: weekly tone as a windowed aggregate, a keyed Kalman filter as custom state, and a table of what a stream has put out."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panelloom.functions.kernels import Kalman
 
@@ -27,25 +27,61 @@ _OUT = "actor long, step int, value double, predicted double"
 _STATE = "step int, a double, p double, q double"
 
 
-def online_filter(rows: DataFrame, f: float = 0.9, r: float = 0.1, q: float = 0.5, adapt: float = 0.3) -> DataFrame:
-    """One-factor Kalman filter of each actor's values as they arrive: (actor, step, value, predicted).
+#: The state store that state by value needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    State a key is four numbers. Rows of one batch are taken in order of ``period``; an order across batches is the source's.
-    """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class _Filter(StatefulProcessor):
+    """One actor's filter; its state are four numbers."""
+
+    def __init__(self, f: float, r: float, q: float, adapt: float):
+        self.parameters = f, r, q, adapt
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("filter", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        f, r, q, adapt = self.parameters
         filt = Kalman(np.array([[f]]), np.array([[1.0]]), r, q, adapt)
         step = 0
-        if state.exists:
-            step, a, p, noise = state.get
+        if self.state.exists():
+            step, a, p, noise = self.state.get()
             filt.a, filt.p, filt.q = np.array([a]), np.array([[p]]), np.array([[noise]])
         out = []
-        for y in pd.concat(list(batches)).sort_values("period")["value"]:
+        for y in pd.concat(list(rows)).sort_values("period")["value"]:
             predicted = float(filt.predict()[0])
             filt.update(np.array([y]))
             step += 1
             out.append((key[0], step, float(y), predicted))
-        state.update((step, float(filt.a[0]), float(filt.p[0, 0]), float(filt.q[0, 0])))
+        self.state.update((step, float(filt.a[0]), float(filt.p[0, 0]), float(filt.q[0, 0])))
         yield pd.DataFrame(out, columns=["actor", "step", "value", "predicted"])
 
-    return rows.groupBy("actor").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def online_filter(rows: DataFrame, f: float = 0.9, r: float = 0.1, q: float = 0.5, adapt: float = 0.3) -> DataFrame:
+    """One-factor Kalman filter of each actor's values as they arrive: (actor, step, value, predicted).
+
+    Rows (actor, period, value) of one batch are taken in order of ``period``; an order across batches is the source's. The session's state
+    store must be ROCKSDB when the stream starts.
+    """
+    return rows.groupBy("actor").transformWithStateInPandas(_Filter(f, r, q, adapt), outputStructType=_OUT, outputMode="Append", timeMode="None")
+
+
+def put_available(out: DataFrame, root: str, checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream over all there is now and ends; what it puts out lies in ``root``, a folder a batch.
+
+    A batch that was cut off is written again in the same place, so nothing is there twice. A later call with the same ``checkpoint`` goes on, state included.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    out.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(put: DataFrame, keys: list[str]) -> DataFrame:
+    """Of what a stream in update mode has put out (with its ``batch``), each key's last row."""
+    rest = [c for c in put.columns if c not in (*keys, "batch")]
+    return put.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row__")).select(*keys, "row__.*")

@@ -22,6 +22,7 @@ SOME = [
     "paired_t_stat", "dm_stat", "store_as_of", "store_legacy", "store_vintages", "store_selections", "registry_intensities", "registry_intensities_by_quarter", "uncovered_actors",
     "block_placebo_draws", "stratified_block_placebo", "split_half_of_blocks",
     "robustness_set", "candidate_blocks", "merged_block_gain", "late_filings_rerun", "causal_scaling_rerun", "noise_rerun", "zip_members_read", "workbook_flows", "html_constituents", "html_table_cells",
+    "streamed_tone_weeks", "streamed_filter",
     "resumed_ingestion", "union_of_calendars", "sdmx_csv_parsed", "sdmx_compact_parsed", "firm_spending_intensities", "series_intensities", "registry_round_trip", "experiment_readiness",
     "signal_disagr_combined_small_gap", "timing_variants", "timing_correlations", "rank_ic", "strategy_table",
 ]

@@ -122,6 +122,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 
 
 def test_online_filter_equals_one_pass(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     from panelloom.functions.kernels import Kalman
     import numpy as np
 
@@ -135,3 +136,20 @@ def test_online_filter_equals_one_pass(spark, tmp_path):
     want = filt.run(np.array(values)[:, None])[:, 0].tolist()
     got = [r["predicted"] for r in spark.table("online").where("actor = 1").orderBy("step").collect()]
     assert got == pytest.approx(want)
+
+
+def test_streamed_weeks_keep_the_last_row_and_state_over_a_restart(spark, tmp_path):
+    events, out = str(tmp_path / "events"), str(tmp_path / "out")
+    day = lambda n: dt.datetime(2024, 1, n)
+    schema = "event_type string, ts timestamp, value double"
+    for rows in ([("a", day(1), 1.0), ("a", day(2), 2.0), ("b", day(3), 5.0)], [("a", day(4), 4.0), ("a", day(9), 8.0), ("b", day(9), None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(events)
+        jobs.put_available(jobs.weekly_tone(spark.readStream.schema(schema).parquet(events)), out, str(tmp_path / "c3"), "update")
+    put = spark.read.parquet(out)
+    first, second = dt.date(2024, 1, 1), dt.date(2024, 1, 8)
+    assert sorted(r["total"] for r in put.where("event_type = 'a' and week_start = '2024-01-01'").collect()) == [3.0, 7.0]
+    assert rows_of(jobs.latest(put, ["event_type", "week_start"])) == [("a", first, 3, 7.0), ("a", second, 1, 8.0), ("b", first, 1, 5.0), ("b", second, 1, None)]
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select("event_type", "week_start", "n", "total").collect()), key=str)
