@@ -145,13 +145,8 @@ _FILTERED = "(WITH RECURSIVE y AS (SELECT actor, value, row_number() OVER (PARTI
 @page(sql(f"SELECT actor, CAST(step AS INTEGER) AS step, round(value, 6) AS value, round(predicted, 6) AS predicted FROM {_FILTERED}", "panel"))
 def streamed_filter(spark: SparkSession, d: str) -> DataFrame:
     """Each actor's filter over a stream of quarters, its state taken along over two restarts."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.ROCKSDB)
-    try:
+    with jobs.state_by_value(spark):
         put = _streamed(spark, written(st.panel(spark, d)), "period", jobs.online_filter, "append")
-    finally:
-        spark.conf.set(key, before)
     return rounded(put.drop("batch"), "value", "predicted")
 
 

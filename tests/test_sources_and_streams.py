@@ -122,7 +122,6 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 
 
 def test_online_filter_equals_one_pass(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     from panelloom.functions.kernels import Kalman
     import numpy as np
 
@@ -130,8 +129,9 @@ def test_online_filter_equals_one_pass(spark, tmp_path):
     for part in range(2):
         spark.createDataFrame([(a, part * 3 + t, v) for a in (1, 2) for t, v in enumerate(values[part * 3 : part * 3 + 3])], "actor long, period int, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
     stream = spark.readStream.schema("actor long, period int, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows"))
-    q = jobs.online_filter(stream).writeStream.format("memory").queryName("online").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    with jobs.state_by_value(spark):
+        q = jobs.online_filter(stream).writeStream.format("memory").queryName("online").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
     filt = Kalman(np.array([[0.9]]), np.array([[1.0]]), 0.1)
     want = filt.run(np.array(values)[:, None])[:, 0].tolist()
     got = [r["predicted"] for r in spark.table("online").where("actor = 1").orderBy("step").collect()]
