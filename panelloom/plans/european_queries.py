@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import european
@@ -25,9 +25,14 @@ _QUARTERS = "SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-10
 _STATEMENTS = "SELECT 'S' || l_suppkey || '.X' || (l_suppkey % 3) AS actor, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_returnflag = 'A' THEN round(sum(l_extendedprice), 2) END AS assets, CASE WHEN l_returnflag = 'R' THEN -round(sum(l_tax * l_extendedprice), 2) END AS capex FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_suppkey, 2, l_returnflag"
 
 
+def _cents(x: Column) -> Column:
+    """``x`` to two places by way of x * 100, as the SQL's engine rounds: Spark's own rounding takes the shortest decimal, and products of two-place numbers are often ties (268.775)."""
+    return F.round(x * 100) / 100
+
+
 def _statements(spark: SparkSession, d: str) -> DataFrame:
     li = st.table(spark, d, "lineitem").where("l_returnflag <> 'N'")
-    g = li.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "l_returnflag").agg(F.round(F.sum("l_extendedprice"), 2).alias("total_assets"), (-F.round(F.sum(F.col("l_tax") * F.col("l_extendedprice")), 2)).alias("capex"))
+    g = li.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "l_returnflag").agg(_cents(F.sum("l_extendedprice")).alias("total_assets"), (-_cents(F.sum(F.col("l_tax") * F.col("l_extendedprice")))).alias("capex"))
     return g.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.concat(F.lit("X"), (F.col("l_suppkey") % 3).cast("string")).alias("exchange"), F.when(F.col("l_returnflag") == "A", "BS").otherwise("CF").alias("statement"), "date", "total_assets", "capex")
 
 

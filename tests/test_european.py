@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelloom import session
 from panelloom.operators import european
+from panelloom.plans import european_queries
 from panelloom.sources import payloads
 
 Q = [dt.date(2010 + k // 4, 3 * (k % 4) + 1, 1) for k in range(6)]
@@ -49,3 +50,13 @@ def test_kept_tables_follow_their_source(spark, tmp_path):
     assert read().agg(F.sum("x")).first()[0] == 20
     with pytest.raises(Exception, match="nowhere"):
         session.kept(spark, f"{tmp_path}/nowhere", "x", lambda: spark.range(1))
+
+
+def test_cents_of_ties_are_rounded_as_in_sql(spark):
+    x = spark.createDataFrame([(268.775, 1384.0049999999999)], "a double, b double")
+    assert tuple(x.select(european_queries._cents(F.col("a")), european_queries._cents(F.col("b"))).first()) == (268.77, 1384.01)
+
+
+def test_assets_without_spending_have_no_rank(spark):
+    df = spark.createDataFrame([("a", "X", "BS", Q[0], 100.0, None), ("b", "X", "BS", Q[0], 100.0, None), ("b", "X", "CF", Q[0], None, 5.0)], "ticker string, exchange string, statement string, date date, total_assets double, capex double")
+    assert {r["actor"] for r in european.firm_intensities(df, Q[0], Q[0]).collect()} == {"b.X"}
