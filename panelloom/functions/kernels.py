@@ -134,9 +134,9 @@ def singular(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return left @ u[:, : len(values)], values, vt[: len(values)] @ right.T
 
 
-def ridge_alpha(x: np.ndarray) -> float:
-    """Of 0.1, 1 and 10 times the width, the penalty that best predicts the last two rows; the middle one if rows are few."""
-    n = x.shape[1]
+def ridge_alpha(x: np.ndarray, n: int | None = None) -> float:
+    """Of 0.1, 1 and 10 times the width ``n``, the penalty that best predicts the last two rows; the middle one if rows are few."""
+    n = n or x.shape[1]
     grid = [0.1 * n, 1.0 * n, 10.0 * n]
     if len(x) - 1 < 4:
         return grid[1]
@@ -145,9 +145,9 @@ def ridge_alpha(x: np.ndarray) -> float:
     return grid[int(np.argmin(errors))]
 
 
-def factor_var(x: np.ndarray, k: int, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def factor_var(x: np.ndarray, k: int, alpha: float = 1.0, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(basis, operator): leading principal directions and a ridge VAR of the factors in them."""
-    k = max(1, min(k, x.shape[1] - 2))
+    k = max(1, min(k, (n or x.shape[1]) - 2))
     u = np.linalg.svd(x, full_matrices=False)[2][:k].T
     return u, ridge(x @ u, alpha)
 
@@ -164,11 +164,11 @@ ARCHITECTURES = ("G0", "BA", "G1", "S1", "M1", "M2", "BA_M2", "ENS")
 class _Local:
     """A block's models of demeaned residuals."""
 
-    def __init__(self, resid: np.ndarray, k: int, with_ridge: bool):
+    def __init__(self, resid: np.ndarray, k: int, with_ridge: bool, n: int):
         self.centre = ewm_mean(resid)
         d = resid - self.centre
-        self.c = ridge_factors(d, ridge_alpha(d)) if with_ridge else None
-        self.u, self.a = factor_var(d, k)
+        self.c = ridge_factors(d, ridge_alpha(d, n)) if with_ridge else None
+        self.u, self.a = factor_var(d, k, n=n)
 
     def by_ridge(self, last: np.ndarray) -> np.ndarray:
         p, q = self.c
@@ -178,16 +178,18 @@ class _Local:
         return self.u @ (self.a @ (self.u.T @ (last - self.centre))) + self.centre
 
 
-def forecast_window(train: np.ndarray, test: np.ndarray, block: np.ndarray, k_block: int | None = None, k_global: int = 8, k_svd: int = 15, least: int = 5, remainder: str = "REMAINDER", wanted: tuple[str, ...] = ARCHITECTURES) -> dict[str, np.ndarray]:
+def forecast_window(train: np.ndarray, test: np.ndarray, block: np.ndarray, k_block: int | None = None, k_global: int = 8, k_svd: int = 15, least: int = 5, remainder: str = "REMAINDER", wanted: tuple[str, ...] = ARCHITECTURES, sizes: dict[str, int] | None = None) -> dict[str, np.ndarray]:
     """Forecasts of each test row from all rows before it, re-estimated after every row.
 
     Stage one is AR(1) about means, pooled (G0) or by block (BA). Stage two forecasts its residuals: in the span of all actors' leading
     dynamic modes (G1), or in named blocks of ``least`` actors or more by ridge (M1) or factors (M2, BA_M2), the remainder as in
     G1 (BA_M2: as in BA). S1 leaves named blocks at stage one; ENS averages G1 and BA. A named block that is too small
     stays at stage one in M1 and at the global forecast in M2. The first test row has no residual forecast from modes: its state is at rest.
-    Only ``wanted`` ones are computed.
+    Only ``wanted`` ones are computed. ``sizes``: numbers of actors by block, where columns stand for more (``operators.spans``).
     """
-    local = [np.flatnonzero(block == b) for b in sorted(set(block.tolist()) - {remainder})]
+    sizes = sizes or dict(zip(*np.unique(block, return_counts=True), strict=True))
+    width = sum(sizes.values())
+    local = [(np.flatnonzero(block == b), int(sizes[b])) for b in sorted(set(block.tolist()) - {remainder})]
     out: dict[str, list[np.ndarray]] = {a: [] for a in ARCHITECTURES}
     y = train
     for t, actual in enumerate(test):
@@ -198,24 +200,24 @@ def forecast_window(train: np.ndarray, test: np.ndarray, block: np.ndarray, k_bl
         centre = ewm_mean(resid)
         d = resid - centre
         modes = dmd(d.T, k_svd)
-        k = max(1, min(k_global, d.shape[1] - 2, len(modes["operator"])))
+        k = max(1, min(k_global, width - 2, len(modes["operator"])))
         u, f = modes["u"][:, :k], within_radius(modes["operator"][:k, :k].real)
         # At the year's start the factors are at rest; later they are the last residual's projection.
         factors = f @ (u.T @ (last_resid - centre)) if t else np.zeros(k)
         aug = pool + u @ factors + centre
         s1, m1, m2, bm2 = aug.copy(), aug.copy(), aug.copy(), pool_b.copy()
-        for at in local:
+        for at, n in local:
             s1[at] = pool[at]
-            if len(at) < least:
+            if n < least:
                 m1[at] = pool[at]
                 continue
-            k_b = k_block or factors_for(len(at))
+            k_b = k_block or factors_for(n)
             if "M1" in wanted or "M2" in wanted:
-                a = _Local(resid[:, at], k_b, "M1" in wanted)
+                a = _Local(resid[:, at], k_b, "M1" in wanted, n)
                 m1[at] = pool[at] + a.by_ridge(resid[-1, at]) if "M1" in wanted else pool[at]
                 m2[at] = pool[at] + a.by_factors(resid[-1, at])
             if "BA_M2" in wanted:
-                b = _Local(resid_b[:, at], k_b, False)
+                b = _Local(resid_b[:, at], k_b, False, n)
                 bm2[at] = pool_b[at] + b.by_factors(resid_b[-1, at])
         for name, p in zip(ARCHITECTURES, (pool, pool_b, aug, s1, m1, m2, bm2, (aug + pool_b) / 2), strict=True):
             out[name].append(p)
@@ -240,21 +242,43 @@ def transition(z: np.ndarray, alpha: float) -> np.ndarray:
     return np.linalg.solve(a.T @ a + alpha * np.eye(z.shape[1]), a.T @ b).T
 
 
-def method_window(train: np.ndarray, test: np.ndarray, k: int = 8) -> dict[str, np.ndarray]:
+def own_methods(y: np.ndarray, first: int, slopes: np.ndarray) -> dict[str, np.ndarray]:
+    """The two references of ``method_window`` that know only a column's own past: AR(1) of it, and of what the pooled AR(1) leaves (``slopes``: by test row)."""
+    out: dict[str, list[np.ndarray]] = {"ar1": [], "residual_ar1": []}
+    before = None
+    for t, slope in zip(range(first, len(y)), slopes, strict=True):
+        past = y[:t]
+        mean = past.mean(axis=0)
+        resid, pool = past[1:] - one_step(past[:-1], slope, mean), one_step(past[-1], slope, mean)
+        level = resid.mean(axis=0)
+        out["ar1"].append(one_step(past[-1], lag_correlation(past), mean))
+        out["residual_ar1"].append(pool + level + lag_correlation(resid) * ((np.zeros(y.shape[1]) if before is None else before) - level))
+        before = y[t] - pool
+    return {a: np.array(p) for a, p in out.items()}
+
+
+def pooled_slopes(train: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """The pooled AR(1)'s slope before each test row."""
+    y = np.vstack([train, test])
+    return np.array([ar_fit(y[:t])[0][0] for t in range(len(train), len(y))])
+
+
+def method_window(train: np.ndarray, test: np.ndarray, k: int = 8, width: int | None = None) -> dict[str, np.ndarray]:
     """Thirteen forecasts side by side: PCA or DMD bases with diagonal, full or ridge dynamics, raw and reduced-rank ridge, and three references.
 
     All but two references add to the pooled first stage what they expect of its residual; everything is re-estimated after each test row. They start
     from the last forecast's residual, which is 0 at the year's start. ``_filtered`` ones start there from factors at rest instead; their filter starts
-    anew with each re-estimation, so that it comes to the projection of that residual.
+    anew with each re-estimation, so that it comes to the projection of that residual. With ``width``, the number of actors that fewer columns
+    stand for, the references of a column's own past (``own_methods``) are left out.
     """
     out: dict[str, list[np.ndarray]] = {}
     y, before = train, None
     for actual in test:
         slope, mean = ar_fit(y)
         resid, pool = y[1:] - one_step(y[:-1], slope, mean), one_step(y[-1], slope, mean)
-        centre, level = ewm_mean(resid), resid.mean(axis=0)
+        centre = ewm_mean(resid)
         d = resid - centre
-        n = d.shape[1]
+        columns, n = d.shape[1], width or d.shape[1]
         kk = max(1, min(k, n - 2))
         modes = dmd(d.T, 15)
         u_dmd, a_dmd = modes["u"][:, :kk], modes["operator"][:kk, :kk].real
@@ -264,11 +288,11 @@ def method_window(train: np.ndarray, test: np.ndarray, k: int = 8) -> dict[str,
         diagonal = within_radius(np.diag(np.diag(a_dmd)))
         p, q = ridge_factors(d, max(1.0, 0.1 * n))
         left, s, right = singular(*ridge_factors(d, max(1.0, 0.01 * n)))
-        last = (np.zeros(n) if before is None else before) - centre
-        rest = np.zeros(n) if before is None else last
+        last = (np.zeros(columns) if before is None else before) - centre
+        rest = np.zeros(columns) if before is None else last
         near = lambda u, a, x: pool + centre + u @ (a @ (u.T @ x))  # noqa: B023, E731
         forecasts = {
-            "pooled": pool, "ar1": one_step(y[-1], lag_correlation(y), mean), "residual_ar1": pool + level + lag_correlation(resid) * (last + centre - level),
+            "pooled": pool,
             "pca_diag": near(u_pca, phi, last), "pca_diag_filtered": near(u_pca, phi, rest), "pca_var": near(u_pca, transition(z, 1e-8), last), "pca_ridge": near(u_pca, transition(z, 1.0), last),
             "dmd_diag": near(u_dmd, diagonal, last), "dmd_diag_filtered": near(u_dmd, diagonal, rest), "dmd_full_filtered": near(u_dmd, within_radius(a_dmd), rest),
             "dmd_ridge": near(u_dmd, transition(d @ u_dmd, 1.0), last),
@@ -278,57 +302,157 @@ def method_window(train: np.ndarray, test: np.ndarray, k: int = 8) -> dict[str,
             out.setdefault(name, []).append(pred)
         before = actual - pool
         y = np.vstack([y, actual])
-    return {a: np.array(p) for a, p in out.items()}
+    return {a: np.array(p) for a, p in out.items()} | ({} if width else own_methods(y, len(train), pooled_slopes(train, test)))
 
 
-def diagnostics(resid: np.ndarray) -> dict[str, float]:
-    """What a gate may look at: spread, effective rank and persistence of residuals, and the share that the leading modes explain."""
-    last = resid[-1]
-    s = np.linalg.svd(resid - resid.mean(axis=0), compute_uv=False) ** 2
+def diagnostics(resid: np.ndarray, ones: np.ndarray | None = None, n: int | None = None) -> dict[str, float]:
+    """What a gate may look at: effective rank and persistence of residuals, and the share that the leading modes explain.
+
+    Where columns stand for ``n`` actors, ``ones`` are the coordinates of the vector of ones: a row's product with it is the sum over actors.
+    """
+    ones, n = np.ones(resid.shape[1]) if ones is None else ones, n or resid.shape[1]
+    s = np.linalg.svd(resid - resid.mean(axis=0), compute_uv=False)[: min(n, len(resid))] ** 2
+    s = np.concatenate([s, np.zeros(min(n, len(resid)) - len(s))])
     p = s / s.sum() if s.sum() > 0 else np.full(len(s), 1 / len(s))
     entropy = -float((p[p > 0] * np.log(p[p > 0])).sum())
-    a, b = resid[1:].ravel(), resid[:-1].ravel()
-    rho = float(np.corrcoef(a, b)[0, 1]) if a.std() > 1e-12 and b.std() > 1e-12 else 0.0
-    q75, q25 = np.percentile(last, [75, 25])
-    return {"dispersion": float(q75 - q25), "eff_rank": float(np.exp(entropy)), "persistence": rho, "expl_var": float(p[: min(8, len(p))].sum())}
+    a, b = resid[1:], resid[:-1]
+    count = n * len(a)
+    mean_a, mean_b = (a @ ones).sum() / count, (b @ ones).sum() / count
+    var_a, var_b = (a**2).sum() / count - mean_a**2, (b**2).sum() / count - mean_b**2
+    rho = float(((a * b).sum() / count - mean_a * mean_b) / np.sqrt(var_a * var_b)) if min(var_a, var_b) > 1e-24 else 0.0
+    return {"eff_rank": float(np.exp(entropy)), "persistence": rho, "expl_var": float(p[: min(8, len(p))].sum())}
 
 
-def boosted_stumps(x: np.ndarray, y: np.ndarray, trees: int = 50, rate: float = 0.1, share: float = 0.8, seed: int = 42):
-    """Gradient boosting on squared error with depth-2 trees on random row shares; returns a function of new rows."""
+#: A tree of depth 2 is 3 cuts of (column, at most, whether there is a cut) and 4 values.
+_TREE = 13
+
+
+def boosted_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, rate: float = 0.1, share: float = 0.8, seed: int = 42) -> np.ndarray:
+    """Gradient boosting on squared error with depth-2 trees on random row shares, as numbers for ``grown_values``: start, rate, trees.
+
+    Columns are sorted once; a node takes its rows from that order.
+    """
     rng = np.random.default_rng(seed)
     start = float(y.mean())
     fitted = np.full(len(y), start)
-    forest = []
+    orders = [np.argsort(x[:, c], kind="stable") for c in range(x.shape[1])]
+    out = [np.array([start, rate])]
 
-    def split(at: np.ndarray, r: np.ndarray, depth: int):
+    def cut(inside: np.ndarray, r: np.ndarray):
         best = None
-        if depth and len(at) >= 2:
-            for c in range(x.shape[1]):
-                order = at[np.argsort(x[at, c], kind="stable")]
-                sums = np.cumsum(r[order])
-                n = np.arange(1, len(order))
-                gain = sums[:-1] ** 2 / n + (sums[-1] - sums[:-1]) ** 2 / (len(order) - n) - sums[-1] ** 2 / len(order)
-                gain[x[order[1:], c] <= x[order[:-1], c]] = -1
-                i = int(np.argmax(gain))
-                if gain[i] > 1e-15 and (best is None or gain[i] > best[0]):
-                    best = (float(gain[i]), c, float((x[order[i], c] + x[order[i + 1], c]) / 2))
-        if best is None:
-            return float(r[at].mean())
-        _, c, v = best
-        return (c, v, split(at[x[at, c] <= v], r, depth - 1), split(at[x[at, c] > v], r, depth - 1))
-
-    def value(node, rows: np.ndarray) -> np.ndarray:
-        if isinstance(node, float):
-            return np.full(len(rows), node)
-        c, v, low, high = node
-        return np.where(rows[:, c] <= v, value(low, rows), value(high, rows))
+        for c, order in enumerate(orders):
+            at = order[inside[order]]
+            if len(at) < 2:
+                return None
+            v, sums, n = x[at, c], np.cumsum(r[at]), np.arange(1, len(at))
+            gain = sums[:-1] ** 2 / n + (sums[-1] - sums[:-1]) ** 2 / (len(at) - n) - sums[-1] ** 2 / len(at)
+            gain[v[1:] <= v[:-1]] = -1
+            i = int(np.argmax(gain))
+            if gain[i] > 1e-15 and (best is None or gain[i] > best[0]):
+                best = (float(gain[i]), c, float((v[i] + v[i + 1]) / 2))
+        return best
 
     for _ in range(trees):
         r = y - fitted
-        at = np.sort(rng.choice(len(y), max(1, int(share * len(y))), replace=False))
-        forest.append(split(at, r, 2))
-        fitted = fitted + rate * value(forest[-1], x)
-    return lambda rows: start + rate * sum(value(t, rows) for t in forest)
+        inside = np.zeros(len(y), dtype=bool)
+        inside[rng.choice(len(y), max(1, int(share * len(y))), replace=False)] = True
+        tree = np.zeros(_TREE)
+        top = cut(inside, r)
+        if top:
+            tree[:3] = top[1], top[2], 1
+            low = x[:, top[1]] <= top[2]
+            for side, part in enumerate((inside & low, inside & ~low)):
+                down = cut(part, r)
+                if down:
+                    lower = x[:, down[1]] <= down[2]
+                    tree[3 + 3 * side : 6 + 3 * side] = down[1], down[2], 1
+                    tree[9 + 2 * side : 11 + 2 * side] = r[part & lower].mean(), r[part & ~lower].mean()
+                else:
+                    tree[9 + 2 * side : 11 + 2 * side] = r[part].mean()
+        else:
+            tree[9:] = r[inside].mean()
+        out.append(tree)
+        fitted = fitted + rate * _tree_values(tree, x)
+    return np.concatenate(out)
+
+
+def _tree_values(tree: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def below(at: int) -> np.ndarray:
+        c, v, there = tree[at : at + 3]
+        return rows[:, int(c)] <= v if there else np.ones(len(rows), dtype=bool)
+
+    top = below(0)
+    return np.where(top, np.where(below(3), tree[9], tree[10]), np.where(below(6), tree[11], tree[12]))
+
+
+def grown_values(grown: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return grown[0] + grown[1] * sum(_tree_values(t, rows) for t in grown[2:].reshape(-1, _TREE))
+
+
+def boosted_stumps(x: np.ndarray, y: np.ndarray, trees: int = 50, rate: float = 0.1, share: float = 0.8, seed: int = 42):
+    """``boosted_trees`` as a function of new rows."""
+    grown = boosted_trees(x, y, trees, rate, share, seed)
+    return lambda rows: grown_values(grown, rows)
+
+
+def boosted_side_by_side(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, trees: int = 50, rate: float = 0.1, share: float = 0.8, seed: int = 42) -> np.ndarray:
+    """Values at ``ahead`` (models x new rows x columns) of as many ``boosted_trees`` as ``y`` has rows, each on its own x (models x rows x columns).
+
+    Models have the same number of rows, so a tree's random rows are the same in all and all grow at once; rows outside a node sort behind its own.
+    """
+    rng = np.random.default_rng(seed)
+    models, m = y.shape
+    who = np.arange(models)
+    start = y.mean(axis=1, keepdims=True)
+    fitted, out = np.repeat(start, m, axis=1), np.repeat(start, ahead.shape[1], axis=1)
+    orders = [np.argsort(x[:, :, c], axis=1, kind="stable") for c in range(x.shape[2])]
+
+    def mean(inside: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return (r * inside).sum(axis=1) / np.maximum(inside.sum(axis=1), 1)
+
+    def cut(inside: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(column, at most, whether there is a cut) of each model's node."""
+        size = inside.sum(axis=1)
+        best, column, most = np.full(models, 1e-15), np.zeros(models, dtype=int), np.zeros(models)
+        n = np.arange(1, m)
+        for c, order in enumerate(orders):
+            held = np.take_along_axis(inside, order, axis=1)
+            at = np.take_along_axis(order, np.argsort(~held, axis=1, kind="stable"), axis=1)
+            v = np.take_along_axis(x[:, :, c], at, axis=1)
+            sums = np.cumsum(np.take_along_axis(r * inside, at, axis=1), axis=1)
+            all_ = sums[:, -1:]
+            rest = size[:, None] - n
+            gain = sums[:, :-1] ** 2 / n + (all_ - sums[:, :-1]) ** 2 / np.maximum(rest, 1) - all_**2 / np.maximum(size, 1)[:, None]
+            gain[(v[:, 1:] <= v[:, :-1]) | (rest < 1)] = -1
+            i = np.argmax(gain, axis=1)
+            better = gain[who, i] > best
+            best = np.where(better, gain[who, i], best)
+            column = np.where(better, c, column)
+            most = np.where(better, (v[who, i] + v[who, i + 1]) / 2, most)
+        return column, most, best > 1e-15
+
+    def below(node: tuple, rows: np.ndarray) -> np.ndarray:
+        column, most, there = node
+        return (np.take_along_axis(rows, np.broadcast_to(column[:, None, None], (*rows.shape[:2], 1)), axis=2)[:, :, 0] <= most[:, None]) | ~there[:, None]
+
+    for _ in range(trees):
+        r = y - fitted
+        inside = np.zeros((models, m), dtype=bool)
+        inside[:, rng.choice(m, max(1, int(share * m)), replace=False)] = True
+        top = cut(inside, r)
+        low, ahead_low = below(top, x), below(top, ahead)
+        step, far = np.zeros_like(y), np.zeros_like(out)
+        for side, ahead_side in ((low, ahead_low), (~low, ~ahead_low)):
+            part = inside & side
+            # Where there is no cut at the top, all rows are on the low side and stay together.
+            column, most, there = cut(part, r)
+            down = (column, most, there & top[2])
+            lower, ahead_lower = below(down, x), below(down, ahead)
+            values = mean(part & lower, r)[:, None], mean(part & ~lower, r)[:, None]
+            step = np.where(side, np.where(lower, *values), step)
+            far = np.where(ahead_side, np.where(ahead_lower, *values), far)
+        fitted, out = fitted + rate * step, out + rate * far
+    return out
 
 
 # --- subspaces ------------------------------------------------------------------------------------------------------

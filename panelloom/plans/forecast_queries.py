@@ -39,12 +39,12 @@ def eight_architectures(spark: SparkSession, d: str) -> DataFrame:
 
 @page()
 def eight_architectures_r2(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sc.r_squared(fc.eight_architectures(_rows(spark, d)), ["test_year", "arch", "block"]), "r2", "mae")
+    return rounded(fc.eight_scores(_rows(spark, d), ["test_year", "arch", "block"]), "r2", "mae")
 
 
 @page()
 def method_comparison_r2(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sc.r_squared(fc.methods(_rows(spark, d)), ["test_year", "arch"]), "r2", "mae")
+    return rounded(fc.method_scores(_rows(spark, d), ["test_year", "arch"]), "r2", "mae")
 
 
 @page()
@@ -59,19 +59,19 @@ def stratified_placebo_test(spark: SparkSession, d: str) -> DataFrame:
 
 @page()
 def window_factor_grid(spark: SparkSession, d: str) -> DataFrame:
-    parts = [sc.r_squared(fc.factor_grid(_whole(_rows(spark, d, t), t), GRID_FACTORS), ["test_year", "variant", "arch"]).withColumn("years", F.lit(t)) for t in GRID_YEARS]
+    parts = [fc.grid_scores(_whole(_rows(spark, d, t), t), GRID_FACTORS, ["test_year", "variant", "arch"]).withColumn("years", F.lit(t)) for t in GRID_YEARS]
     return rounded(reduce(DataFrame.unionByName, parts), "r2", "mae")
 
 
 @page()
 def boosted_r2(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sc.r_squared(fc.boosted(_rows(spark, d)), ["test_year", "arch"]), "r2", "mae")
+    return rounded(fc.boosted_scores(_rows(spark, d), ["test_year", "arch"]), "r2", "mae")
 
 
 @page()
 def gating_r2(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
-    policies = fc.gated(fc.eight_architectures(rows), fc.gates(fc.gate_diagnostics(rows)))
+    policies = fc.gated(fc.eight_architectures(rows, wanted=("G0", "G1")), fc.gates(fc.gate_diagnostics(rows)))
     return rounded(sc.r_squared(policies, ["test_year", "arch"]), "r2", "mae")
 
 
