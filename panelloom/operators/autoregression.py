@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from panelloom.session import written
+
+
 def _order() -> WindowSpec:
     return Window.partitionBy("test_year", "actor").orderBy("period")
 
@@ -49,10 +52,10 @@ def rho_error(rows: DataFrame, by: list[str]) -> DataFrame:
 def forecasts(rows: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     """``rows`` of the test years with a one-step forecast for each name in ``levels``, its slope pooled by those columns.
 
-    mean + rho * last deviation, estimates frozen at the year's start. Deviations are taken once for all levels;
+    mean + rho * last deviation, estimates frozen at the year's start. Deviations are written once for all levels;
     slopes are aggregates, small next to the rows that they are joined to.
     """
-    d = deviations(rows)
+    d = written(deviations(rows))
     out = d.where(~F.col("train"))
     for name, by in levels.items():
         s = _slopes(d, by).select("test_year", *by, F.col("rho").alias("rho__"))

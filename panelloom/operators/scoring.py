@@ -16,10 +16,13 @@ def r_squared(preds: DataFrame, by: list[str], pred: str = "pred", actual: str =
     ``denominator`` "actor": about each actor's own mean within the group instead.
     """
     rows = preds.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
-    centre = F.avg(actual).over(Window.partitionBy(*by, *(["actor"] if denominator == "actor" else [])))
-    d = rows.withColumn("dev__", F.col(actual) - centre)
-    sse, sst = F.sum((F.col(actual) - F.col(pred)) ** 2), F.sum(F.col("dev__") ** 2)
-    return d.groupBy(*by).agg(F.when(sst > 0, 1 - sse / sst).otherwise(F.lit(0.0)).alias("r2"), F.avg(F.abs(F.col(actual) - F.col(pred))).alias("mae"), F.count(F.lit(1)).alias("n"))
+    about = [*by, *(["actor"] if denominator == "actor" else [])]
+    n = F.count(F.lit(1))
+    error = F.col(actual) - F.col(pred)
+    # Central moments merge from partial ones, so no group has to meet in one place for its mean.
+    d = rows.groupBy(*about).agg(F.sum(error**2).alias("sse__"), (F.var_pop(actual) * n).alias("sst__"), F.sum(F.abs(error)).alias("sae__"), n.alias("n__"))
+    sse, sst = F.sum("sse__"), F.sum("sst__")
+    return d.groupBy(*by).agg(F.when(sst > 0, 1 - sse / sst).otherwise(F.lit(0.0)).alias("r2"), (F.sum("sae__") / F.sum("n__")).alias("mae"), F.sum("n__").alias("n"))
 
 
 def paired_t(deltas: DataFrame, by: list[str], delta: str = "delta", at_least: int = 3) -> DataFrame:

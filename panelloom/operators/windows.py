@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,18 +15,21 @@ def windows(panel: DataFrame, test_years: list[int], years: int = 5, impute: str
     """
     if impute not in ("full", "train"):
         raise ValueError("impute is full or train")
-    clean = panel.groupBy("actor", "period").agg(F.avg("value").alias("value"))
-    year = F.year("period")
+    clean = panel.where("actor is not null and period is not null").groupBy("actor", "period").agg(F.avg("value").alias("value"))
     tests = F.array(*(F.lit(int(y)) for y in sorted(test_years)))
-    dealt = clean.withColumn("test_year", F.explode(F.filter(tests, lambda y: (year <= y) & (year >= y - years))))
-    periods = dealt.select("test_year", "period").distinct()
-    actors = dealt.where(F.col("value").isNotNull()).select("test_year", "actor").distinct()
-    full = actors.join(periods, "test_year").join(dealt, ["test_year", "actor", "period"], "left").withColumn("train", F.year("period") < F.col("test_year"))
-    own = Window.partitionBy("test_year", "actor")
-    fill = F.avg("value").over(own) if impute == "full" else F.avg(F.when(F.col("train"), F.col("value"))).over(own)
-    counts = full.groupBy("test_year").agg(F.count_distinct("actor").alias("n_actors"), F.count_distinct(F.when(F.col("train"), F.col("period"))).alias("n_rows"))
-    good = counts.where((F.col("n_actors") >= least_actors) & (F.col("n_rows") >= least_rows)).select("test_year")
-    return full.withColumn("value", F.coalesce("value", fill, F.lit(0.5))).join(F.broadcast(good), "test_year", "left_semi")  # good: one row a year
+    seen = clean.groupBy("period").agg(F.count(F.lit(1))).select("period", F.year("period").alias("year"))
+    dealt = seen.withColumn("test_year", F.explode(F.filter(tests, lambda y: (F.col("year") <= y) & (F.col("year") >= y - years))))
+    grid = dealt.groupBy("test_year").agg(F.array_sort(F.collect_list(F.struct("period", (F.col("year") < F.col("test_year")).alias("train")))).alias("grid"))
+    # An actor's quarters meet once; all windows are cut from them where they lie.
+    own = clean.groupBy("actor").agg(F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("has")).crossJoin(F.broadcast(grid))  # grid: one row a year
+    cells = own.select("test_year", "actor", F.transform("grid", lambda g: F.struct(g["period"].alias("period"), F.try_element_at("has", g["period"]).alias("value"), g["train"].alias("train"))).alias("cells"))
+    cells = cells.where(F.exists("cells", lambda c: c["value"].isNotNull()))
+    known = F.filter("cells", lambda c: c["value"].isNotNull() if impute == "full" else c["value"].isNotNull() & c["train"])
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, c: s + c["value"]), F.size(known))
+    n_rows = F.size(F.filter("cells", lambda c: c["train"]))
+    good = cells.groupBy("test_year").agg(F.count(F.lit(1)).alias("n_actors"), F.max(n_rows).alias("n_rows")).where((F.col("n_actors") >= least_actors) & (F.col("n_rows") >= least_rows)).select("test_year")
+    full = cells.join(F.broadcast(good), "test_year", "left_semi").select("test_year", "actor", mean.alias("fill__"), F.inline("cells"))  # good: one row a year
+    return full.select("test_year", "actor", "period", F.coalesce("value", "fill__", F.lit(0.5)).alias("value"), "train")
 
 
 def with_blocks(rows: DataFrame, blocks: DataFrame, remainder: str = "REMAINDER") -> DataFrame:

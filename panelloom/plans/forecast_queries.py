@@ -22,8 +22,8 @@ GRID_YEARS, GRID_FACTORS = (2, 3, 5), [2, 3, 4, 6]
 
 
 def _rows(spark: SparkSession, d: str, years: int = st.TRAIN_YEARS) -> DataFrame:
-    dealt = W.windows(st.panel(spark, d), st.TEST_YEARS, years)
-    return W.with_blocks(dealt, st.blocks(spark, d))
+    """The panel's windows with blocks, written once a run, as forecasts read them several times."""
+    return kept(spark, d, f"windows_of_{years}", lambda: W.with_blocks(W.windows(st.panel(spark, d), st.TEST_YEARS, years), st.blocks(spark, d)))
 
 
 def _whole(rows: DataFrame, years: int) -> DataFrame:

@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(actor, period, value). Computed once a run: windows, predictions and signals read it several times."""
+    return kept(spark, sf_dir, "panel", lambda: _panel(spark, sf_dir))
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     share = F.sum(F.col("l_extendedprice") * F.col("l_discount")) / F.sum("l_extendedprice")
     return li.groupBy(F.col("l_suppkey").alias("actor"), S.quarter(F.col("l_shipdate")).alias("period")).agg(F.round(share, 9).alias("value"))
