@@ -104,6 +104,24 @@ class Kalman:
         return np.array(out)
 
 
+class ScalarFilters:
+    """Kalman's one-factor form (U = 1) for many series side by side, each with a state of its own."""
+
+    def __init__(self, n: int, f: float, r: float, q: float = 0.5, adapt: float = 0.3):
+        self.f, self.r, self.adapt = f, r, adapt
+        self.a, self.p, self.q = np.zeros(n), np.ones(n), np.full(n, q)
+
+    def step(self, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """What the series ``at`` (each once) were expected to show before ``y`` is taken in."""
+        a, p = self.f * self.a[at], self.f * self.f * self.p[at] + self.q[at]
+        gain = p / (p + self.r)
+        step = gain * (y - a)
+        self.a[at] = a + step
+        self.p[at] = (1 - gain) ** 2 * p + self.r * gain**2
+        self.q[at] = (1 - self.adapt) * self.q[at] + self.adapt * step**2 + 1e-6
+        return a
+
+
 def noise_level(x: np.ndarray, u: np.ndarray) -> float:
     """Mean square of what the basis leaves of the rows."""
     return max(float(((x - x @ u @ u.T) ** 2).mean()), 1e-8)

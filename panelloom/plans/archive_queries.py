@@ -120,10 +120,10 @@ def resumed_ingestion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, time: str, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """What ``job`` puts out of ``rows`` that arrive in three thirds of their time, the stream ended and started anew in between."""
+    """What ``job`` puts out of ``rows`` that arrive in three thirds of their time, those without one last, the stream ended and started anew in between."""
     seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
     first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
-    third = F.when(F.lit(first).isNull() | (seconds == last), F.lit(2)).otherwise(F.floor(3 * (seconds - F.lit(first)) / F.lit(max((last or 0) - (first or 0), 1)))).cast("int")
+    third = F.when(seconds.isNull() | (seconds == last), F.lit(2)).otherwise(F.floor(3 * (seconds - F.lit(first)) / F.lit(max((last or 0) - (first or 0), 1)))).cast("int")
     folder, out = _folder(spark, "arriving"), _folder(spark, "put")
     for k in range(3):
         rows.where(third == k).write.mode("append").parquet(folder)

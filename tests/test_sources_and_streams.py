@@ -153,3 +153,39 @@ def test_streamed_weeks_keep_the_last_row_and_state_over_a_restart(spark, tmp_pa
 
 def rows_of(df):
     return sorted((tuple(r) for r in df.select("event_type", "week_start", "n", "total").collect()), key=str)
+
+
+def test_filters_of_many_actors_share_state_rows(spark, tmp_path):
+    """A call of the state function holds a block of actors: 3,000 of them, in a batch each for old and new ones, keep at most 1,024 rows of state."""
+    import numpy as np
+
+    from panelloom.functions.kernels import Kalman
+
+    schema, arriving = "actor long, period int, value double", str(tmp_path / "rows")
+    value = lambda a, t: ((a * 7 + t * 13) % 100) / 100
+    for part, (first, last) in enumerate(((0, 2000), (1000, 3000))):
+        spark.createDataFrame([(a, part * 2 + t, value(a, part * 2 + t)) for t in (1, 0) for a in range(first, last)], schema).coalesce(1).write.mode("append").parquet(arriving)
+        with jobs.state_by_value(spark):
+            q = jobs.online_filter(spark.readStream.schema(schema).parquet(arriving)).writeStream.foreachBatch(lambda b, n: b.write.parquet(str(tmp_path / f"out/batch={n}"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    got = {(r["actor"], r["step"]): r["predicted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 8000
+    for a, periods in ((0, (0, 1)), (1500, (0, 1, 2, 3)), (2999, (2, 3))):
+        want = Kalman(np.array([[0.9]]), np.array([[1.0]]), 0.1).run(np.array([[value(a, t)] for t in periods]))[:, 0]
+        assert [got[a, k + 1] for k in range(len(periods))] == pytest.approx(want.tolist())
+
+
+def test_streamed_filter_takes_rows_without_a_quarter_last_and_none_without_an_actor(spark, tmp_path):
+    import duckdb
+
+    from panelloom.plans import registry
+
+    day = lambda y, m: dt.datetime(y, m, 1)
+    lines = [(1, day(1995, 1), 10.0, 0.3), (1, day(1997, 1), 10.0, 0.1), (1, None, 10.0, 0.5), (1, day(1999, 1), None, 0.2), (1, day(2001, 1), 10.0, 0.4), (2, None, 10.0, 0.2), (None, day(1995, 1), 10.0, 0.2)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["streamed_filter"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.sql(registry.ORACLE_SQL["streamed_filter"]).fetchall()
+    assert len(want) == 6 and sorted(got, key=str) == sorted(want, key=str)
